@@ -5,11 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm import mixing, subjects
+from tesserae.llm.encoding import encode
 from tesserae.llm.frequencies import gram_frequencies
 from tesserae.llm.pairs import pairs_together
 from tesserae.llm.patterns import frequent_patterns
 from tesserae.llm.runs import collapse_runs
 from tesserae.llm.spans import shared_shares, shared_spans
+from tesserae.plans.stages import stage
 from tesserae.sources import table
 
 
@@ -66,8 +69,37 @@ def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
     return gram_frequencies(table(spark, sf, "glyph_tokens"), depth=3)
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode(table(spark, sf, "documents"))
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of documents in each slot of the mixture."""
+    return mixing.mix(mixing.sized(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixing.shares(p7_mixture(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p7_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture as blocks of token ids."""
+    return mixing.mixed_blocks(table(spark, sf, "documents"), stage(p7_mixture(spark, sf), "mixture"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subjects(table(spark, sf, "documents"), table(spark, sf, "subject_examples")).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents and sentences each subject has."""
+    documents = table(spark, sf, "documents")
+    return subjects.composition(subjects.subjects(documents, table(spark, sf, "subject_examples")), documents)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_events, p2_found, p2_pairs, p3_found, p3_patterns, p4_found, p4_shares, p5_found, p5_terms)}
+    return {f.__name__: f for f in (p1_found, p1_events, p2_found, p2_pairs, p3_found, p3_patterns, p4_found, p4_shares, p5_found, p5_terms, p6_ids, p7_mixture, p7_shares, p7_blocks, p8_found, p8_composition)}
 
 
 #: One row for each position with its reading, straight from the statement.
