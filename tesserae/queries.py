@@ -1,6 +1,583 @@
-def queries():
-    return {}
+"""The registered queries of the core, over whole tables, and the SQL that gives the same rows."""
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import parsers, text
+from tesserae.functions.vectors import dot, norm, normalize
+from tesserae.operators import consensus as votes
+from tesserae.operators import cooccurrence as cooc
+from tesserae.operators import lines as ln
+from tesserae.operators import matching, neighbors, pixels, trials
+from tesserae.operators.tokenize import STRATEGIES, exploded, sequences, tokenize
+from tesserae.plans.index import numbered
+from tesserae.plans.stages import broadcast_below, stage
+from tesserae.sources import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: The signs with a gloss.
+ANCHORS = ("008", "200", "076", "040")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function by its name, with its SQL if it has one."""
+
+    def add(f: Query) -> Query:
+        FOUND[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- lines -----------------------------------------------------------------------------------------------------------
+
+LINES = """
+lines AS (SELECT line_id, corpus, tablet, title, text, loaded_at, first_ord AS ord FROM (
+  SELECT *, min(ord) OVER (PARTITION BY corpus, tablet, title) AS first_ord,
+         row_number() OVER (PARTITION BY corpus, tablet, title ORDER BY loaded_at DESC NULLS LAST, line_id DESC NULLS LAST, text DESC NULLS LAST) AS k
+  FROM tablet_lines WHERE title IS NOT NULL) WHERE k = 1)"""
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    return ln.latest_lines(table(spark, sf, "tablet_lines"))
+
+
+@query(f"WITH {LINES} SELECT line_id, corpus, tablet, title, ord, text FROM lines")
+def lines_latest(spark, sf):
+    return lines(spark, sf).select("line_id", "corpus", "tablet", "title", "ord", "text")
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines as pages of at most 20 items of a list, as they are published."""
+    item = F.concat(F.lit("<li><a>"), "title", F.lit("</a> "), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit("<br>")), F.lit("</li>"))
+    return lines(spark, sf).withColumn("page", F.floor(F.col("ord") / 20).cast("int")).groupBy("corpus", "tablet", "page").agg(F.concat(F.lit("<ul>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title", item.alias("item")))), lambda x: x["item"]), "\n"), F.lit("</ul>")).alias("html"))
+
+
+PAGE_LINES = f"WITH {LINES} SELECT corpus, tablet, CAST(floor(ord / 20) AS INTEGER) AS page, title, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM lines WHERE trim(title) <> ''"
+
+
+@query(PAGE_LINES)
+def extract_list_lines(spark, sf):
+    return ln.extract_lines(pages(spark, sf)).select("corpus", "tablet", "page", "title", F.regexp_replace("text", "^\\s+|\\s+$", "").alias("text"))
+
+
+@query(PAGE_LINES)
+def extract_list_lines_plain(spark, sf):
+    out = ln.extract_lines(pages(spark, sf), general=False).select("corpus", "tablet", "page", "title", F.regexp_replace("text", "&amp;", "&").alias("text"))
+    return out
+
+
+@query(f"""WITH {LINES} SELECT corpus, tablet, CASE grouping(corpus, tablet) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS level, count(*) AS n_lines
+FROM lines GROUP BY ROLLUP (corpus, tablet)""")
+def extract_line_counts(spark, sf):
+    return ln.line_counts(lines(spark, sf))
+
+
+@query("SELECT corpus, count(*) AS n, count(text) AS n_text FROM (SELECT * FROM tablet_lines WHERE corpus = 'complete' UNION ALL SELECT * FROM tablet_lines WHERE corpus = 'broken') GROUP BY corpus")
+def union_corpora(spark, sf):
+    t = table(spark, sf, "tablet_lines")
+    return t.where("corpus = 'complete'").unionByName(t.where("corpus = 'broken'")).groupBy("corpus").agg(F.count("*").alias("n"), F.count("text").alias("n_text"))
+
+
+# --- text functions --------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{1c}-\x{1f}\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS text FROM documents")
+def normalize_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+
+
+@query("SELECT line_id, translate(text, '!*?()', '') AS text FROM tablet_lines")
+def clean_text(spark, sf):
+    return table(spark, sf, "tablet_lines").select("line_id", text.clean_text(F.col("text")).alias("text"))
+
+
+@query("SELECT line_id, translate(text, 'abcdefgV', '') AS text FROM tablet_lines")
+def strip_noag(spark, sf):
+    return table(spark, sf, "tablet_lines").select("line_id", text.strip_allographs(F.col("text")).alias("text"))
+
+
+# --- tokens ----------------------------------------------------------------------------------------------------------
+
+SIGN, MARK, LIG = "[0-9]+[A-Za-z]*", "[0-9]+[A-Za-z]*|[-.:]", "[0-9]+[A-Za-z]*(?:[.:][0-9]+[A-Za-z]*)*"
+
+
+def sql_pad(x: str) -> str:
+    return f"CASE WHEN length({x}) < 3 THEN lpad({x}, 3, '0') ELSE {x} END"
+
+
+def sql_pad_numbers(x: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_full_match(r, '[0-9]{{1,2}}') THEN lpad(r, 3, '0') ELSE r END), '')"
+
+
+def sql_suffix(x: str) -> str:
+    base = f"regexp_replace({x}, '[A-Za-z]', '', 'g')"
+    return f"list_concat(CASE WHEN {base} <> '' THEN [{sql_pad_numbers(base)}] ELSE [] END, regexp_extract_all({x}, '[A-Za-z]'))"
+
+
+def sql_each(pattern: str, of: str, source: str = "c") -> str:
+    return f"list_transform(regexp_extract_all({source}, '{pattern}'), lambda t: {of})"
+
+
+PLAIN = "translate(c, 'abcdefgV', '')"
+MODIFIERS = "array_to_string(regexp_extract_all(lower(t), '[h-uw-z]'), ',')"
+VARIANT = "regexp_replace(lower(t), '[^a-g]', '', 'g')"
+KEY = f"{sql_pad(chr(40) + 'regexp_extract(t, ' + repr('[0-9]+') + ')' + chr(41))} || CASE WHEN {VARIANT} = '' AND {MODIFIERS} = '' THEN '' ELSE ':' || {VARIANT} || CASE WHEN {MODIFIERS} = '' THEN '' ELSE '+' || {MODIFIERS} END END"
+SQL_TOKENS = {
+    "barthel": sql_each(SIGN, sql_pad_numbers("t")),
+    "barthel_separators": sql_each(MARK, sql_pad_numbers("t")),
+    "barthel_ligatures": sql_each(LIG, sql_pad_numbers("t")),
+    "barthel_noag": sql_each(SIGN, sql_pad_numbers("t"), PLAIN),
+    "barthel_separators_noag": sql_each(MARK, sql_pad_numbers("t"), PLAIN),
+    "barthel_ligatures_noag": sql_each(LIG, sql_pad_numbers("t"), PLAIN),
+    "suffix": f"flatten({sql_each(SIGN, sql_suffix('t'))})",
+    "suffix_separators": f"flatten({sql_each(MARK, sql_suffix('t'))})",
+    "suffix_ligatures": f"flatten({sql_each(LIG, sql_suffix('t'))})",
+    "suffix_noag": f"flatten({sql_each(SIGN, sql_suffix('t'), PLAIN)})",
+    "simple": sql_each("[0-9]+", sql_pad("t")),
+    "simple_separators": f"list_filter({sql_each(MARK, 'CASE WHEN t IN (' + repr('-')[0:] + ', ' + repr('.') + ', ' + repr(':') + ') THEN t ELSE ' + sql_pad_numbers('regexp_extract(t, ' + repr('[0-9]+') + ')') + ' END')}, lambda t: t <> '-')",
+    "simple_ligatures": sql_each(LIG, sql_pad_numbers("regexp_replace(t, '[A-Za-z]+', '', 'g')")),
+    "glyph_variants": f"list_transform(flatten({sql_each(LIG, 'list_filter(regexp_split_to_array(t, ' + repr('[.:]') + '), lambda p: p <> ' + repr('') + ')')}), lambda t: {KEY})",
+    "normalized_text": r"CASE WHEN c IS NULL THEN [] ELSE [trim(regexp_replace(c, '\s+', ' ', 'g'))] END",
+    "characters": r"list_filter(regexp_extract_all(trim(regexp_replace(c, '\s+', ' ', 'g')), '.'), lambda t: t <> '')",
+}
+
+
+def sql_tokens(strategy: str, name: str = "toks") -> str:
+    """One row for each token: line_id, pos, token."""
+    return f"""{LINES},
+listed_{name} AS (SELECT line_id, coalesce({SQL_TOKENS[strategy]}, []) AS tokens FROM (SELECT line_id, translate(text, '!*?()', '') AS c FROM lines)),
+{name} AS (SELECT line_id, CAST(unnest(range(len(tokens))) AS INTEGER) AS pos, unnest(tokens) AS token FROM listed_{name})"""
+
+
+def tokens(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
+    return tokenize(lines(spark, sf), strategy)
+
+
+def add_strategy(strategy: str) -> None:
+    FOUND[f"tok_{strategy}"] = lambda spark, sf: exploded(tokens(spark, sf, strategy), "line_id")
+    SQL[f"tok_{strategy}"] = f"WITH {sql_tokens(strategy)} SELECT line_id, pos, token FROM toks"
+
+
+for _strategy in STRATEGIES:
+    add_strategy(_strategy)
+
+
+@query(f"WITH {sql_tokens('glyph_variants')} SELECT token AS key, count(*) AS n FROM toks GROUP BY token")
+def glyph_variant_keys(spark, sf):
+    return exploded(tokens(spark, sf, "glyph_variants")).groupBy(F.col("token").alias("key")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {sql_tokens('glyph_variants')} SELECT token AS key, split_part(token, ':', 1) AS glyph, split_part(split_part(token, ':', 2), '+', 1) AS variant, split_part(split_part(token, ':', 2), '+', 2) AS modifiers, token AS again FROM toks GROUP BY token")
+def glyph_variant_roundtrip(spark, sf):
+    keys = exploded(tokens(spark, sf, "glyph_variants")).select(F.col("token").alias("key")).distinct().withColumn("t", text.parse_variant_key(F.col("key")))
+    return keys.select("key", "t.glyph", "t.variant", F.array_join("t.modifiers", ",").alias("modifiers"), text.variant_key(F.col("t")).alias("again"))
+
+
+@query(f"WITH {sql_tokens('barthel')} SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM toks)")
+def vocab_index(spark, sf):
+    return cooc.vocabulary(tokens(spark, sf, "barthel"))
+
+
+@query(f"WITH {sql_tokens('characters')} SELECT line_id, count(*) FILTER (WHERE trim(token) <> '') AS n_tokens FROM toks GROUP BY line_id")
+def load_sequences_filter(spark, sf):
+    return sequences(tokens(spark, sf, "characters")).select("line_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+# --- co-occurrence ---------------------------------------------------------------------------------------------------
+
+
+def sql_pairs(strategy: str, window: int, masked: bool) -> str:
+    mask = "AND a.token NOT IN ('-', '.', ':') AND b.token NOT IN ('-', '.', ':')" if masked else ""
+    return f"""WITH {sql_tokens(strategy)},
+pairs AS (SELECT a.line_id, a.token AS center, b.token AS context FROM toks a JOIN toks b ON a.line_id = b.line_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= {window} {mask})"""
+
+
+@query(sql_pairs("simple", 4, False) + " SELECT center, context, count(*) AS n FROM pairs GROUP BY ALL")
+def context_pairs(spark, sf):
+    return cooc.pair_counts(tokens(spark, sf, "simple"), 4, mask=False)
+
+
+@query(sql_pairs("barthel_separators", 4, True) + " SELECT center, context, count(*) AS n FROM pairs GROUP BY ALL")
+def context_pairs_masked(spark, sf):
+    return cooc.pair_counts(tokens(spark, sf, "barthel_separators"), 4)
+
+
+@query("""WITH toks AS (SELECT user_id, event_type AS token, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)
+SELECT a.token AS center, b.token AS context, count(*) AS n FROM toks a JOIN toks b ON a.user_id = b.user_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 GROUP BY ALL""")
+def context_pairs_events(spark, sf):
+    """Kinds of events within two places of each other in a user's order. Windows over sorted rows, so that no user's events are collected."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ahead = table(spark, sf, "events").select(F.col("event_type").alias("a"), *(F.lead("event_type", k).over(w).alias(f"b{k}") for k in (1, 2)))
+    near = ahead.select("a", F.explode(F.array("b1", "b2")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    counts = near.groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = counts.select(F.explode(F.array(F.struct(F.col("a").alias("center"), F.col("b").alias("context")), F.struct(F.col("b").alias("center"), F.col("a").alias("context")))).alias("p"), "n")
+    return both.groupBy("p.center", "p.context").agg(F.sum("n").alias("n"))
+
+
+@query(sql_pairs("simple", 4, False) + " SELECT center, context, count(*) AS n FROM pairs GROUP BY ALL ORDER BY n DESC, center, context LIMIT 50")
+def cooc_top_pairs(spark, sf):
+    return context_pairs(spark, sf).orderBy(F.col("n").desc(), "center", "context").limit(50)
+
+
+@query(f"""WITH {sql_tokens('simple')}, vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM toks)),
+wanted AS (SELECT DISTINCT regexp_extract(glyph, '[0-9]+') AS token FROM glyph_tokens WHERE glyph IS NOT NULL)
+SELECT w.token, coalesce(x.idx, p.idx) AS idx FROM wanted w LEFT JOIN vocab x ON x.token = w.token LEFT JOIN vocab p ON p.token = {sql_pad('w.token')}""")
+def anchor_resolve(spark, sf):
+    wanted = table(spark, sf, "glyph_tokens").where("glyph IS NOT NULL").select(F.regexp_extract("glyph", "[0-9]+", 0).alias("token")).distinct()
+    return cooc.resolve_tokens(wanted, stage(cooc.vocabulary(tokens(spark, sf, "simple")), "vocab"))
+
+
+@query(f"""WITH {sql_tokens('glyph_variants')}, wanted AS (SELECT DISTINCT regexp_extract(glyph, '[0-9]+') AS token FROM glyph_tokens WHERE glyph IS NOT NULL),
+keys AS (SELECT split_part(token, ':', 1) AS g, min(token) AS key FROM toks GROUP BY 1)
+SELECT token, key FROM wanted LEFT JOIN keys ON g = {sql_pad('token')}""")
+def anchor_resolve_variants(spark, sf):
+    wanted = table(spark, sf, "glyph_tokens").where("glyph IS NOT NULL").select(F.regexp_extract("glyph", "[0-9]+", 0).alias("token")).distinct()
+    return cooc.resolve_variants(wanted, exploded(tokens(spark, sf, "glyph_variants")).select("token").distinct())
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+UNIT = """unit AS (SELECT vec_id, label, list_transform(d, lambda x: x / greatest(sqrt(list_sum(list_transform(d, lambda y: y * y))), 1e-8)) AS v
+FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS d FROM embeddings WHERE embedding IS NOT NULL))"""
+
+
+@query(f"WITH {UNIT} SELECT vec_id, round(v[1], 6) AS first, round(v[64], 6) AS last, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS length FROM unit")
+def vec_normalize(spark, sf):
+    v = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", normalize(F.col("embedding")).alias("v"))
+    return v.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"), F.round(norm(F.col("v")), 6).alias("length"))
+
+
+@query(f"WITH {UNIT} SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 6) AS cosine FROM unit a JOIN unit b ON b.vec_id = a.vec_id + 1")
+def vec_cosine_pairs(spark, sf):
+    """Each vector with the next one by id."""
+    v = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", normalize(F.col("embedding")).alias("v"))
+    return v.join(v.select(F.col("vec_id").alias("other"), (F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").select("vec_id", "other", F.round(dot(F.col("v"), F.col("w")), 6).alias("cosine"))
+
+
+@query(f"WITH {UNIT}, top AS (SELECT * FROM unit ORDER BY vec_id LIMIT 120) SELECT a.vec_id AS row, b.vec_id AS col, round(round(list_dot_product(a.v, b.v), 9), 6) AS cosine FROM top a, top b")
+def gram_topleft(spark, sf):
+    """The corner that a heat map labels: the limit is the feature."""
+    return neighbors.gram(table(spark, sf, "embeddings"), 120).withColumn("cosine", F.round("cosine", 6))
+
+
+MEANS = """means AS (SELECT label, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL) GROUP BY label, i) GROUP BY label)"""
+
+
+@query(f"WITH {MEANS} SELECT label, len(mean) AS dims, round(mean[1], 6) AS first, round(list_sum(mean), 6) AS total FROM means")
+def mean_embedding(spark, sf):
+    m = neighbors.mean_vectors(table(spark, sf, "embeddings"), "label")
+    return m.select("label", F.size("mean").cast("long").alias("dims"), F.round(F.get("mean", F.lit(0)), 6).alias("first"), F.round(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(f"WITH {MEANS}, {UNIT} SELECT vec_id, e.label, round(list_dot_product(v, mean) / greatest(sqrt(list_dot_product(mean, mean)), 1e-8), 6) AS cosine FROM unit e JOIN means m ON m.label = e.label")
+def gloss_embedding(spark, sf):
+    """Each vector against the normalized mean of its label."""
+    e = table(spark, sf, "embeddings").where("embedding IS NOT NULL")
+    m = neighbors.mean_vectors(e, "label").select("label", normalize(F.col("mean")).alias("m"))
+    return e.join(broadcast_below(stage(m, "means"), 10_000), "label").select("vec_id", "label", F.round(dot(normalize(F.col("embedding")), F.col("m")), 6).alias("cosine"))
+
+
+NEAREST = f"""{UNIT},
+near AS (SELECT q.vec_id AS query, p.vec_id AS neighbor, p.label, round(list_dot_product(q.v, p.v), 9) AS cosine FROM unit q JOIN unit p ON p.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, neighbor) AS INTEGER) AS rank FROM near)"""
+
+
+def nearest(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return neighbors.nearest(e.where("vec_id % 100 = 0"), e, k)
+
+
+@query(f"WITH {NEAREST} SELECT query, rank, neighbor, round(cosine, 6) AS cosine FROM ranked WHERE rank <= 12")
+def knn_topk(spark, sf):
+    return nearest(spark, sf, 12).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"WITH {NEAREST} SELECT a.query, a.neighbor AS word, round(a.cosine, 6) AS cosine, round(a.cosine - b.cosine, 6) AS margin FROM ranked a LEFT JOIN ranked b ON b.query = a.query AND b.rank = 2 WHERE a.rank = 1")
+def knn_margin(spark, sf):
+    m = neighbors.margins(nearest(spark, sf, 2).withColumnRenamed("neighbor", "word"), "query")
+    return m.select("query", "word", F.round("cosine", 6).alias("cosine"), F.round("margin", 6).alias("margin"))
+
+
+WORDS = r"words AS (SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents))"
+
+
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    return numbered(table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word")).distinct(), "word", column="idx")
+
+
+@query(f"WITH {WORDS} SELECT idx, word FROM words WHERE regexp_full_match(word, '[a-z]+') AND length(word) >= 3 ORDER BY idx LIMIT 5000")
+def word_pool_v1(spark, sf):
+    """The pool of a search: its size is a parameter of the search."""
+    return neighbors.word_pool(words(spark, sf), 5000, lower=False)
+
+
+@query(f"""WITH {WORDS}, pool AS (SELECT lower(word) AS word, min(idx) AS idx FROM words WHERE length(word) >= 3 GROUP BY 1 ORDER BY idx LIMIT 5000)
+SELECT idx, word FROM pool UNION ALL SELECT NULL, word FROM (SELECT DISTINCT lower(trim(subject)) AS word FROM subject_examples WHERE subject IS NOT NULL) WHERE word NOT IN (SELECT word FROM pool)""")
+def word_pool_v2(spark, sf):
+    extras = table(spark, sf, "subject_examples").where("subject IS NOT NULL").select(F.lower(F.trim("subject")).alias("word"))
+    return neighbors.with_extras(stage(neighbors.word_pool(words(spark, sf), 5000, lower=True), "pool"), extras)
+
+
+# --- trials, quality and consensus -----------------------------------------------------------------------------------
+
+RECORDS = """
+records AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY logged_at DESC NULLS LAST, score DESC NULLS LAST) AS k FROM trial_records
+            WHERE trial_id IS NOT NULL AND (error IS NULL OR trim(error) = '')) WHERE k = 1),
+named AS (SELECT trial_id, score, row_number() OVER (ORDER BY trial_id) - 1 AS idx FROM records)"""
+TRIALS = 5  # trials whose neighbours are taken from a fifth of the lines each
+NEIGHBORS = f"""WITH {sql_tokens('simple')}, {RECORDS},
+pairs AS (SELECT trial_id, a.token AS center, b.token AS context FROM toks a JOIN toks b ON a.line_id = b.line_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 JOIN named ON idx = a.line_id % {TRIALS}),
+counts AS (SELECT trial_id, center, context, count(*) AS n FROM pairs GROUP BY ALL),
+sums AS (SELECT trial_id, center AS token, sum(n) AS t FROM counts GROUP BY ALL),
+near AS (SELECT c.trial_id, center AS token, context AS word, round(n / sqrt(CAST(a.t AS DOUBLE) * b.t), 9) AS cosine FROM counts c JOIN sums a ON a.trial_id = c.trial_id AND a.token = center JOIN sums b ON b.trial_id = c.trial_id AND b.token = context WHERE center <> context),
+neighbors AS (SELECT *, row_number() OVER (PARTITION BY trial_id, token ORDER BY cosine DESC, word) AS rank FROM near),
+tops AS (SELECT trial_id, token, max(word) FILTER (WHERE rank = 1) AS word, max(cosine) FILTER (WHERE rank = 1) AS cosine, max(cosine) FILTER (WHERE rank = 1) - max(cosine) FILTER (WHERE rank = 2) AS margin FROM neighbors WHERE rank <= 2 GROUP BY ALL),
+kinds AS (SELECT trial_id, count(*) AS unique_top1_count, -sum(p * log2(p)) AS top1_entropy_bits FROM (SELECT trial_id, word, n / sum(n) OVER (PARTITION BY trial_id) AS p FROM (SELECT trial_id, word, count(*) AS n FROM tops GROUP BY trial_id, word)) GROUP BY trial_id),
+quality AS (SELECT trial_id, count(*) AS token_count, any_value(unique_top1_count) AS unique_top1_count, any_value(top1_entropy_bits) AS top1_entropy_bits, avg(cosine) AS top1_mean_cosine, stddev_pop(cosine) AS top1_std_cosine, min(cosine) AS top1_min_cosine, max(cosine) AS top1_max_cosine, avg(margin) AS top1_top2_margin_mean, coalesce(stddev_pop(margin), 0) AS top1_top2_margin_std FROM tops JOIN kinds USING (trial_id) GROUP BY trial_id),
+anchors AS (SELECT unnest({list(ANCHORS)}) AS token),
+expected AS (SELECT token, word FROM (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY s DESC, word) AS k FROM (SELECT center AS token, context AS word, sum(n) AS s FROM counts WHERE center IN (SELECT token FROM anchors) AND center <> context GROUP BY center, context)) WHERE k <= 5),
+rates AS (SELECT trial_id, avg(CASE WHEN e.word IS NULL THEN 0 ELSE 1 END) AS anchor_hit_rate FROM tops t LEFT JOIN expected e ON e.token = t.token AND e.word = t.word WHERE t.token IN (SELECT token FROM expected) GROUP BY trial_id),
+tests AS (SELECT trial_id, avg(cosine) AS anchor_cosine FROM tops WHERE token IN (SELECT token FROM anchors) GROUP BY trial_id)"""
+
+
+def trial_neighbors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The neighbours of every sign in each of five trials, the pair counts they come from, and the trials' last good records."""
+    records = numbered(ln.last_records(table(spark, sf, "trial_records")), "trial_id", column="idx").select("trial_id", "score", "idx")
+    own = records.where(F.col("idx") < TRIALS).select("trial_id", F.col("idx").cast("long").alias("part"))
+    seqs = tokens(spark, sf, "simple").withColumn("part", F.col("line_id") % TRIALS).join(F.broadcast(own), "part")
+    counts = stage(cooc.pair_counts(seqs, 2, mask=False, keys=("trial_id",)), "trial-pairs")
+    return stage(neighbors.glyph_neighbors(counts, 12), "neighbors"), counts, records
+
+
+def rounded(df: DataFrame, *but: str) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" and c not in but else F.col(c) for c, t in df.dtypes))
+
+
+@query(NEIGHBORS + " SELECT trial_id, token_count, unique_top1_count, round(top1_entropy_bits, 6) AS top1_entropy_bits, round(top1_mean_cosine, 6) AS top1_mean_cosine, round(top1_std_cosine, 6) AS top1_std_cosine, round(top1_min_cosine, 6) AS top1_min_cosine, round(top1_max_cosine, 6) AS top1_max_cosine, round(top1_top2_margin_mean, 6) AS top1_top2_margin_mean, round(top1_top2_margin_std, 6) AS top1_top2_margin_std FROM quality")
+def neighbor_quality(spark, sf):
+    near, _, _ = trial_neighbors(spark, sf)
+    return rounded(neighbors.quality(neighbors.margins(near, "trial_id", "token"), "trial_id"))
+
+
+def anchors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(a,) for a in ANCHORS], "token string")
+
+
+def expected(counts: DataFrame, spark: SparkSession) -> DataFrame:
+    """The five most frequent neighbours of each anchor in all trials together."""
+    sums = counts.where("center <> context").join(F.broadcast(anchors(spark)), F.col("center") == F.col("token"), "left_semi").groupBy("center", "context").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("center").orderBy(F.col("n").desc(), "context")
+    return sums.withColumn("k", F.row_number().over(w)).where("k <= 5").select(F.col("center").alias("token"), F.col("context").alias("word"))
+
+
+@query(NEIGHBORS + " SELECT trial_id, round(anchor_hit_rate, 6) AS anchor_hit_rate FROM rates")
+def anchor_hit_rate(spark, sf):
+    near, counts, _ = trial_neighbors(spark, sf)
+    return rounded(neighbors.anchor_rates(neighbors.margins(near, "trial_id", "token"), expected(counts, spark), "trial_id"))
+
+
+@query(NEIGHBORS + " SELECT trial_id, round(anchor_cosine, 6) AS anchor_cosine FROM tests")
+def anchor_gloss_cosine(spark, sf):
+    near, _, _ = trial_neighbors(spark, sf)
+    tops = neighbors.margins(near, "trial_id", "token").join(F.broadcast(anchors(spark)), "token", "left_semi")
+    return rounded(tops.groupBy("trial_id").agg(F.avg("cosine").alias("anchor_cosine")))
+
+
+@query(NEIGHBORS + """ SELECT trial_id, round(3 * c + 2 * h + 1.2 * least(u / 80, 1.5) + 0.6 * least(b / 4, 1) + 0.4 * m - CASE WHEN c < 0 THEN 2.5 ELSE 0 END - CASE WHEN u <= 5 THEN 1.5 ELSE 0 END - CASE WHEN h < 0.5 THEN 1 ELSE 0 END, 6) AS score
+FROM (SELECT q.trial_id, coalesce(anchor_cosine, -1) AS c, coalesce(anchor_hit_rate, 0) AS h, unique_top1_count AS u, top1_entropy_bits AS b, top1_top2_margin_mean AS m FROM quality q LEFT JOIN rates USING (trial_id) LEFT JOIN tests USING (trial_id))""")
+def trial_score(spark, sf):
+    near, counts, _ = trial_neighbors(spark, sf)
+    tops = stage(neighbors.margins(near, "trial_id", "token"), "tops")
+    rates = neighbors.anchor_rates(tops, expected(counts, spark), "trial_id")
+    cosines = tops.join(F.broadcast(anchors(spark)), "token", "left_semi").groupBy("trial_id").agg(F.avg("cosine").alias("c"))
+    q = neighbors.quality(tops, "trial_id").join(rates, "trial_id", "left").join(cosines, "trial_id", "left")
+    score = neighbors.trial_score(F.col("c"), F.coalesce("anchor_hit_rate", F.lit(0.0)), F.col("unique_top1_count"), F.col("top1_entropy_bits"), F.col("top1_top2_margin_mean"))
+    return q.select("trial_id", F.round(score, 6).alias("score"))
+
+
+PASSING = "used AS (SELECT q.trial_id FROM quality q LEFT JOIN named n USING (trial_id) WHERE coalesce(score, -999) >= 0 AND unique_top1_count >= 50 AND top1_entropy_bits >= 3)"
+VOTES = NEIGHBORS + f""", {PASSING},
+open_ AS (SELECT * FROM tops WHERE token NOT IN (SELECT token FROM anchors) AND trial_id IN (SELECT trial_id FROM used)),
+leaks AS (SELECT DISTINCT word FROM expected),
+banned AS (SELECT trial_id, word FROM (SELECT *, sum(n) OVER (PARTITION BY trial_id) AS total FROM (SELECT trial_id, word, count(*) AS n FROM open_ GROUP BY trial_id, word)) WHERE n > greatest(1, ceil(0.01 * total))),
+votes AS (SELECT trial_id, token, word, coalesce(margin, 0) AS margin, cosine FROM open_ o WHERE round(coalesce(margin, 0), 9) >= 0.01 AND word NOT IN (SELECT word FROM leaks) AND NOT EXISTS (FROM banned b WHERE b.trial_id = o.trial_id AND b.word = o.word)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY trials DESC, first_seen, word) AS place FROM (SELECT token, word, count(*) AS trials, avg(margin) AS mean_margin, avg(cosine) AS mean_cosine, min(trial_id) AS first_seen FROM votes GROUP BY ALL))"""
+
+
+def cast_votes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    near, counts, records = trial_neighbors(spark, sf)
+    used = stage(trials.passing(records, neighbors.quality(neighbors.margins(near, "trial_id", "token"), "trial_id"), 0.0, 50, 3.0), "used")
+    near = near.join(F.broadcast(used), "trial_id", "left_semi")
+    leaks = stage(expected(counts, spark).select("word"), "leaks")
+    return votes.votes(near, anchors(spark), leaks, 0.01, 0.01), used, near
+
+
+@query(NEIGHBORS + f", {PASSING} SELECT trial_id FROM used")
+def quality_filter(spark, sf):
+    return cast_votes(spark, sf)[1]
+
+
+@query(VOTES + " SELECT trial_id, word FROM banned")
+def banned_words(spark, sf):
+    near = cast_votes(spark, sf)[2]
+    tops = neighbors.margins(near, "trial_id", "token").join(F.broadcast(anchors(spark)), "token", "left_anti")
+    return votes.banned_words(tops, 0.01)
+
+
+@query(VOTES + " SELECT trial_id, token, word, round(margin, 6) AS margin, round(cosine, 6) AS cosine FROM votes")
+def consensus_votes(spark, sf):
+    return rounded(cast_votes(spark, sf)[0])
+
+
+CONSENSUS = VOTES + """, need AS (SELECT greatest(2, ceil(0.35 * count(*))) AS required, count(*) AS n FROM used)
+SELECT p.token, p.word, trials, CAST(required AS BIGINT) AS required, round(trials / n, 4) AS fraction, round(mean_margin, 4) AS mean_margin, round(mean_cosine, 4) AS mean_cosine, coalesce(alternates, '') AS alternates
+FROM placed p LEFT JOIN (SELECT token, string_agg(word, ' ' ORDER BY place) AS alternates FROM placed WHERE place BETWEEN 2 AND 5 GROUP BY token) a ON a.token = p.token, need WHERE place = 1 AND trials >= required"""
+
+
+@query(CONSENSUS)
+def consensus_rank(spark, sf):
+    cast, used, _ = cast_votes(spark, sf)
+    return votes.consensus(cast, used, 2, 0.35)
+
+
+@query(VOTES + " SELECT token, word, trials, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5")
+def consensus_alternates(spark, sf):
+    return votes.ranked_votes(cast_votes(spark, sf)[0]).where("place <= 5").select("token", "word", "trials", "place")
+
+
+@query("SELECT trial_id, strategy, context_window FROM trial_configs WHERE trial_id NOT IN (SELECT trial_id FROM trial_records WHERE trial_id IS NOT NULL)")
+def resume_antijoin(spark, sf):
+    return trials.left_to_run(table(spark, sf, "trial_configs"), table(spark, sf, "trial_records")).select("trial_id", "strategy", "context_window")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY s DESC, logged_at NULLS LAST, trial_id) AS INTEGER) AS place, trial_id, s AS score
+FROM (SELECT *, coalesce(score, -999) AS s FROM trial_records WHERE trial_id IS NOT NULL AND (error IS NULL OR trim(error) = '')) ORDER BY place LIMIT 5""")
+def leaderboard_top5(spark, sf):
+    return trials.leaderboard(table(spark, sf, "trial_records"), 5)
+
+
+# --- answers of a scorer ---------------------------------------------------------------------------------------------
+
+#: Answers in the shapes that a scorer gives, made of line items.
+ANSWERS = """answers AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+CASE l_partkey % 3 WHEN 0 THEN 'score: 0.' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') WHEN 1 THEN 'about 0.' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ' I think' ELSE 'no idea, 0.12' END AS raw,
+'sign ' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') || ', 1234 of ' || CAST(l_linenumber AS VARCHAR) AS named FROM lineitem)"""
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    three = lambda c: F.lpad((F.col(c) % 1000).cast("string"), 3, "0")
+    raw = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("score: 0."), three("l_suppkey"))).when(F.col("l_partkey") % 3 == 1, F.concat(F.lit("about 0."), three("l_partkey"), F.lit(" I think"))).otherwise("no idea, 0.12")
+    named = F.concat(F.lit("sign "), three("l_partkey"), F.lit(", 1234 of "), F.col("l_linenumber").cast("string"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", raw.alias("raw"), named.alias("named"))
+
+
+@query(f"WITH {ANSWERS} SELECT raw, nullif(regexp_extract(raw, '(^|[^0-9])(0\\.[0-9]{{3}})([^0-9]|$)', 2), '') AS score, count(*) AS n FROM answers GROUP BY ALL")
+def parse_scores(spark, sf):
+    return answers(spark, sf).select("raw", parsers.score(F.col("raw")).alias("score")).groupBy("raw", "score").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey, lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') AS label, '0.' || CAST(l_linenumber % 10 AS VARCHAR) || CAST(l_suppkey % 10 AS VARCHAR) || '5' AS score, count(*) AS n FROM lineitem GROUP BY ALL""")
+def parse_batch_scores(spark, sf):
+    """Each item as a line of a batch's answer, read again."""
+    raw = F.concat(F.lit("some words\n"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"), F.lit(": overall="), (F.col("l_linenumber") % 10).cast("string"), F.lit(", structure="), (F.col("l_suppkey") % 10).cast("string"), F.lit(", shape=5"))
+    read = table(spark, sf, "lineitem").select("l_orderkey", F.explode(parsers.batch_scores(raw)).alias("label", "score"))
+    return read.groupBy("l_orderkey", "label", "score").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ANSWERS} SELECT CASE WHEN l_partkey % 1000 <= 799 THEN lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') END AS label, count(*) AS n FROM answers GROUP BY 1")
+def parse_labels(spark, sf):
+    return answers(spark, sf).select(parsers.label(F.col("named")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority AS raw, CASE WHEN lower(split_part(o_orderpriority, '-', 2)) IN ('urgent', 'high', 'low') THEN upper(split_part(o_orderpriority, '-', 2)) END AS label, count(*) AS n FROM orders GROUP BY ALL")
+def normalize_labels(spark, sf):
+    found = parsers.known_label(F.regexp_replace("o_orderpriority", "^[0-9]+-", ""), ["URGENT", "HIGH", "LOW"])
+    return table(spark, sf, "orders").select(F.col("o_orderpriority").alias("raw"), found.alias("label")).groupBy("raw", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ANSWERS} SELECT l_orderkey, coalesce(min(l_linenumber) FILTER (WHERE l_suppkey % 4 = 0), max(l_linenumber)) AS checked, min(l_linenumber) FILTER (WHERE l_suppkey % 4 = 0) AS label_at FROM answers GROUP BY l_orderkey")
+def short_circuit_match(spark, sf):
+    return matching.short_circuit(answers(spark, sf).withColumn("matched", F.col("l_suppkey") % 4 == 0), "l_orderkey", "l_linenumber", "matched")
+
+
+@query(f"WITH {ANSWERS} SELECT l_orderkey, label, score FROM (SELECT *, l_partkey AS label, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey DESC) AS k FROM answers) WHERE k = 1")
+def best_score(spark, sf):
+    return matching.best_score(answers(spark, sf), "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+
+
+@query("SELECT c_custkey, c_nationkey, CAST(floor(k / 10) AS INTEGER) AS batch, CAST(k % 10 AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer)")
+def batch_chunks(spark, sf):
+    return matching.chunks(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), 10, "c_nationkey", "c_custkey")
+
+
+@query("""WITH labels AS (SELECT DISTINCT lpad(CAST(p_partkey % 800 AS VARCHAR), 3, '0') AS label FROM part), seen AS (SELECT DISTINCT CASE WHEN length(d) < 3 THEN lpad(d, 3, '0') ELSE d END AS label FROM (SELECT regexp_extract(glyph, '[0-9]+') AS d FROM glyph_tokens WHERE glyph IS NOT NULL) WHERE d <> '')
+SELECT label, CAST(floor(CAST(label AS INTEGER) / 100) AS INTEGER) AS sheet, CAST(floor(CAST(label AS INTEGER) % 100 / 10) AS INTEGER) AS row, CAST(label AS INTEGER) % 10 AS col, label NOT IN (SELECT label FROM seen) AS missing FROM labels""")
+def sheet_cells(spark, sf):
+    labels = table(spark, sf, "part").select(F.lpad((F.col("p_partkey") % 800).cast("string"), 3, "0").alias("label")).distinct()
+    seen = table(spark, sf, "glyph_tokens").select(text.code(F.col("glyph")).alias("label")).where("label IS NOT NULL")
+    return matching.cells(labels, seen)
+
+
+# --- pixels ----------------------------------------------------------------------------------------------------------
+
+#: Line items as dots of images: one image for each supplier.
+DOTS = "dots AS (SELECT l_suppkey AS img, CAST(l_partkey % 97 AS INTEGER) AS x, CAST(l_orderkey % 61 AS INTEGER) AS y, CAST(min(l_quantity * 5) AS INTEGER) AS v FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def dots(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "lineitem")
+    return t.groupBy(F.col("l_suppkey").alias("img"), (F.col("l_partkey") % 97).cast("int").alias("x"), (F.col("l_orderkey") % 61).cast("int").alias("y")).agg(F.min(F.col("l_quantity") * 5).cast("int").alias("v"))
+
+
+@query(f"WITH {DOTS} SELECT img, x, count(*) AS n FROM dots WHERE v < 190 GROUP BY img, x")
+def ink_profile(spark, sf):
+    return pixels.ink_profile(dots(spark, sf), "x")
+
+
+@query(f"""WITH {DOTS}, p AS (SELECT img, x FROM dots WHERE v < 190 GROUP BY img, x HAVING count(*) >= 2), f AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY img ORDER BY x) <= 2 THEN 0 ELSE 1 END AS new FROM p),
+r AS (SELECT *, sum(new) OVER (PARTITION BY img ORDER BY x) AS run FROM f) SELECT img, CAST(run AS INTEGER) AS run, min(x) AS low, max(x) + 1 AS high FROM r GROUP BY img, run""")
+def runs_islands(spark, sf):
+    return pixels.islands(pixels.ink_profile(dots(spark, sf), "x"), "x", 2, 1, "img")
+
+
+@query(f'WITH {DOTS} SELECT img, greatest(min(x) - 2, 0) AS "left", greatest(min(y) - 2, 0) AS top, max(x) + 3 AS "right", max(y) + 3 AS bottom FROM dots WHERE v < 190 GROUP BY img')
+def bounding_boxes(spark, sf):
+    return pixels.bounding_boxes(dots(spark, sf), padding=2)
+
+
+@query("""SELECT o_orderkey AS img, c_custkey AS label, CAST(bit_count(a & b) AS BIGINT) AS overlap, CAST(bit_count(a | b) AS BIGINT) AS union_, round(bit_count(a & b) / greatest(bit_count(a | b), 1) - 0.0001 * bit_count(xor(a, b)), 6) AS score
+FROM (SELECT o_orderkey, c_custkey, CAST(o_orderkey * 2654435761 % 1099511627776 AS BIGINT) AS a, CAST(c_custkey * 40503001 % 1099511627776 AS BIGINT) AS b FROM orders JOIN customer ON c_custkey = o_custkey)""")
+def mask_iou(spark, sf):
+    """Each order's mask against that of its customer; the masks are bits of the keys."""
+    bits = lambda key, by: F.array(F.col(key) * F.lit(by) % 1099511627776)
+    masks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("img"), F.col("o_custkey").alias("key"), bits("o_orderkey", 2654435761).alias("mask"))
+    known = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("label"), bits("c_custkey", 40503001).alias("mask"))
+    return pixels.mask_scores(masks, known).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT img, CAST(strip AS INTEGER) AS strip, 0 AS "left", CAST(round_even(h * strip / 5, 0) AS INTEGER) AS top, w AS "right", least(CAST(round_even(h * (strip + 1) / 5, 0) AS INTEGER), h) AS bottom
+FROM (SELECT p_partkey AS img, CAST(p_size * 13 + 40 AS INTEGER) AS w, CAST(p_size * 7 + 31 AS INTEGER) AS h, unnest(range(5)) AS strip FROM part)""")
+def strip_geometry(spark, sf):
+    images = table(spark, sf, "part").select(F.col("p_partkey").alias("img"), (F.col("p_size") * 13 + 40).cast("int").alias("width"), (F.col("p_size") * 7 + 31).cast("int").alias("height"))
+    return pixels.strip_boxes(images)
+
+
+@query()
+def seam_split(spark, sf):
+    return pixels.split_by_seams(dots(spark, sf).where("y < 12"), min_split=20, min_part=5, max_ink=0)
+
+
+def queries() -> dict[str, Query]:
+    return dict(FOUND)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
