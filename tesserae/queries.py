@@ -407,7 +407,7 @@ PASSING = "used AS (SELECT q.trial_id FROM quality q LEFT JOIN named n USING (tr
 VOTES = NEIGHBORS + f""", {PASSING},
 open_ AS (SELECT * FROM tops WHERE token NOT IN (SELECT token FROM anchors) AND trial_id IN (SELECT trial_id FROM used)),
 leaks AS (SELECT DISTINCT word FROM expected),
-banned AS (SELECT trial_id, word FROM (SELECT *, sum(n) OVER (PARTITION BY trial_id) AS total FROM (SELECT trial_id, word, count(*) AS n FROM open_ GROUP BY trial_id, word)) WHERE n > greatest(1, ceil(0.01 * total))),
+banned AS (SELECT trial_id, word FROM (SELECT *, sum(n) OVER (PARTITION BY trial_id) AS total FROM (SELECT trial_id, word, count(*) AS n FROM open_ GROUP BY trial_id, word)) WHERE n > greatest(1, ceil(0.002 * total))),
 votes AS (SELECT trial_id, token, word, coalesce(margin, 0) AS margin, cosine FROM open_ o WHERE round(coalesce(margin, 0), 9) >= 0.01 AND word NOT IN (SELECT word FROM leaks) AND NOT EXISTS (FROM banned b WHERE b.trial_id = o.trial_id AND b.word = o.word)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY trials DESC, first_seen, word) AS place FROM (SELECT token, word, count(*) AS trials, avg(margin) AS mean_margin, avg(cosine) AS mean_cosine, min(trial_id) AS first_seen FROM votes GROUP BY ALL))"""
 
@@ -417,7 +417,7 @@ def cast_votes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
     used = stage(trials.passing(records, neighbors.quality(neighbors.margins(near, "trial_id", "token"), "trial_id"), 0.0, 50, 3.0), "used")
     near = near.join(F.broadcast(used), "trial_id", "left_semi")
     leaks = stage(expected(counts, spark).select("word"), "leaks")
-    return votes.votes(near, anchors(spark), leaks, 0.01, 0.01), used, near
+    return votes.votes(near, anchors(spark), leaks, 0.01, 0.002), used, near
 
 
 @query(NEIGHBORS + f", {PASSING} SELECT trial_id FROM used")
@@ -429,7 +429,7 @@ def quality_filter(spark, sf):
 def banned_words(spark, sf):
     near = cast_votes(spark, sf)[2]
     tops = neighbors.margins(near, "trial_id", "token").join(F.broadcast(anchors(spark)), "token", "left_anti")
-    return votes.banned_words(tops, 0.01)
+    return votes.banned_words(tops, 0.002)
 
 
 @query(VOTES + " SELECT trial_id, token, word, round(margin, 6) AS margin, round(cosine, 6) AS cosine FROM votes")
