@@ -34,17 +34,19 @@ EXAMPLES = 20_000
 #: Terms that the automaton holds at most, the most telling first.
 TERMS = 20_000
 
-HIDDEN = re.compile("[­​-‏‪-‮⁠﻿]")
+HIDDEN = re.compile("[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), 0x2060, 0xFEFF))) + "]")
 MARKUP = re.compile(r"<[^<>]{0,200}>|https?://\S+|www\.\S+")
 SHORT = "".join(rf"(?<!\b{x}\.)" for x in ("no", "nr", "op", "n", "p", "s", "vol", "art", "abs", "соч", "см", "ст"))
 END = re.compile(rf"(?<=[.!?…]){SHORT}[\"'»”’)]*\s+|(?<=[。？！])|\n+", re.IGNORECASE)
-WORD = re.compile("[^\\W\\d_]+(?:[̀-ͯ]+[^\\W\\d_]*)*|[§°%€$×№]")
-CJK = re.compile("[々ぁ-ヿ㐀-䶿一-鿿]+")
+#: Numbers whose shape says something, and the words they count as: a result (3:1), codes in a row (004-64b).
+SHAPES = ((re.compile(r"(?<![\d.,:-])\d{1,2}\s?[-–:]\s?\d{1,2}(?![\d.,:-])"), " pairofnumbers "), (re.compile(r"\d{1,4}[a-zA-Z?!]*(?:[-.:]\d{1,4}[a-zA-Z?!]*){2,}"), " rowofcodes "))
+WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*|[§°%€$×№]")
+CJK = re.compile(r"[\u3005\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
 
 
 def repaired(text: str) -> str:
     """UTF-8 that was read as a western single-byte code, read again where all of it fits."""
-    if re.search("[ÃÂÐÑãâ][\u0080-¿Œ-Ÿ‘-›€™]", text):
+    if re.search(r"[ÃÂÐÑãâ][\u0080-\u00bf\u0152-\u0178\u2018-\u203a\u20ac\u2122]", text):
         for code in ("cp1252", "latin-1"):
             try:
                 return text.encode(code).decode("utf-8")
@@ -54,7 +56,7 @@ def repaired(text: str) -> str:
 
 
 def sentences(text: str | None) -> list[str]:
-    """The sentences of a text in normal form: words in lower case between blanks, without markup and hidden characters.
+    """The sentences of a text in normal form: words in lower case between blanks, without markup, numbers and hidden characters.
 
     A full stop after one of a few abbreviations (No., op.) ends no sentence.
     """
@@ -64,6 +66,8 @@ def sentences(text: str | None) -> list[str]:
     text = unicodedata.normalize("NFKC", text)
     out = []
     for s in END.split(text):
+        for shape, word in SHAPES:
+            s = shape.sub(word, s)
         words = WORD.findall(s.lower())
         if words:
             out.append(f" {' '.join(words)} ")
@@ -113,7 +117,8 @@ def weigh(counts: dict[tuple[str, str], np.ndarray], sizes: dict[str, np.ndarray
     n = seen.sum(1, keepdims=True)
     p = due / n
     odds = np.log((seen + smooth * p) / p) - np.log((n - seen + smooth * (1 - p)) / (1 - p))
-    return dict(zip(kept, np.clip(odds, -1, 4)))
+    least_odds = np.array([[-0.3 if CJK.match(t) else -1.0] for t in kept])  # a Japanese sentence has many terms that overlap
+    return dict(zip(kept, np.clip(odds, least_odds, 4)))
 
 
 class Matcher:
@@ -262,5 +267,4 @@ def composition(found: DataFrame, documents: DataFrame) -> DataFrame:
     """subject, n_docs, n_sentences and share (of all documents with an id) for each subject, and n_docs of 'none': those without one."""
     every = documents.where("doc_id IS NOT NULL").select("doc_id").distinct()
     per = every.join(found, "doc_id", "left").groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_sentences"), F.lit(0)).alias("n_sentences"))
-    total = every.agg(F.count("*").alias("_all"))
-    return per.join(F.broadcast(total)).select("subject", "n_docs", "n_sentences", (F.col("n_docs") / F.col("_all")).alias("share"))
+    return per.select("subject", "n_docs", "n_sentences", (F.col("n_docs") / F.lit(every.count())).alias("share"))
