@@ -205,7 +205,8 @@ def frequent_patterns(tokens: DataFrame, share: int = 25, shortest: int = 3, lon
     found = support if shortest <= 1 else None
     for taken in range(1, longest):
         edges = level.select("node").where(F.size("node") > 0).distinct().mapInArrow(partial(unfold, column="node", of=partial(children, left=longest - taken, gap=gap)), "node array<int>, event int, child array<int>")
-        rows = level.join(edges, "node").select(F.concat("prefix", F.array("event")).alias("prefix"), "child", "owner", "weight")
+        # a shuffled join: nodes compress well, so that a file's size says little about theirs
+        rows = level.join(edges.hint("merge"), "node").select(F.concat("prefix", F.array("event")).alias("prefix"), "child", "owner", "weight")
         level, support = weighed(rows)
         if taken + 1 >= shortest:
             found = support if found is None else found.unionByName(support)
