@@ -55,7 +55,7 @@ class Symbols:
         return Symbols(name, self.part[first], self.start[first], self.end[last], np.minimum.reduceat(left, first) if len(first) else left, np.maximum.reduceat(right, first) if len(first) else right)
 
     def runs(self, seed: int) -> "Symbols":
-        """Each longest run of one symbol becomes one named by symbol and length; the neighbours decide where it ends."""
+        """Each longest run of one token becomes one symbol named by token and length; the tokens beside it decide where it ends."""
         name, part = self.name, self.part
         if not len(name):
             return self
@@ -66,8 +66,7 @@ class Symbols:
         out = self.merged(first, name[first].copy(), self.left, self.right)
         many = size > 1
         out.name[many] = mix(out.name[many] + mix(size[many].astype(np.uint64) + np.uint64(seed << 32)))
-        before, after = neighbours(out.left, out.part, -1, NONE), neighbours(out.right, out.part, 1, NONE)
-        out.left, out.right = np.minimum(out.left, np.where(before == NONE, out.start - 1, before)), np.maximum(out.right, np.where(after == NONE, out.end + 1, after))
+        out.left, out.right = out.start - 1, out.end + 1
         return out
 
     def pairs(self, seed: int) -> "Symbols":
