@@ -10,7 +10,7 @@ from tesserae.functions.vectors import dot, norm, normalize
 from tesserae.operators import consensus as votes
 from tesserae.operators import cooccurrence as cooc
 from tesserae.operators import lines as ln
-from tesserae.operators import matching, neighbors, pixels, trials
+from tesserae.operators import learning, matching, neighbors, pixels, trials
 from tesserae.operators.tokenize import STRATEGIES, exploded, sequences, tokenize
 from tesserae.plans.index import numbered
 from tesserae.plans.stages import broadcast_below, stage
@@ -575,6 +575,32 @@ def seam_split(spark, sf):
     return pixels.split_by_seams(dots(spark, sf).where("y < 12"), min_split=20, min_part=5, max_ink=0)
 
 
+# --- learning --------------------------------------------------------------------------------------------------------
+
+SMALL = learning.Settings(input_dim=16, hidden_dim=32, output_dim=16, epochs=2, negatives=8, learning_rate=0.05)
+
+
+@query()
+def pca_2d(spark, sf):
+    return rounded(learning.principal_plane(table(spark, sf, "embeddings")))
+
+
+@query()
+def projection_forward(spark, sf):
+    """The tokens' vectors through a seeded, untrained layer."""
+    vocab = stage(cooc.vocabulary(tokens(spark, sf, "simple")), "vocab")
+    return learning.project(vocab, learning.Model.create(vocab.count(), SMALL))
+
+
+@query()
+def train_projection(spark, sf):
+    """Two epochs over the pairs of all lines."""
+    lines_ = tokens(spark, sf, "simple")
+    vocab = stage(cooc.vocabulary(lines_), "vocab")
+    model, _ = learning.fit_projection(cooc.indexed_pairs(cooc.pair_counts(lines_, 2), vocab), vocab.count(), SMALL)
+    return learning.project(vocab, model)
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 
