@@ -229,10 +229,10 @@ def cooc_top_pairs(spark, sf):
 
 @query(f"""WITH {sql_tokens('simple')}, vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM toks)),
 wanted AS (SELECT DISTINCT regexp_extract(glyph, '[0-9]+') AS token FROM glyph_tokens WHERE glyph IS NOT NULL)
-SELECT w.token, coalesce(x.idx, p.idx) AS idx FROM wanted w LEFT JOIN vocab x ON x.token = w.token LEFT JOIN vocab p ON p.token = {sql_pad('w.token')}""")
+SELECT w.token, coalesce(x.idx, p.idx, -1) AS idx FROM wanted w LEFT JOIN vocab x ON x.token = w.token LEFT JOIN vocab p ON p.token = {sql_pad('w.token')}""")
 def anchor_resolve(spark, sf):
     wanted = table(spark, sf, "glyph_tokens").where("glyph IS NOT NULL").select(F.regexp_extract("glyph", "[0-9]+", 0).alias("token")).distinct()
-    return cooc.resolve_tokens(wanted, stage(cooc.vocabulary(tokens(spark, sf, "simple")), "vocab"))
+    return cooc.resolve_tokens(wanted, stage(cooc.vocabulary(tokens(spark, sf, "simple")), "vocab")).withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
 @query(f"""WITH {sql_tokens('glyph_variants')}, wanted AS (SELECT DISTINCT regexp_extract(glyph, '[0-9]+') AS token FROM glyph_tokens WHERE glyph IS NOT NULL),
@@ -320,10 +320,10 @@ def word_pool_v1(spark, sf):
 
 
 @query(f"""WITH {WORDS}, pool AS (SELECT lower(word) AS word, min(idx) AS idx FROM words WHERE length(word) >= 3 GROUP BY 1 ORDER BY idx LIMIT 5000)
-SELECT idx, word FROM pool UNION ALL SELECT NULL, word FROM (SELECT DISTINCT lower(trim(subject)) AS word FROM subject_examples WHERE subject IS NOT NULL) WHERE word NOT IN (SELECT word FROM pool)""")
+SELECT idx, word FROM pool UNION ALL SELECT -1, word FROM (SELECT DISTINCT lower(trim(subject)) AS word FROM subject_examples WHERE subject IS NOT NULL) WHERE word NOT IN (SELECT word FROM pool)""")
 def word_pool_v2(spark, sf):
     extras = table(spark, sf, "subject_examples").where("subject IS NOT NULL").select(F.lower(F.trim("subject")).alias("word"))
-    return neighbors.with_extras(stage(neighbors.word_pool(words(spark, sf), 5000, lower=True), "pool"), extras)
+    return neighbors.with_extras(stage(neighbors.word_pool(words(spark, sf), 5000, lower=True), "pool"), extras).withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
 # --- trials, quality and consensus -----------------------------------------------------------------------------------
@@ -503,9 +503,9 @@ def normalize_labels(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderpriority").alias("raw"), found.alias("label")).groupBy("raw", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ANSWERS} SELECT l_orderkey, coalesce(min(l_linenumber) FILTER (WHERE l_suppkey % 4 = 0), max(l_linenumber)) AS checked, min(l_linenumber) FILTER (WHERE l_suppkey % 4 = 0) AS label_at FROM answers GROUP BY l_orderkey")
+@query(f"WITH {ANSWERS} SELECT l_orderkey, coalesce(min(l_linenumber) FILTER (WHERE l_suppkey % 4 = 0), max(l_linenumber)) AS checked, coalesce(min(l_linenumber) FILTER (WHERE l_suppkey % 4 = 0), -1) AS label_at FROM answers GROUP BY l_orderkey")
 def short_circuit_match(spark, sf):
-    return matching.short_circuit(answers(spark, sf).withColumn("matched", F.col("l_suppkey") % 4 == 0), "l_orderkey", "l_linenumber", "matched")
+    return matching.short_circuit(answers(spark, sf).withColumn("matched", F.col("l_suppkey") % 4 == 0), "l_orderkey", "l_linenumber", "matched").withColumn("label_at", F.coalesce("label_at", F.lit(-1)))
 
 
 @query(f"WITH {ANSWERS} SELECT l_orderkey, label, score FROM (SELECT *, l_partkey AS label, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey DESC) AS k FROM answers) WHERE k = 1")
