@@ -14,6 +14,8 @@ from tesserae.plans.stages import stage
 
 #: Sources in the table of targets at most; their weights are held on the driver.
 SOURCES = 100_000
+#: Slots of a shard at least, and shards at most, where the caller names no size: a source's slots are counted through all shards in one order.
+SHARD_SLOTS, SHARDS = 1024, 65_536
 #: Documents of a source that are numbered in one group.
 BUCKET_DOCS = 50_000
 
@@ -100,11 +102,11 @@ def draw(sources: list, slots: int, shard_slots: int, seed: int, spark) -> DataF
     return each.repartition("shard").mapInArrow(place, "shard long, slot long, source string, repeat long, block long")
 
 
-def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = 64, shard_slots: int = 1024, slots: int | None = None, seed: int = 7) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = 64, shard_slots: int | None = None, slots: int | None = None, seed: int = 7) -> DataFrame:
     """A mixture as the pieces of documents it is made of: shard, slot, source, repeat, block, doc_id, first_token, n_tokens, at.
 
     sized has doc_id, source and n_tokens. The documents of each source with a target are packed into blocks of so
-    many tokens (the last of a source may be shorter). slots: how many blocks the mixture has; by default as many as
+    many tokens (the last of a source may be shorter), and slots are drawn in shards of shard_slots. slots: how many blocks the mixture has; by default as many as
     let every source keep its share within its cap, six standard deviations of the draw included. A block, and so
     every token and document, is used at most max_repeats times; slots that would need more stay empty, and
     shares() shows it.
@@ -124,6 +126,8 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = 64, shard_slot
         return spark.createDataFrame([], "shard long, slot long, source string, repeat long, block long, doc_id long, first_token int, n_tokens int, at int")
     if slots is None:
         slots = most_slots(sources)
+    if shard_slots is None:
+        shard_slots = max(SHARD_SLOTS, math.ceil(slots / SHARDS))
     pieces = packed(once, block_tokens, seed)
     return draw(sources, slots, shard_slots, seed, spark).join(pieces, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "doc_id", "first_token", "n_tokens", "at")
 
