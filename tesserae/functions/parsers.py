@@ -66,13 +66,26 @@ def alternates(text: Column) -> Column:
 
 
 def known_label(text: Column, known: list[str]) -> Column:
-    """Parts between + and . that are all known labels, whatever their case, joined by + again; else null."""
+    """Parts between + and . that are all known labels, whatever their case, joined by a point; else null."""
     table = F.create_map(*[x for k in known for x in (F.lit(k.lower()), F.lit(k))])
     parts = F.transform(F.split(text, "[+.]"), lambda x: F.try_element_at(table, F.lower(F.trim(x))))
-    return F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, "+"))
+    return F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, "."))
 
 
 def retry_seconds(text: Column, least: float) -> Column:
     """The wait that a message asks for (try again in 250ms, or 2.5s), at least so many seconds."""
     ms, s = found(text, r"(?i)try again in ([0-9.]+)ms"), found(text, r"(?i)try again in ([0-9.]+)s")
     return F.greatest(F.coalesce(ms.cast("double") / 1000, s.cast("double"), F.lit(0.0)), F.lit(least))
+
+
+def best_label(text: Column, known: list[str]) -> Column:
+    """A known label: what the line label: says, else the longest that stands in the text by itself, else the first of all."""
+    said = known_label(found(text, r"(?im)^\s*label\s*:\s*([A-Za-z0-9+. ]+?)\s*$"), known)
+    quoted = ((k, "".join(f"\\{c}" if not c.isalnum() else c for c in k)) for k in sorted(known, key=len, reverse=True))
+    seen = [F.when(text.rlike(rf"(?i)(?<![A-Za-z0-9]){q}(?![A-Za-z0-9])"), F.lit(k)) for k, q in quoted]
+    return F.coalesce(said, *seen, F.lit(known[0]))
+
+
+def reasoning(text: Column) -> Column:
+    """What stands after reasoning: up to a line that begins with label: or raw:; without it the whole text."""
+    return F.coalesce(F.trim(found(text, r"(?is)reasoning\s*:\s*(.+?)(?:\n\s*label\s*:|\n\s*raw\s*:|$)")), F.trim(text))

@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from tesserae.operators.neighbors import margins
 
 
+#: Bounds for taking part and for agreeing, by name.
+PRESETS = {
+    "strict": {"min_score": 4.0, "min_unique": 100, "min_entropy": 4.0, "min_trials": 2, "min_fraction": 0.5, "min_margin": 0.05, "banned_share": 0.05},
+    "default": {"min_score": 3.0, "min_unique": 50, "min_entropy": 3.0, "min_trials": 2, "min_fraction": 0.35, "min_margin": 0.03, "banned_share": 0.08},
+    "relaxed": {"min_score": 2.0, "min_unique": 25, "min_entropy": 2.0, "min_trials": 2, "min_fraction": 0.25, "min_margin": 0.02, "banned_share": 0.12},
+}
+
+
+def bounds(preset: str = "default", **own: float) -> dict[str, float]:
+    """The bounds of a preset; own values count with the preset default only."""
+    return PRESETS[preset] | (own if preset == "default" else {})
+
+
+def known_trials(neighbors: DataFrame, records: DataFrame) -> DataFrame:
+    """The neighbours of trials that the log names; all of them where the log is empty."""
+    return neighbors if records.isEmpty() else neighbors.join(records.select("trial_id").distinct(), "trial_id", "left_semi")
+
+
 def banned_words(tops: DataFrame, share: float) -> DataFrame:
     """trial_id and word of first neighbours that a trial gives to more than max(1, ceil(share * tokens)) of its tokens."""
     count = tops.groupBy("trial_id", "word").agg(F.count("*").alias("n"))

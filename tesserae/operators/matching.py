@@ -33,3 +33,16 @@ def cells(labels: DataFrame, images: DataFrame, per_sheet: int = 100, columns: i
     there = images.select("label").distinct().withColumn("_there", F.lit(True))
     n = F.col("label").cast("int")
     return labels.join(there, "label", "left").select("label", F.floor(n / per_sheet).cast("int").alias("sheet"), F.floor((n % per_sheet) / columns).cast("int").alias("row"), (n % columns).alias("col"), F.col("_there").isNull().alias("missing"))
+
+
+def two_stages(pairs: DataFrame, kind: Callable[[DataFrame], Column], label: Callable[[DataFrame], Column], bad: str = "bad_crop") -> DataFrame:
+    """pairs with kind and label: the second scorer is asked only where the first doesn't find a bad crop; there the label is null."""
+    first = with_scorer(pairs, kind, "kind")
+    good = with_scorer(first.where(F.col("kind") != bad), label, "label")
+    return good.unionByName(first.where((F.col("kind") == bad) | F.col("kind").isNull()).withColumn("label", F.lit(None).cast("string")))
+
+
+def leftovers(images: DataFrame) -> DataFrame:
+    """Images to remove after a split: names 000 and 114, and files of at most 54 bytes."""
+    stem = F.regexp_replace("name", "\\.[^.]*$", "")
+    return images.where(stem.isin("000", "114") | (F.col("length") <= 54))

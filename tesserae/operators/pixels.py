@@ -19,6 +19,25 @@ def islands(profile: DataFrame, at: str, least: int, max_gap: int, *keys: str) -
     return runs.groupBy(*keys, "run").agg(F.min(at).alias("low"), (F.max(at) + 1).alias("high")).withColumn("run", F.col("run").cast("int"))
 
 
+def segments(pixels: DataFrame, threshold: int = 190, row_ink: int = 6, column_ink: int = 2, row_gap: int = 5, column_gap: int = 1, padding: int = 2) -> DataFrame:
+    """img, number, left, top, right and bottom (exclusive) of the signs of each image, with padding within its pixels.
+
+    Rows with enough ink make lines, and columns with enough ink within a line make signs; both close over small gaps.
+    Signs are numbered from 1, line by line and from the left.
+    """
+    ink = pixels.where(F.col("v") < threshold).select("img", "x", "y")
+    size = pixels.groupBy("img").agg(F.max("x").alias("w"), F.max("y").alias("h"))
+    lines = islands(ink.groupBy("img", "y").agg(F.count("*").alias("n")), "y", row_ink, row_gap, "img")
+    rows = lines.select("img", F.col("run").alias("line"), F.explode(F.sequence("low", F.col("high") - 1)).alias("y"))
+    placed = ink.join(rows, ["img", "y"])
+    signs = islands(placed.groupBy("img", "line", "x").agg(F.count("*").alias("n")), "x", column_ink, column_gap, "img", "line")
+    columns = signs.select("img", "line", "run", F.explode(F.sequence("low", F.col("high") - 1)).alias("x"))
+    box = placed.join(columns, ["img", "line", "x"]).groupBy("img", "line", "run").agg(F.min("x").alias("l"), F.min("y").alias("t"), F.max("x").alias("r"), F.max("y").alias("b"))
+    number = F.row_number().over(Window.partitionBy("img").orderBy("line", "run"))
+    edge = lambda low, high: F.least(F.col(low) + 1 + padding, F.col(high) + 1)
+    return box.withColumn("number", number).join(size, "img").select("img", "number", F.greatest(F.col("l") - padding, F.lit(0)).alias("left"), F.greatest(F.col("t") - padding, F.lit(0)).alias("top"), edge("r", "w").alias("right"), edge("b", "h").alias("bottom"))
+
+
 def bounding_boxes(pixels: DataFrame, threshold: int = 190, padding: int = 0) -> DataFrame:
     """img, left, top, right and bottom (exclusive) of the ink, with padding but not below 0."""
     box = pixels.where(F.col("v") < threshold).groupBy("img").agg(F.min("x").alias("l"), F.min("y").alias("t"), F.max("x").alias("r"), F.max("y").alias("b"))

@@ -175,6 +175,16 @@ def glyph_variant_keys(spark, sf):
     return exploded(tokens(spark, sf, "glyph_variants")).groupBy(F.col("token").alias("key")).agg(F.count("*").alias("n"))
 
 
+STRUCT_KEY = "g || CASE WHEN v = '' AND m = '' THEN '' ELSE ':' || v || CASE WHEN m = '' THEN '' ELSE '+' || m END END"
+
+
+@query(f"WITH k AS (SELECT glyph AS g, coalesce(variant, '') AS v, coalesce(array_to_string(modifiers, ','), '') AS m FROM glyph_tokens WHERE glyph IS NOT NULL) SELECT {STRUCT_KEY} AS key, count(*) AS n FROM k GROUP BY 1")
+def struct_keys(spark, sf):
+    """The keys of the structs as they were delivered."""
+    t = table(spark, sf, "glyph_tokens").where("glyph IS NOT NULL")
+    return t.select(text.variant_key(F.struct("glyph", "variant", "modifiers")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {sql_tokens('glyph_variants')} SELECT token AS key, split_part(token, ':', 1) AS glyph, split_part(split_part(token, ':', 2), '+', 1) AS variant, split_part(split_part(token, ':', 2), '+', 2) AS modifiers, token AS again FROM toks GROUP BY token")
 def glyph_variant_roundtrip(spark, sf):
     keys = exploded(tokens(spark, sf, "glyph_variants")).select(F.col("token").alias("key")).distinct().withColumn("t", text.parse_variant_key(F.col("key")))
@@ -553,6 +563,21 @@ def bounding_boxes(spark, sf):
     return pixels.bounding_boxes(dots(spark, sf), padding=2)
 
 
+SEGMENTS = f"""WITH {DOTS}, ink AS (SELECT img, x, y FROM dots WHERE v < 190), size AS (SELECT img, max(x) AS w, max(y) AS h FROM dots GROUP BY img),
+rn AS (SELECT img, y FROM ink GROUP BY img, y HAVING count(*) >= 2), rf AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY img ORDER BY y) <= 1 THEN 0 ELSE 1 END AS f FROM rn),
+rr AS (SELECT *, sum(f) OVER (PARTITION BY img ORDER BY y) AS line FROM rf), r AS (SELECT img, line, min(y) AS lo, max(y) AS hi FROM rr GROUP BY img, line),
+placed AS (SELECT i.img, line, x, y FROM ink i JOIN r ON r.img = i.img AND y BETWEEN lo AND hi),
+cn AS (SELECT img, line, x FROM placed GROUP BY img, line, x), cf AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY img, line ORDER BY x) <= 2 THEN 0 ELSE 1 END AS f FROM cn),
+cc AS (SELECT *, sum(f) OVER (PARTITION BY img, line ORDER BY x) AS run FROM cf), c AS (SELECT img, line, run, min(x) AS lo, max(x) AS hi FROM cc GROUP BY img, line, run),
+box AS (SELECT p.img, p.line, run, min(x) AS l, min(y) AS t, max(x) AS r, max(y) AS b FROM placed p JOIN c ON c.img = p.img AND c.line = p.line AND x BETWEEN lo AND hi GROUP BY p.img, p.line, run)
+SELECT b.img, CAST(row_number() OVER (PARTITION BY b.img ORDER BY line, run) AS INTEGER) AS number, greatest(l - 2, 0) AS "left", greatest(t - 2, 0) AS top, least(r + 3, w + 1) AS "right", least(b + 3, h + 1) AS bottom FROM box b JOIN size s ON s.img = b.img"""
+
+
+@query(SEGMENTS)
+def glyph_boxes(spark, sf):
+    return pixels.segments(dots(spark, sf), row_ink=2, column_ink=1, row_gap=0, column_gap=1)
+
+
 @query("""SELECT o_orderkey AS img, c_custkey AS label, CAST(bit_count(a & b) AS BIGINT) AS overlap, CAST(bit_count(a | b) AS BIGINT) AS union_, round(bit_count(a & b) / greatest(bit_count(a | b), 1) - 0.0001 * bit_count(xor(a, b)), 6) AS score
 FROM (SELECT o_orderkey, c_custkey, CAST(o_orderkey * 2654435761 % 1099511627776 AS BIGINT) AS a, CAST(c_custkey * 40503001 % 1099511627776 AS BIGINT) AS b FROM orders JOIN customer ON c_custkey = o_custkey)""")
 def mask_iou(spark, sf):

@@ -75,3 +75,26 @@ def read_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("pn
 def smallest_encoding(encodings: DataFrame, key: str = "key", suffix: str = "suffix", size: str = "length", order: str = "place") -> DataFrame:
     """key, suffix and size of each image's smallest encoding; of equal ones the first."""
     return encodings.groupBy(key).agg(F.min_by(F.struct(F.col(suffix).alias("suffix"), F.col(size).alias("length")), F.struct(size, order)).alias("b")).select(key, "b.suffix", "b.length")
+
+
+def write_projection(projected: DataFrame, metadata: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A trial's projected tokens as parquet and its metadata as JSON, under trial_id=."""
+    projected.write.mode(mode).partitionBy("trial_id").parquet(f"{path}/projection")
+    metadata.write.mode(mode).partitionBy("trial_id").json(f"{path}/metadata")
+
+
+def write_answers(answers: DataFrame, path: str, mode: str = "append") -> None:
+    """A scorer's answers as JSON, in a folder for each query named <parent>_<stem>_<model>, made safe."""
+    from tesserae.functions.text import safe_file_part
+
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    name = F.concat_ws("_", part(-2), F.regexp_replace(part(-1), "\\.[^.]*$", ""), F.col("model"))
+    answers.withColumn("run", safe_file_part(name)).write.mode(mode).partitionBy("run").json(path)
+
+
+def images_by_label(images: DataFrame) -> DataFrame:
+    """Images whose stem is a number, with a column label: that number with three digits."""
+    from tesserae.functions.text import pad
+
+    stem = F.regexp_replace("name", "\\.[^.]*$", "")
+    return images.where(stem.rlike("^[0-9]+$")).withColumn("label", pad(stem))

@@ -105,3 +105,14 @@ def test_principal_plane(spark):
     axes = np.linalg.svd(v - v.mean(0))[2][:2].T
     want = (v - v.mean(0)) @ axes * np.sign(axes[np.abs(axes).argmax(0), [0, 1]])
     assert np.allclose([[r.x, r.y] for r in got], want, atol=1e-4)
+
+
+def test_sinks_of_projections_and_answers(spark, tmp_path):
+    projected = spark.createDataFrame([("t1", "076", [1.0])], "trial_id string, token string, projected array<double>")
+    records.write_projection(projected, spark.createDataFrame([("t1", [0.5])], "trial_id string, losses array<double>"), f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p/projection").first().trial_id == "t1" and list(spark.read.json(f"{tmp_path}/p/metadata").first().losses) == [0.5]
+    answers = spark.createDataFrame([("/x/dict/12.png", "a/b:1", "0.734")], "path string, model string, score string")
+    records.write_answers(answers, f"{tmp_path}/a")
+    assert spark.read.json(f"{tmp_path}/a").first().run == "dict_12_a-b-1"
+    images = spark.createDataFrame([("7.png",), ("x.png",), ("1234.gif",)], "name string")
+    assert sorted(r.label for r in records.images_by_label(images).collect()) == ["007", "1234"]

@@ -133,6 +133,27 @@ def test_islands(spark, gap, want):
     assert sorted((r.low, r.high) for r in pixels.islands(profile, "x", 2, gap, "img").collect()) == want
 
 
+def test_segments(spark):
+    rows = [(1, x, y, 0) for y in (2, 3, 10) for x in (1, 2, 3, 8, 9)] + [(1, 20, 20, 255)]
+    df = spark.createDataFrame(rows, "img long, x int, y int, v int")
+    got = pixels.segments(df, row_ink=2, column_ink=1, row_gap=1, padding=1).orderBy("number").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 0, 1, 5, 5), (1, 2, 7, 1, 11, 5), (1, 3, 0, 9, 5, 12), (1, 4, 7, 9, 11, 12)]
+    assert pixels.segments(df.limit(0)).count() == 0
+
+
+def test_presets_and_known_trials(spark):
+    assert consensus.bounds(min_margin=0.5)["min_margin"] == 0.5 and consensus.bounds("strict", min_margin=0.5)["min_margin"] == 0.05
+    near, log = spark.createDataFrame([("a",), ("b",)], "trial_id string"), spark.createDataFrame([("a",)], "trial_id string")
+    assert consensus.known_trials(near, log).count() == 1 and consensus.known_trials(near, log.limit(0)).count() == 2
+
+
+def test_two_stages_and_leftovers(spark):
+    df = spark.createDataFrame([("1", "000.gif", 99), ("2", "1.gif", 54), ("3", "2.gif", 99)], "crop string, name string, length int")
+    got = matching.two_stages(df, lambda p: F.when(F.col("crop") == "1", "bad_crop").otherwise("single"), lambda p: F.concat(F.lit("x"), "crop"))
+    assert {r.crop: r.label for r in got.collect()} == {"1": None, "2": "x2", "3": "x3"}
+    assert {r.crop for r in matching.leftovers(df).collect()} == {"1", "2"}
+
+
 def test_boxes_masks_and_strips(spark):
     dots = spark.createDataFrame([(1, 3, 4, 0), (1, 9, 5, 100), (1, 50, 50, 255)], "img long, x int, y int, v int")
     b = pixels.bounding_boxes(dots, padding=4).first()

@@ -94,10 +94,17 @@ def test_labels_and_fields(spark):
     assert one(spark, "alternates: 001, 002; 001, none", parsers.alternates(F.col("x"))) == ["001", "002"]
     assert one(spark, "kind: Ligature", parsers.crop_kind(F.col("x"))) == "ligature" and one(spark, "x", parsers.crop_kind(F.col("x"))) == "single"
     known = lambda raw: one(spark, raw, parsers.known_label(F.col("x"), ["A1", "b2"]))
-    assert known("a1+B2") == "A1+b2" and known("a1.c3") is None
+    assert known("a1+B2") == "A1.b2" and known("a1.c3") is None
     assert one(spark, "try again in 250ms", parsers.retry_seconds(F.col("x"), 0.1)) == 0.25 and one(spark, "x", parsers.retry_seconds(F.col("x"), 1.0)) == 1.0
 
 
+def test_best_label_and_reasoning(spark):
+    best = lambda raw: one(spark, raw, parsers.best_label(F.col("x"), ["A1", "A1b", "?x"]))
+    assert best("Label: a1.A1B ") == "A1.A1b" and best("I see a1b, or A1") == "A1b" and best("it is ?X") == "?x" and best("nothing") == "A1"
+    why = lambda raw: one(spark, raw, parsers.reasoning(F.col("x")))
+    assert why("Reasoning: round\nand small\nlabel: A1") == "round\nand small" and why(" just so ") == "just so"
+
+
 PAGE = '<ul>x<li class="a"><a href="#">Aa1</a> 1-2.<br>3 &amp; 4<li><a>Aa2</a>5</li><li>none</li><li><a>Aa1</a>6</li></ul>'
 
 
