@@ -18,7 +18,7 @@ def suffixes(tokens: DataFrame, depth: int) -> DataFrame:
     repeat: how many first terms it has in common with the suffix before it in the order of the same line's suffixes.
     So a suffix stands for an n-gram that its line held before, in this order, if repeat >= n.
     """
-    read = readings(tokens).where("glyph IS NOT NULL").select("line_id", "pos", term().alias("term"))
+    read = readings(tokens).select("line_id", "pos", term().alias("term"))
     size = max(BLOCK, 4 * depth)
     arrays = block_arrays(blocks(read, depth - 1, size)).withColumn("toks", first_readings(F.col("toks")))
     at = arrays.select("line_id", "block", "toks", F.posexplode("toks").alias("i", "tok")).where(F.floor(F.col("tok.pos") / size) == F.col("block"))

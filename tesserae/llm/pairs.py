@@ -67,7 +67,7 @@ def pairs_together(tokens: DataFrame, windows: list[int], least_lines: int = 1,
     if not windows:
         return empty
     size = max(BLOCK, 4 * windows[-1])
-    read = readings(tokens).where("glyph IS NOT NULL").select("line_id", "pos", "glyph")
+    read = readings(tokens).select("line_id", "pos", "glyph")
     counts = stage(line_count_and(read, "glyph"), "glyph-lines")
     total = counts.where("glyph IS NULL").select("n").first()
     if not total:

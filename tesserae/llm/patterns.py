@@ -158,7 +158,7 @@ def frequent_patterns(tokens: DataFrame, share: int = 25, shortest: int = 3, lon
     """
     spark = tokens.sparkSession
     empty = spark.createDataFrame([], "event_pattern string, n_events int, n long, n_lines long")
-    read = readings(tokens).where("glyph IS NOT NULL").select("line_id", "pos", event().alias("event"))
+    read = readings(tokens).select("line_id", "pos", event().alias("event"))
     counts = stage(line_count_and(read, "event"), "event-lines")
     total = counts.where("event IS NULL").select("n").first()
     if not total:

@@ -11,12 +11,6 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
-def glyph_code(glyph: Column) -> Column:
-    """The first run of digits, padded to three digits; null without digits."""
-    digits = F.regexp_extract(glyph, "([0-9]+)", 1)
-    return F.when(digits != "", F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits))
-
-
 def variant_letters(variant: Column) -> Column:
     """The letters a to g in lower case; '' for none."""
     return F.coalesce(F.regexp_replace(F.lower(variant), "[^a-g]", ""), F.lit(""))
@@ -29,14 +23,15 @@ def modifier_letters(modifiers: Column) -> Column:
 
 
 def readings(tokens: DataFrame, *more: str) -> DataFrame:
-    """line_id, pos, glyph, variant, modifiers of every row, and the columns in more as they are.
+    """line_id, pos, glyph, variant, modifiers of every readable row, and the columns in more as they are.
 
-    glyph is null for an unreadable token. Rows without line_id or with a null or negative pos have no place and are
-    left out.
+    Rows without line_id or with a null or negative pos have no place and are left out, like rows without a digit in glyph.
+    The digits are taken in a projection of their own, so that they are looked for once and not for each use.
     """
-    return tokens.where("line_id IS NOT NULL AND pos >= 0").select(
-        "line_id", "pos", glyph_code(F.col("glyph")).alias("glyph"), variant_letters(F.col("variant")).alias("variant"), modifier_letters(F.col("modifiers")).alias("modifiers"), *more
-    )
+    placed = tokens.where("line_id IS NOT NULL AND pos >= 0 AND glyph RLIKE '[0-9]'")
+    taken = placed.select("line_id", "pos", F.regexp_extract("glyph", "[0-9]+", 0).alias("_digits"), F.col("variant").alias("_variant"), F.col("modifiers").alias("_modifiers"), *more)
+    glyph = F.when(F.length("_digits") < 3, F.lpad("_digits", 3, "0")).otherwise(F.col("_digits"))
+    return taken.select("line_id", "pos", glyph.alias("glyph"), variant_letters(F.col("_variant")).alias("variant"), modifier_letters(F.col("_modifiers")).alias("modifiers"), *more)
 
 
 def event(glyph: str = "glyph", modifiers: str = "modifiers") -> Column:

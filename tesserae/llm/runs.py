@@ -22,7 +22,7 @@ def collapse_runs(tokens: DataFrame, least: int = 2, letters: int = 1) -> DataFr
     where their readings differ, the least one counts, with its earliest known time. read_at may be null or out of order: the earliest and latest
     that are known count, and seconds is null where none is. An empty table gives no rows; other columns don't matter.
     """
-    rows = blocks(readings(tokens, "read_at").where("glyph IS NOT NULL"))
+    rows = blocks(readings(tokens, "read_at"))
     toks = first_readings(F.col("toks"))
     if least > 1:  # most tokens have no like neighbour; at a block's ends the neighbour isn't seen here
         like = lambda u, x, i, by: F.get(u, i + by).isNull() | ((F.get(u, i + by)["pos"] == x["pos"] + by) & (F.get(u, i + by)["glyph"] == x["glyph"]))

@@ -147,7 +147,7 @@ def shared_windows(tokens: DataFrame, window: int = 16, phases: int = 9) -> Data
     on its tokens only, so that it is the same in all lines. A window that another line holds shares the anchor with
     it (see anchors), so only windows whose anchor stands in several lines are compared, token by token.
     """
-    read = readings(tokens).where("glyph IS NOT NULL").select("line_id", "pos", "glyph")
+    read = readings(tokens).select("line_id", "pos", "glyph")
     size = max(BLOCK, 4 * window)
     of = anchors(window, phases, size)
     held = stage(map_blocks(blocks(read, window - 1, size), of, "anchor long, line_id long, pos int, glyphs array<string>"), "anchors")
@@ -181,6 +181,6 @@ def shared_spans(tokens: DataFrame, window: int = 16, phases: int = 9) -> DataFr
 def shared_shares(tokens: DataFrame, window: int = 16, phases: int = 9) -> DataFrame:
     """For every line with a readable token: n_tokens, n_shared (tokens in shared spans) and shared_share."""
     spans = shared_spans(tokens, window, phases).groupBy("line_id").agg(F.sum(F.col("end_pos") - F.col("start_pos") + 1).alias("n_shared"))
-    sizes = readings(tokens).where("glyph IS NOT NULL").select("line_id", "pos").distinct().groupBy("line_id").agg(F.count("*").alias("n_tokens"))
+    sizes = readings(tokens).select("line_id", "pos").distinct().groupBy("line_id").agg(F.count("*").alias("n_tokens"))
     shared = F.coalesce("n_shared", F.lit(0))
     return sizes.join(spans, "line_id", "left").select("line_id", "n_tokens", shared.alias("n_shared"), (shared / F.col("n_tokens")).alias("shared_share"))

@@ -242,4 +242,4 @@ def test_frequencies(spark, depth):
 def test_readings(spark):
     rows = [(1, 0, "(1053)?", " Ab V", ["H", None, "x "], None), (1, 1, "9-12", None, None, None), (1, 2, "x", "zz", [], None)]
     got = [tuple(r)[2:5] for r in readings(table(spark, rows)).orderBy("pos").collect()]
-    assert got == [("1053", "ab", "h,x"), ("009", "", ""), (None, "", "")]
+    assert got == [("1053", "ab", "h,x"), ("009", "", "")]  # the third is unreadable
