@@ -40,6 +40,7 @@ SHORT = "".join(rf"(?<!\b{x}\.)" for x in ("no", "nr", "op", "n", "p", "s", "vol
 END = re.compile(rf"(?<=[.!?…]){SHORT}[\"'»”’)]*\s+|(?<=[。？！])|\n+", re.IGNORECASE)
 #: Numbers whose shape says something, and the words they count as: a result (3:1), codes in a row (004-64b).
 SHAPES = ((re.compile(r"(?<![\d.,:-])\d{1,2}\s?[-–:]\s?\d{1,2}(?![\d.,:-])"), " pairofnumbers "), (re.compile(r"\d{1,4}[a-zA-Z?!]*(?:[-.:]\d{1,4}[a-zA-Z?!]*){2,}"), " rowofcodes "))
+DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*|[§°%€$×№]")
 CJK = re.compile(r"[\u3005\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
 
@@ -66,8 +67,9 @@ def sentences(text: str | None) -> list[str]:
     text = unicodedata.normalize("NFKC", text)
     out = []
     for s in END.split(text):
-        for shape, word in SHAPES:
-            s = shape.sub(word, s)
+        if DIGIT.search(s):
+            for shape, word in SHAPES:
+                s = shape.sub(word, s)
         words = WORD.findall(s.lower())
         if words:
             out.append(f" {' '.join(words)} ")
@@ -122,14 +124,15 @@ def weigh(counts: dict[tuple[str, str], np.ndarray], sizes: dict[str, np.ndarray
 
 
 class Matcher:
-    """Scores a sentence by class: the weights of its terms, added up and divided by the root of their number."""
+    """Scores sentences by class: the weights of a sentence's terms, added up and divided by the root of their number."""
 
     def __init__(self, weights: dict[str, np.ndarray], remarks: tuple[str, ...] = REMARKS):
         import ahocorasick
 
         self.automaton, self.remarks = ahocorasick.Automaton(), ahocorasick.Automaton()
-        for t, w in weights.items():
-            self.automaton.add_word(t, (t, w))
+        self.table = np.array(list(weights.values())).reshape(len(weights), len(CLASSES))
+        for k, t in enumerate(weights):
+            self.automaton.add_word(t, k)
         for r in remarks:
             self.remarks.add_word(r if CJK.match(r) else f" {r} ", True)
         for a in (self.automaton, self.remarks):
@@ -139,16 +142,25 @@ class Matcher:
         """A passing remark, a comparison or a numbered reference."""
         return next(self.remarks.iter(sentence), None) is not None or (sentence.startswith(REFERENCES) and len(sentence.split()) <= REFERENCE_WORDS)
 
-    def scores(self, sentence: str) -> np.ndarray:
-        hits = dict(w for _, w in self.automaton.iter(sentence)) if len(self.automaton) else {}
-        return sum(hits.values()) / len(hits) ** 0.5 if hits else np.zeros(len(CLASSES))
+    def scores(self, told_: list[str]) -> np.ndarray:
+        """A row for each sentence; 0 where it has no term."""
+        out = np.zeros((len(told_), len(CLASSES)))
+        if len(self.automaton):
+            hits = [list({k for _, k in self.automaton.iter(s)}) for s in told_]
+            size = np.array([len(h) for h in hits], np.int64)
+            some = np.flatnonzero(size)
+            if len(some):
+                first = np.append(0, np.cumsum(size[some]))[:-1]
+                out[some] = np.add.reduceat(self.table[[k for h in hits for k in h]], first) / np.sqrt(size[some])[:, None]
+        return out
 
-    def sure(self, sentence: str, share: float = 0.6) -> int | None:
-        """The class that the scores make more likely than share, if there is one."""
-        x = self.scores(sentence)
-        p = np.exp(x - x.max())
-        k = int(p.argmax())
-        return k if x[k] > 0 and p[k] > share * p.sum() else None
+
+def likely(scores: np.ndarray, share: float = 0.6) -> np.ndarray:
+    """For each row the class that the scores make more likely than share, else -1."""
+    best = scores.argmax(1)
+    top = scores.max(1, initial=-np.inf)
+    sure = (top > 0) & (np.exp(scores - top[:, None]).sum(1) * share < 1)
+    return np.where(sure, best, -1)
 
 
 def told(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -170,12 +182,14 @@ def seeds(examples: DataFrame) -> list[tuple[str, str, int]]:
 
 def counted(labelled: list[tuple[str, str, int]], weight: int = 1) -> tuple[dict, dict]:
     """The counts and sizes that weigh() takes."""
+    each = Counter((t, g, k) for s, g, k in labelled for t in terms(s))
+    every = Counter((g, k) for _, g, k in labelled)
     counts: dict[tuple[str, str], np.ndarray] = {}
     sizes: dict[str, np.ndarray] = {}
-    for s, g, k in labelled:
-        sizes.setdefault(g, np.zeros(len(CLASSES), np.int64))[k] += weight
-        for t in terms(s):
-            counts.setdefault((t, g), np.zeros(len(CLASSES), np.int64))[k] += weight
+    for (t, g, k), n in each.items():
+        counts.setdefault((t, g), np.zeros(len(CLASSES), np.int64))[k] += weight * n
+    for (g, k), n in every.items():
+        sizes.setdefault(g, np.zeros(len(CLASSES), np.int64))[k] += weight * n
     return counts, sizes
 
 
@@ -186,8 +200,8 @@ def corpus_counts(sentences_of: DataFrame, weights: dict[str, np.ndarray], least
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(held.value)
         for b in batches:
-            found = [(s, g, k) for g, told_ in zip(b["language"].to_pylist(), b["sentences"].to_pylist()) for s in told_ if not matcher.idle(s) and (k := matcher.sure(s)) is not None]
-            counts, sizes = counted(found)
+            every = [(s, g) for g, told_ in zip(b["language"].to_pylist(), b["sentences"].to_pylist()) for s in told_ if not matcher.idle(s)]
+            counts, sizes = counted([(s, g, k) for (s, g), k in zip(every, likely(matcher.scores([s for s, _ in every])).tolist()) if k >= 0])
             counts |= {("", g): n for g, n in sizes.items()}
             flat = np.array(list(counts.values()), np.int64).reshape(len(counts), len(CLASSES))
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([g for _, g in counts], pa.string()), *(pa.array(flat[:, k]) for k in range(len(CLASSES)))], ["term", "language", *CLASSES])
@@ -219,12 +233,9 @@ def curate(sentences_of: DataFrame, examples: DataFrame, rounds: int = 3, least:
         more, more_sizes = corpus_counts(sentences_of, weights, least)
         weights = weigh(merged(counts, more), merged(sizes, more_sizes), least)
     matcher = Matcher(weights)
-    own: list[list[float]] = [[] for _ in CLASSES]
-    for s, _, k in labelled:
-        x = matcher.scores(s)
-        if x.argmax() == k:
-            own[k].append(float(x[k]))
-    return weights, np.array([0.3 * float(np.median(x)) if x else 1.0 for x in own])
+    x, label_ = matcher.scores([s for s, _, _ in labelled]), np.array([k for _, _, k in labelled], np.int64)
+    own = [x[(label_ == k) & (x.argmax(1) == k), k] for k in range(len(CLASSES))]
+    return weights, np.array([0.3 * float(np.median(o)) if len(o) else 1.0 for o in own])
 
 
 def subjects(documents: DataFrame, examples: DataFrame, text: str = "text") -> DataFrame:
@@ -243,22 +254,15 @@ def subjects(documents: DataFrame, examples: DataFrame, text: str = "text") -> D
     known = held.sparkSession.sparkContext.broadcast((weights, thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, least = Matcher(known.value[0]), known.value[1]
+        matcher, least = Matcher(known.value[0]), np.maximum(known.value[1], 1e-9)
         for b in batches:
-            at, found, number = [], [], []
-            for i, told_ in enumerate(b["sentences"].to_pylist()):
-                given: Counter = Counter()
-                for s in told_:
-                    if not matcher.idle(s):
-                        x = matcher.scores(s)
-                        k = int(x.argmax())
-                        if k < len(SUBJECTS) and x[k] >= max(least[k], 1e-9):
-                            given[SUBJECTS[k]] += 1
-                for k, n in given.items():
-                    at.append(i)
-                    found.append(k)
-                    number.append(n)
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(number, pa.int64())], ["doc_id", "subject", "n_sentences"])
+            every = [(i, s) for i, told_ in enumerate(b["sentences"].to_pylist()) for s in told_ if not matcher.idle(s)]
+            x = matcher.scores([s for _, s in every])
+            best = x.argmax(1)
+            given = (best < len(SUBJECTS)) & (x.max(1, initial=-np.inf) >= least[best])
+            tally = Counter((i, k) for (i, _), k, ok in zip(every, best.tolist(), given.tolist()) if ok)
+            at, found = pa.array([i for i, _ in tally], pa.int64()), pa.array([SUBJECTS[k] for _, k in tally], pa.string())
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), found, pa.array(list(tally.values()), pa.int64())], ["doc_id", "subject", "n_sentences"])
 
     return held.select("doc_id", "sentences").mapInArrow(run, "doc_id long, subject string, n_sentences long").groupBy("doc_id", "subject").agg(F.sum("n_sentences").alias("n_sentences"))
 
