@@ -1,6 +1,6 @@
 """Vocabulary and co-occurrence within a window of a line."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import is_separator
@@ -12,10 +12,11 @@ def vocabulary(tokenized: DataFrame) -> DataFrame:
     return numbered(tokenized.select(F.explode("tokens").alias("token")).distinct(), "token", column="idx").select("token", "idx")
 
 
-def context_pairs(tokenized: DataFrame, window: int, mask: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+def context_pairs(tokenized: DataFrame, window: int | Column, mask: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys and (center, context) for each two places of a line at most window apart, in both orders.
 
-    Separators take a place; with mask, pairs with one are dropped afterwards. It is local to a row: nothing is
+    Separators take a place; with mask, pairs with one are dropped afterwards. A window that is a column must be
+    one of keys. It is local to a row: nothing is
     shuffled, and the work grows with the tokens times the window.
     """
     at = tokenized.select(*keys, "tokens", F.posexplode("tokens").alias("p", "center"))
@@ -26,7 +27,7 @@ def context_pairs(tokenized: DataFrame, window: int, mask: bool = True, keys: tu
     return pairs.where(~is_separator(F.col("context"))) if mask else pairs
 
 
-def pair_counts(tokenized: DataFrame, window: int, mask: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+def pair_counts(tokenized: DataFrame, window: int | Column, mask: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, center, context and n. Counted within each task before the shuffle."""
     return context_pairs(tokenized, window, mask, keys).groupBy(*keys, "center", "context").agg(F.count("*").alias("n"))
 

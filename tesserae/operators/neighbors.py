@@ -42,13 +42,14 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str = "vec_id", ve
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbor", "cosine")
 
 
-def glyph_neighbors(counts: DataFrame, k: int) -> DataFrame:
-    """trial_id, token, rank, word and cosine from pair counts by trial: n_ab / sqrt(n_a * n_b), the k best of each token."""
-    total = counts.groupBy("trial_id", "center").agg(F.sum("n").alias("t"))
-    a, b = total.select("trial_id", "center", F.col("t").alias("ta")), total.select("trial_id", F.col("center").alias("context"), F.col("t").alias("tb"))
-    near = counts.where("center <> context").join(a, ["trial_id", "center"]).join(b, ["trial_id", "context"]).withColumn("cosine", F.round(F.col("n") / F.sqrt(F.col("ta").cast("double") * F.col("tb")), 9))
-    w = Window.partitionBy("trial_id", "center").orderBy(F.col("cosine").desc(), "context")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("trial_id", F.col("center").alias("token"), "rank", F.col("context").alias("word"), "cosine")
+def glyph_neighbors(counts: DataFrame, k: int, *keys: str) -> DataFrame:
+    """keys (trial_id if none are named), token, rank, word and cosine from pair counts by keys: n_ab / sqrt(n_a * n_b), the k best of each token."""
+    by = keys or ("trial_id",)
+    total = counts.groupBy(*by, "center").agg(F.sum("n").alias("t"))
+    a, b = total.select(*by, "center", F.col("t").alias("ta")), total.select(*by, F.col("center").alias("context"), F.col("t").alias("tb"))
+    near = counts.where("center <> context").join(a, [*by, "center"]).join(b, [*by, "context"]).withColumn("cosine", F.round(F.col("n") / F.sqrt(F.col("ta").cast("double") * F.col("tb")), 9))
+    w = Window.partitionBy(*by, "center").orderBy(F.col("cosine").desc(), "context")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, F.col("center").alias("token"), "rank", F.col("context").alias("word"), "cosine")
 
 
 def margins(neighbors: DataFrame, *keys: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The registered queries of the core, over whole tables, and the SQL that gives the same rows."""
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from tesserae.plans.stages import broadcast_below, stage
 from tesserae.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+Neighbors = Callable[[SparkSession, str], tuple[DataFrame, DataFrame, DataFrame]]
 FOUND: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -367,13 +369,34 @@ def trial_neighbors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     return stage(neighbors.glyph_neighbors(counts, 12), "neighbors"), counts, records
 
 
+def whole_neighbors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The two nearest neighbours of every token in each trial with a good record, over all lines, the pair counts they come from, and these records.
+
+    A trial's tokens and window are those of its configuration. Pairs are counted and ranked once for each different
+    strategy and window, and a join gives them to every trial with these. A null window, one below 1 or an unknown
+    strategy leaves a trial without pairs.
+    """
+    records = ln.last_records(table(spark, sf, "trial_records")).select("trial_id", "score")
+    setting = F.min(F.struct("strategy", "context_window")).alias("s")
+    configs = table(spark, sf, "trial_configs").where("context_window >= 1").where(F.col("strategy").isin(*STRATEGIES)).groupBy("trial_id").agg(setting).select("trial_id", "s.strategy", "s.context_window")
+    own = stage(configs.join(records, "trial_id", "left_semi"), "settings")
+    settings = own.select("strategy", "context_window").distinct()
+    found = stage(lines(spark, sf).select("line_id", "text"), "lines")
+    each = [tokenize(found, r.strategy).withColumn("strategy", F.lit(r.strategy)) for r in settings.select("strategy").distinct().collect()]
+    seqs = reduce(DataFrame.unionByName, each, tokenize(found.limit(0), "simple").withColumn("strategy", F.lit(""))).join(F.broadcast(settings), "strategy")
+    counts = stage(cooc.pair_counts(seqs, F.col("context_window"), keys=("strategy", "context_window")), "setting-pairs")
+    near = stage(neighbors.glyph_neighbors(counts, 2, "strategy", "context_window"), "setting-neighbors")
+    by_trial = lambda df: df.join(F.broadcast(own), ["strategy", "context_window"]).drop("strategy", "context_window")
+    return by_trial(near), by_trial(counts), records
+
+
 def rounded(df: DataFrame, *but: str) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" and c not in but else F.col(c) for c, t in df.dtypes))
 
 
 @query(NEIGHBORS + " SELECT trial_id, token_count, unique_top1_count, round(top1_entropy_bits, 6) AS top1_entropy_bits, round(top1_mean_cosine, 6) AS top1_mean_cosine, round(top1_std_cosine, 6) AS top1_std_cosine, round(top1_min_cosine, 6) AS top1_min_cosine, round(top1_max_cosine, 6) AS top1_max_cosine, round(top1_top2_margin_mean, 6) AS top1_top2_margin_mean, round(top1_top2_margin_std, 6) AS top1_top2_margin_std FROM quality")
-def neighbor_quality(spark, sf):
-    near, _, _ = trial_neighbors(spark, sf)
+def neighbor_quality(spark, sf, of=trial_neighbors):
+    near, _, _ = of(spark, sf)
     return rounded(neighbors.quality(neighbors.margins(near, "trial_id", "token"), "trial_id"))
 
 
@@ -389,22 +412,22 @@ def expected(counts: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 @query(NEIGHBORS + " SELECT trial_id, round(anchor_hit_rate, 6) AS anchor_hit_rate FROM rates")
-def anchor_hit_rate(spark, sf):
-    near, counts, _ = trial_neighbors(spark, sf)
+def anchor_hit_rate(spark, sf, of=trial_neighbors):
+    near, counts, _ = of(spark, sf)
     return rounded(neighbors.anchor_rates(neighbors.margins(near, "trial_id", "token"), expected(counts, spark), "trial_id"))
 
 
 @query(NEIGHBORS + " SELECT trial_id, round(anchor_cosine, 6) AS anchor_cosine FROM tests")
-def anchor_gloss_cosine(spark, sf):
-    near, _, _ = trial_neighbors(spark, sf)
+def anchor_gloss_cosine(spark, sf, of=trial_neighbors):
+    near, _, _ = of(spark, sf)
     tops = neighbors.margins(near, "trial_id", "token").join(F.broadcast(anchors(spark)), "token", "left_semi")
     return rounded(tops.groupBy("trial_id").agg(F.avg("cosine").alias("anchor_cosine")))
 
 
 @query(NEIGHBORS + """ SELECT trial_id, round(3 * c + 2 * h + 1.2 * least(u / 80, 1.5) + 0.6 * least(b / 4, 1) + 0.4 * m - CASE WHEN c < 0 THEN 2.5 ELSE 0 END - CASE WHEN u <= 5 THEN 1.5 ELSE 0 END - CASE WHEN h < 0.5 THEN 1 ELSE 0 END, 6) AS score
 FROM (SELECT q.trial_id, coalesce(anchor_cosine, -1) AS c, coalesce(anchor_hit_rate, 0) AS h, unique_top1_count AS u, top1_entropy_bits AS b, top1_top2_margin_mean AS m FROM quality q LEFT JOIN rates USING (trial_id) LEFT JOIN tests USING (trial_id))""")
-def trial_score(spark, sf):
-    near, counts, _ = trial_neighbors(spark, sf)
+def trial_score(spark, sf, of=trial_neighbors):
+    near, counts, _ = of(spark, sf)
     tops = stage(neighbors.margins(near, "trial_id", "token"), "tops")
     rates = neighbors.anchor_rates(tops, expected(counts, spark), "trial_id")
     cosines = tops.join(F.broadcast(anchors(spark)), "token", "left_semi").groupBy("trial_id").agg(F.avg("cosine").alias("c"))
@@ -422,8 +445,8 @@ votes AS (SELECT trial_id, token, word, coalesce(margin, 0) AS margin, cosine FR
 placed AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY trials DESC, first_seen, word) AS place FROM (SELECT token, word, count(*) AS trials, avg(margin) AS mean_margin, avg(cosine) AS mean_cosine, min(trial_id) AS first_seen FROM votes GROUP BY ALL))"""
 
 
-def cast_votes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    near, counts, records = trial_neighbors(spark, sf)
+def cast_votes(spark: SparkSession, sf: str, of: Neighbors) -> tuple[DataFrame, DataFrame, DataFrame]:
+    near, counts, records = of(spark, sf)
     used = stage(trials.passing(records, neighbors.quality(neighbors.margins(near, "trial_id", "token"), "trial_id"), 0.0, 50, 3.0), "used")
     near = near.join(F.broadcast(used), "trial_id", "left_semi")
     leaks = stage(expected(counts, spark).select("word"), "leaks")
@@ -431,20 +454,20 @@ def cast_votes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
 
 
 @query(NEIGHBORS + f", {PASSING} SELECT trial_id FROM used")
-def quality_filter(spark, sf):
-    return cast_votes(spark, sf)[1]
+def quality_filter(spark, sf, of=trial_neighbors):
+    return cast_votes(spark, sf, of)[1]
 
 
 @query(VOTES + " SELECT trial_id, word FROM banned")
-def banned_words(spark, sf):
-    near = cast_votes(spark, sf)[2]
+def banned_words(spark, sf, of=trial_neighbors):
+    near = cast_votes(spark, sf, of)[2]
     tops = neighbors.margins(near, "trial_id", "token").join(F.broadcast(anchors(spark)), "token", "left_anti")
     return votes.banned_words(tops, 0.002)
 
 
 @query(VOTES + " SELECT trial_id, token, word, round(margin, 6) AS margin, round(cosine, 6) AS cosine FROM votes")
-def consensus_votes(spark, sf):
-    return rounded(cast_votes(spark, sf)[0])
+def consensus_votes(spark, sf, of=trial_neighbors):
+    return rounded(cast_votes(spark, sf, of)[0])
 
 
 CONSENSUS = VOTES + """, need AS (SELECT greatest(2, ceil(0.35 * count(*))) AS required, count(*) AS n FROM used)
@@ -453,14 +476,34 @@ FROM placed p LEFT JOIN (SELECT token, string_agg(word, ' ' ORDER BY place) AS a
 
 
 @query(CONSENSUS)
-def consensus_rank(spark, sf):
-    cast, used, _ = cast_votes(spark, sf)
+def consensus_rank(spark, sf, of=trial_neighbors):
+    cast, used, _ = cast_votes(spark, sf, of)
     return votes.consensus(cast, used, 2, 0.35)
 
 
 @query(VOTES + " SELECT token, word, trials, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5")
-def consensus_alternates(spark, sf):
-    return votes.ranked_votes(cast_votes(spark, sf)[0]).where("place <= 5").select("token", "word", "trials", "place")
+def consensus_alternates(spark, sf, of=trial_neighbors):
+    return votes.ranked_votes(cast_votes(spark, sf, of)[0]).where("place <= 5").select("token", "word", "trials", "place")
+
+
+def sql_listed(strategy: str) -> str:
+    return f"SELECT '{strategy}' AS strategy, rid, coalesce({SQL_TOKENS[strategy]}, []) AS tokens FROM cleaned WHERE '{strategy}' IN (SELECT strategy FROM own)"
+
+
+#: NEIGHBORS over all lines: every trial with a good record by its own strategy and window.
+NEIGHBORS_ALL = f"""WITH {LINES}, {RECORDS},
+own AS (SELECT trial_id, strategy, context_window FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY strategy, context_window) AS k FROM trial_configs WHERE context_window >= 1 AND strategy IN {tuple(STRATEGIES)}) WHERE k = 1 AND trial_id IN (SELECT trial_id FROM records)),
+cleaned AS (SELECT row_number() OVER () AS rid, translate(text, '!*?()', '') AS c FROM lines),
+listed AS ({" UNION ALL ".join(map(sql_listed, STRATEGIES))}),
+toks AS (SELECT strategy, rid, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM listed),
+signs AS (SELECT * FROM toks WHERE token NOT IN ('-', '.', ':')),
+near_by AS (SELECT a.strategy, abs(a.pos - b.pos) AS far, a.token AS center, b.token AS context, count(*) AS n FROM signs a JOIN signs b ON a.strategy = b.strategy AND a.rid = b.rid AND a.pos <> b.pos AND abs(a.pos - b.pos) <= (SELECT max(context_window) FROM own) GROUP BY ALL),
+counts AS (SELECT trial_id, center, context, sum(n) AS n FROM near_by p JOIN own o ON o.strategy = p.strategy AND far <= context_window GROUP BY ALL),
+{NEIGHBORS[NEIGHBORS.index("sums AS ("):]}"""
+
+for _name in ("neighbor_quality", "anchor_hit_rate", "anchor_gloss_cosine", "trial_score", "quality_filter", "banned_words", "consensus_votes", "consensus_rank", "consensus_alternates"):
+    FOUND[f"{_name}_all"] = partial(FOUND[_name], of=whole_neighbors)
+    SQL[f"{_name}_all"] = SQL[_name].replace(NEIGHBORS, NEIGHBORS_ALL)
 
 
 @query("SELECT trial_id, strategy, context_window FROM trial_configs WHERE trial_id NOT IN (SELECT trial_id FROM trial_records WHERE trial_id IS NOT NULL)")

@@ -50,3 +50,15 @@ def test_entry_and_names(spark):
 @pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
 def test_queries_without_sql_run(spark, name):
     assert core.queries()[name](spark, SF).count() > 0
+
+
+def test_every_trial_takes_part_over_all_lines(spark, duck):
+    good = "SELECT DISTINCT trial_id FROM trial_records JOIN trial_configs USING (trial_id) WHERE context_window >= 1 AND (error IS NULL OR trim(error) = '')"
+    trials = {t for (t,) in duck.execute(good).fetchall()}
+    qualities = core.queries()["neighbor_quality_all"](spark, SF).collect()
+    assert {r.trial_id for r in qualities} == trials and len(trials) > 50
+    simple = duck.execute("SELECT trial_id FROM trial_configs WHERE strategy = 'simple' AND context_window >= 1").fetchall()
+    paired = f"WITH {core.sql_tokens('simple')}, long_ AS (SELECT line_id FROM toks GROUP BY line_id HAVING count(DISTINCT token) > 1) SELECT count(DISTINCT token) FROM toks WHERE line_id IN (SELECT line_id FROM long_)"
+    most = duck.execute(paired).fetchone()[0]
+    counts = {r.trial_id: r.token_count for r in qualities}
+    assert {counts[t] for (t,) in simple if t in trials} == {most}
