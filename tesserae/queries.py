@@ -640,7 +640,7 @@ def strip_geometry(spark, sf):
 
 @query()
 def seam_split(spark, sf):
-    return pixels.split_by_seams(dots(spark, sf).where("y < 12"), min_split=20, min_part=5, max_ink=0)
+    return pixels.split_by_seams(dots(spark, sf), min_split=20, min_part=5, max_ink=0)
 
 
 # --- learning --------------------------------------------------------------------------------------------------------

@@ -176,6 +176,36 @@ def test_seams(spark):
     assert sorted((r.img, r.part, r.left, r.right, r.n_ink) for r in got) == [(1, 0, 0, 4, 16), (1, 1, 5, 9, 16), (2, 0, 0, 9, 9)]
 
 
+def brute_cuts(points, min_split, min_part):
+    """The regions of a set of points (y, x), cut at the leftmost of all seams without ink, tried one by one from the bottom row up."""
+    left, right, top, bottom = min(x for _, x in points), max(x for _, x in points), min(y for y, _ in points), max(y for y, _ in points)
+    if right - left + 1 < max(min_split, 2 * min_part + 1):
+        return [points]
+
+    def seam(y, x):
+        if not left + min_part <= x <= right - min_part or (y, x) in points:
+            return None
+        if y == top:
+            return {y: x}
+        above = next((s for d in (-1, 0, 1) if (s := seam(y - 1, x + d))), None)
+        return above and above | {y: x}
+
+    path = next((s for x in range(left, right + 1) if (s := seam(bottom, x))), None)
+    if path is None:
+        return [points]
+    a = {(y, x) for y, x in points if x < path[y]}
+    return brute_cuts(a, min_split, min_part) + brute_cuts(points - a, min_split, min_part) if a and points - a else [points]
+
+
+def test_seams_equal_brute_force(spark):
+    r = random.Random(5)
+    images = {k: {(y, x) for y in range(6) for x in range(14) if r.random() < 0.3} for k in range(40)}
+    df = spark.createDataFrame([(k, x, y, 0) for k, ink in images.items() for y, x in ink], "img long, x int, y int, v int")
+    got = sorted((g.img, g.left, g.right, g.n_ink) for g in pixels.split_by_seams(df, min_split=5, min_part=2).collect())
+    due = sorted((k, min(x for _, x in p), max(x for _, x in p) + 1, len(p)) for k, ink in images.items() for p in brute_cuts(ink, 5, 2))
+    assert got == due and len(due) > 50
+
+
 def test_matching(spark):
     rows = [("q", 1, "a", False, 0.5), ("q", 2, "b", True, 0.9), ("q", 3, "c", True, 0.9), ("r", 1, "a", False, None)]
     df = spark.createDataFrame(rows, "query string, place int, label string, matched boolean, score double")

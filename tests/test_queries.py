@@ -62,3 +62,11 @@ def test_every_trial_takes_part_over_all_lines(spark, duck):
     most = duck.execute(paired).fetchone()[0]
     counts = {r.trial_id: r.token_count for r in qualities}
     assert {counts[t] for (t,) in simple if t in trials} == {most}
+
+
+def test_seam_split_takes_every_pixel_of_ink(spark, duck):
+    ink = dict(duck.execute(f"WITH {core.DOTS} SELECT img, count(*) FROM dots WHERE v < 190 GROUP BY img").fetchall())
+    found: dict = {}
+    for r in core.queries()["seam_split"](spark, SF).collect():
+        found[r.img] = found.get(r.img, 0) + r.n_ink
+    assert found == ink
