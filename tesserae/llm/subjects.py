@@ -31,8 +31,6 @@ REFERENCES, REFERENCE_WORDS = (" no ", " nr ", " n o ", " n ° ", " n º ", " 
 LANGUAGES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "jpn": "ja"}
 #: Labelled sentences that are fitted on at most.
 EXAMPLES = 20_000
-#: Terms that the automaton holds at most, the most telling first.
-TERMS = 20_000
 
 HIDDEN = re.compile("[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), 0x2060, 0xFEFF))) + "]")
 MARKUP = re.compile(r"<[^<>]{0,200}>|https?://\S+|www\.\S+")
@@ -194,7 +192,7 @@ def counted(labelled: list[tuple[str, str, int]], weight: int = 1) -> tuple[dict
 
 
 def corpus_counts(sentences_of: DataFrame, weights: dict[str, np.ndarray], least: int) -> tuple[dict, dict]:
-    """counted() over the sentences of all documents that the weights are sure of; of the terms, the most frequent TERMS."""
+    """counted() over the sentences of all documents that the weights are sure of: every term and language with at least so many sentences."""
     held = sentences_of.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +207,7 @@ def corpus_counts(sentences_of: DataFrame, weights: dict[str, np.ndarray], least
     each = sentences_of.select("language", "sentences").mapInArrow(run, "term string, language string, " + ", ".join(f"{c} long" for c in CLASSES))
     n = F.col("n")
     rows = each.groupBy("term", "language").agg(*(F.sum(c).alias(c) for c in CLASSES)).withColumn("n", sum(F.col(c) for c in CLASSES)).where((n >= least) | (F.col("term") == ""))
-    rows = rows.orderBy((F.col("term") == "").desc(), n.desc(), "term", "language").limit(TERMS).collect()
-    found = {(r.term, r.language): np.array([r[c] for c in CLASSES], np.int64) for r in rows}
+    found = {(r.term, r.language): np.array([r[c] for c in CLASSES], np.int64) for r in rows.toLocalIterator()}
     return {k: v for k, v in found.items() if k[0]}, {k[1]: v for k, v in found.items() if not k[0]}
 
 

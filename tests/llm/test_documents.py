@@ -95,6 +95,15 @@ def test_sentences():
     assert subjects.sentences("Ã©tÃ©") == [" été "]
 
 
+def test_every_term_that_is_frequent_enough_counts(spark):
+    law = np.eye(len(subjects.CLASSES))[subjects.SUBJECTS.index("law")] * 4
+    told = [(k, "en", [f" court {' '.join(f'w{k}x{i}' for i in range(200))} "] * 3) for k in range(110)] + [(900, "en", [" court rare "] * 2)]
+    df = spark.createDataFrame(told, "doc_id long, language string, sentences array<string>")
+    counts, sizes = subjects.corpus_counts(df, {" court ": law}, 3)
+    assert len(counts) == 110 * 200 + 1 and (" rare ", "en") not in counts
+    assert counts[" w7x9 ", "en"].sum() == 3 and sizes["en"].sum() == 332
+
+
 NOUNS = {"law": "court judge verdict clause appeal".split(), "music": "violin melody chord opera choir".split(), "none": "road winter thanks page evening".split()}
 
 
