@@ -3,6 +3,7 @@
 from collections.abc import Callable
 from functools import partial, reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -645,7 +646,16 @@ def seam_split(spark, sf):
 
 # --- learning --------------------------------------------------------------------------------------------------------
 
-SMALL = learning.Settings(input_dim=16, hidden_dim=32, output_dim=16, epochs=2, negatives=8, learning_rate=0.05)
+#: The operator's defaults, which are the reference's; the projections are as wide as the given vectors.
+FULL, FULL_WINDOW = learning.Settings(), 4
+
+
+def anchor_targets(spark: SparkSession, sf: str, vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the anchors that the vocabulary has, and their unit targets: the k-th anchor is drawn to the mean vector of the k-th label."""
+    means = neighbors.mean_vectors(table(spark, sf, "embeddings"), "label").where("label IS NOT NULL").orderBy("label").limit(len(ANCHORS)).collect()
+    ids = {r.token: r.idx for r in cooc.resolve_tokens(anchors(spark), vocab).where("idx IS NOT NULL").collect()}
+    known = [(ids[a], r["mean"]) for a, r in zip(ANCHORS, means) if a in ids]
+    return np.array([k for k, _ in known], np.int64), learning.unit(np.array([m for _, m in known]).reshape(len(known), FULL.output_dim))
 
 
 @query()
@@ -657,15 +667,15 @@ def pca_2d(spark, sf):
 def projection_forward(spark, sf):
     """The tokens' vectors through a seeded, untrained layer."""
     vocab = stage(cooc.vocabulary(tokens(spark, sf, "simple")), "vocab")
-    return learning.project(vocab, learning.Model.create(vocab.count(), SMALL))
+    return learning.project(vocab, learning.Model.create(vocab.count(), FULL))
 
 
 @query()
 def train_projection(spark, sf):
-    """Two epochs over the pairs of all lines."""
+    """Six epochs over the pairs of all lines, with the anchors."""
     lines_ = tokens(spark, sf, "simple")
     vocab = stage(cooc.vocabulary(lines_), "vocab")
-    model, _ = learning.fit_projection(cooc.indexed_pairs(cooc.pair_counts(lines_, 2), vocab), vocab.count(), SMALL)
+    model, _ = learning.fit_projection(cooc.indexed_pairs(cooc.pair_counts(lines_, FULL_WINDOW), vocab), vocab.count(), FULL, anchor_targets(spark, sf, vocab))
     return learning.project(vocab, model)
 
 

@@ -70,3 +70,20 @@ def test_seam_split_takes_every_pixel_of_ink(spark, duck):
     for r in core.queries()["seam_split"](spark, SF).collect():
         found[r.img] = found.get(r.img, 0) + r.n_ink
     assert found == ink
+
+
+def test_projection_runs_on_the_whole_settings(spark, monkeypatch):
+    seen = {}
+
+    def fit(counts, n_tokens, settings, anchors=None, shards=8):
+        seen.update(pairs=counts.agg({"n": "sum"}).first()[0], settings=settings, anchors=anchors)
+        return core.learning.Model.create(n_tokens, settings), []
+
+    monkeypatch.setattr(core.learning, "fit_projection", fit)
+    assert len(core.queries()["train_projection"](spark, SF).first().projected) == 64
+    assert len(core.queries()["projection_forward"](spark, SF).first().projected) == 64
+    assert seen["settings"] == core.learning.Settings()
+    assert seen["pairs"] == core.cooc.context_pairs(core.tokens(spark, SF, "simple"), 4).count()
+    ids, targets = seen["anchors"]
+    there = {r.token: r.idx for r in core.cooc.vocabulary(core.tokens(spark, SF, "simple")).collect()}
+    assert ids.tolist() == [there[a] for a in core.ANCHORS if a in there] != [] and abs((targets**2).sum(1) - 1).max() < 1e-9
