@@ -14,10 +14,8 @@ from tesserae.plans.stages import stage
 
 #: Sources in the table of targets at most; their weights are held on the driver.
 SOURCES = 100_000
-#: Slots of a shard at least, and shards at most, where the caller names no size: a source's slots are counted through all shards in one order.
-SHARD_SLOTS, SHARDS = 1024, 65_536
-#: Documents of a source that are numbered in one group.
-BUCKET_DOCS = 50_000
+#: Documents of a source that are numbered in one group, and shards whose counts are added up in one.
+BUCKET_DOCS, BUCKET_SHARDS = 50_000, 4096
 
 
 def scatter(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -47,6 +45,18 @@ def goals(targets: DataFrame) -> DataFrame:
     return usable.groupBy("source").agg(F.max("target_weight").alias("weight"), F.min("max_repeats").alias("max_repeats"))
 
 
+def running(df: DataFrame, key: str, bucket: str, order: list, size: str, column: str) -> DataFrame:
+    """df with a column: the sum of size over the rows of the same key before this one, in the order of bucket and order.
+
+    Each bucket is added up by itself; the sums of a key's buckets, one row each, are added up after. So no key, however
+    large, is one group.
+    """
+    sums = df.groupBy(key, bucket).agg(F.sum(size).alias("_in"))
+    before = sums.withColumn("_before", F.sum("_in").over(Window.partitionBy(key).orderBy(bucket)) - F.col("_in")).drop("_in")
+    inside = F.sum(size).over(Window.partitionBy(key, bucket).orderBy(*order)) - F.col(size)
+    return df.withColumn("_inside", inside).join(before, [key, bucket]).withColumn(column, F.col("_inside") + F.col("_before")).drop("_inside", "_before")
+
+
 def packed(sized: DataFrame, block_tokens: int, seed: int) -> DataFrame:
     """The documents of each source in a pseudorandom order, cut into blocks: source, block, doc_id, first_token, n_tokens, at.
 
@@ -55,11 +65,7 @@ def packed(sized: DataFrame, block_tokens: int, seed: int) -> DataFrame:
     """
     buckets = sized.groupBy("source").agg(F.ceil(F.count("*") / BUCKET_DOCS).alias("buckets"))
     placed = sized.join(F.broadcast(buckets), "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "buckets"))
-    w = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-    sums = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
-    before = sums.withColumn("before", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")) - F.col("tokens")).drop("tokens")
-    run = placed.withColumn("end", F.sum("n_tokens").over(w)).join(before, ["source", "bucket"]).withColumn("end", F.col("end") + F.col("before"))
-    run = run.withColumn("start", F.col("end") - F.col("n_tokens"))
+    run = running(placed, "source", "bucket", [F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"], "n_tokens", "start").withColumn("end", F.col("start") + F.col("n_tokens"))
     block = F.sequence(F.floor(F.col("start") / block_tokens), F.floor((F.col("end") - 1) / block_tokens))
     low = F.greatest("start", F.col("block") * block_tokens)
     return run.withColumn("block", F.explode(block)).select(
@@ -72,6 +78,7 @@ def draw(sources: list, slots: int, shard_slots: int, seed: int, spark) -> DataF
 
     Each shard draws how many of its slots every source fills, from one multinomial distribution; a source's slots are
     counted through all shards, and the count, through a permutation for each pass over the source, gives the block.
+    A slot that comes after a source's last allowed pass is empty: repeat and block are null.
     """
     names, weights = [s["source"] for s in sources], np.array([s["weight"] for s in sources])
     weights = weights / weights.sum()
@@ -84,32 +91,33 @@ def draw(sources: list, slots: int, shard_slots: int, seed: int, spark) -> DataF
                 yield pd.DataFrame({"shard": shard, "source": names, "here": np.cumsum(drawn) - drawn, "drawn": drawn, "of": n})
 
     per = spark.range(math.ceil(slots / shard_slots)).mapInPandas(counts, "shard long, source string, here long, drawn long, of long").where("drawn > 0")
-    per = stage(per, "draws")
-    start = F.sum("drawn").over(Window.partitionBy("source").orderBy("shard")) - F.col("drawn")
+    per = running(stage(per.withColumn("bucket", F.floor(F.col("shard") / BUCKET_SHARDS)), "draws"), "source", "bucket", ["shard"], "drawn", "start")
     known = spark.createDataFrame([(s["source"], k, int(s["blocks"]), int(s["max_repeats"])) for k, s in enumerate(sources)], "source string, number long, blocks long, max_repeats long")
-    each = per.withColumn("start", start).join(F.broadcast(known), "source").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)).alias("k"))
+    each = per.join(F.broadcast(known), "source").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)).alias("k"))
     each = each.select("shard", "source", "number", "blocks", "max_repeats", "of", (F.col("here") + F.col("k")).alias("place"), (F.col("start") + F.col("k")).alias("turn"))
-    each = each.where(F.col("turn") < F.col("blocks") * F.col("max_repeats"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = {c: b[c].to_numpy() for c in ("shard", "number", "blocks", "of", "place", "turn")}
+            x = {c: b[c].to_numpy() for c in ("shard", "number", "blocks", "max_repeats", "of", "place", "turn")}
             again, index = np.divmod(x["turn"], x["blocks"])
             block = scatter(index, x["blocks"], seed + x["number"] * 1_000_003 + again * 7919)
             slot = scatter(x["place"], x["of"], seed + 31 * x["shard"])
-            yield pa.RecordBatch.from_arrays([b["shard"], pa.array(slot), b["source"], pa.array(again + 1), pa.array(block)], ["shard", "slot", "source", "repeat", "block"])
+            empty = again >= x["max_repeats"]
+            yield pa.RecordBatch.from_arrays([b["shard"], pa.array(slot), b["source"], pa.array(again + 1, mask=empty), pa.array(block, mask=empty)], ["shard", "slot", "source", "repeat", "block"])
 
     return each.repartition("shard").mapInArrow(place, "shard long, slot long, source string, repeat long, block long")
 
 
-def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = 64, shard_slots: int | None = None, slots: int | None = None, seed: int = 7) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = 64, shard_slots: int = 1024, slots: int | None = None, seed: int = 7) -> DataFrame:
     """A mixture as the pieces of documents it is made of: shard, slot, source, repeat, block, doc_id, first_token, n_tokens, at.
 
     sized has doc_id, source and n_tokens. The documents of each source with a target are packed into blocks of so
-    many tokens (the last of a source may be shorter), and slots are drawn in shards of shard_slots. slots: how many blocks the mixture has; by default as many as
-    let every source keep its share within its cap, six standard deviations of the draw included. A block, and so
-    every token and document, is used at most max_repeats times; slots that would need more stay empty, and
-    shares() shows it.
+    many tokens (the last of a source may be shorter), and slots are drawn in shards of shard_slots by the sources' weights. slots: how many
+    blocks the mixture has; by default as many as the sources with a target have together, so that it is as large as
+    what it is taken from, whatever the size. A block, and so every token and document, is used at most max_repeats times. A source
+    that a mixture of this size needs more often falls short: the slots that it can't fill are rows without a block (repeat, block, doc_id,
+    first_token and at null, n_tokens 0), the other sources keep their draw, and shares() reports both. With fewer slots
+    a source falls less short.
 
     Documents without tokens, source or id, and those whose source has no usable target, take no part; sources without
     documents leave their weight to the others. Repeated doc_ids count once (the least source and size). Without
@@ -121,39 +129,28 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = 64, shard_slot
     if goal.limit(SOURCES + 1).count() > SOURCES:
         raise ValueError(f"more than {SOURCES} sources in the targets")
     once = stage(once.join(F.broadcast(goal), "source", "left_semi"), "sized")
-    sources = once.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).join(goal, "source").withColumn("blocks", F.ceil(F.col("tokens") / block_tokens)).orderBy("source").collect()
+    sources = once.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).join(F.broadcast(goal), "source").withColumn("blocks", F.ceil(F.col("tokens") / block_tokens)).orderBy("source").collect()
     if not sources:
         return spark.createDataFrame([], "shard long, slot long, source string, repeat long, block long, doc_id long, first_token int, n_tokens int, at int")
-    if slots is None:
-        slots = most_slots(sources)
-    if shard_slots is None:
-        shard_slots = max(SHARD_SLOTS, math.ceil(slots / SHARDS))
+    drawn = draw(sources, slots or sum(s["blocks"] for s in sources), shard_slots, seed, spark)
     pieces = packed(once, block_tokens, seed)
-    return draw(sources, slots, shard_slots, seed, spark).join(pieces, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "doc_id", "first_token", "n_tokens", "at")
-
-
-def most_slots(sources: list) -> int:
-    """The most slots at which the expected number of every source and six standard deviations stay within its cap."""
-    total, least = sum(s["weight"] for s in sources), math.inf
-    for s in sources:
-        p, cap = s["weight"] / total, s["blocks"] * s["max_repeats"]
-        spread = 6 * math.sqrt(p * (1 - p))
-        least = min(least, ((math.sqrt(spread**2 + 4 * p * cap) - spread) / (2 * p)) ** 2)
-    return max(1, math.floor(least + 1e-9))
+    return drawn.join(pieces, ["source", "block"], "left").select("shard", "slot", "source", "repeat", "block", "doc_id", "first_token", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "at")
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, max_repeats, n_blocks (drawn), n_tokens, share and most_repeats for each source with a target.
+    """source, target_share, max_repeats, n_slots (drawn), n_empty (of them, past the cap), n_tokens, share and most_repeats for each source with a target.
 
     target_share is taken of the sources that the mixture has; the others have 0 tokens.
     """
-    per = mixture.groupBy("source").agg(F.count_distinct("shard", "slot").alias("n_blocks"), F.sum("n_tokens").alias("n_tokens"), F.max("repeat").alias("most_repeats"))
+    empty = F.col("block").isNull()
+    per = mixture.groupBy("source").agg(F.count_if(empty | (F.col("at") == 0)).alias("n_slots"), F.count_if(empty).alias("n_empty"), F.sum("n_tokens").alias("n_tokens"), F.max("repeat").alias("most_repeats"))
     goal = goals(targets).join(per, "source", "left")
     everything = Window.partitionBy(F.lit(0))  # one row for each source
-    there = F.when(F.col("n_tokens").isNotNull(), F.col("weight"))
+    there = F.when(F.col("n_slots").isNotNull(), F.col("weight"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return goal.select(
-        "source", (F.coalesce(there, F.lit(0.0)) / F.sum(there).over(everything)).alias("target_share"), "max_repeats", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-        (F.coalesce("n_tokens", F.lit(0)) / F.sum("n_tokens").over(everything)).alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+        "source", (F.coalesce(there, F.lit(0.0)) / F.sum(there).over(everything)).alias("target_share"), "max_repeats", none("n_slots"), none("n_empty"), none("n_tokens"),
+        (F.coalesce("n_tokens", F.lit(0)) / F.sum("n_tokens").over(everything)).alias("share"), none("most_repeats"),
     )
 
 
@@ -164,8 +161,9 @@ def sized(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def mixed_blocks(documents: DataFrame, mixture: DataFrame, path: str | None = None) -> DataFrame:
-    """The mixture as it is trained on: shard, slot, source, block, repeat and ids, the tokens of the block in order."""
+    """The mixture as it is trained on: shard, slot, source, block, repeat and ids, the tokens of the block in order; empty slots give no row."""
     ids = encode(documents, path=path)
+    mixture = mixture.where("block IS NOT NULL")
     pieces = mixture.select("source", "block", "doc_id", "first_token", "n_tokens", "at").distinct()
     texts = pieces.join(ids, "doc_id").select("source", "block", "at", F.slice("ids", F.col("first_token") + 1, F.col("n_tokens")).alias("part"))
     blocks = texts.groupBy("source", "block").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids"))

@@ -57,7 +57,8 @@ def test_mixture_holds_every_token_at_most_as_often_as_allowed(spark):
     r = random.Random(3)
     docs = [("a" if r.random() < 0.7 else "b", r.choice([0, 1, 5, 40, 700])) for _ in range(600)] + [(None, 9), ("c", 9), ("e", 9)]
     targets = spark.createDataFrame(TARGETS, "source string, target_weight double, max_repeats int")
-    rows = mixing.mix(sized(spark, docs), targets, block_tokens=16, shard_slots=64).collect()
+    every = mixing.mix(sized(spark, docs), targets, block_tokens=16, shard_slots=64, slots=4000).collect()
+    rows = [x for x in every if x.block is not None]
     used: dict = {}
     for x in rows:
         for t in range(x.first_token, x.first_token + x.n_tokens):
@@ -72,10 +73,29 @@ def test_mixture_holds_every_token_at_most_as_often_as_allowed(spark):
         parts.sort()
         assert len({p[2:] for p in parts}) == 1
         assert [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(len(parts))]
+    assert len(slots) + len(every) - len(rows) == len({(x.shard, x.slot) for x in every}) == 4000  # every slot is there, filled or empty
     share = sum(x.n_tokens for x in rows if x.source == "a") / sum(x.n_tokens for x in rows)
     assert abs(share - 0.75) < 0.05
-    again = mixing.mix(sized(spark, docs), targets, block_tokens=16, shard_slots=64).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    again = mixing.mix(sized(spark, docs), targets, block_tokens=16, shard_slots=64, slots=4000).collect()
+    assert sorted(every, key=str) == sorted(again, key=str)
+
+
+def test_a_source_at_its_cap_falls_short_alone(spark):
+    docs = [("a", 100)] * 90 + [("b", 100)] * 10 + [("c", 100)] * 50
+    targets = spark.createDataFrame([("a", 1.0, 3), ("b", 1.0, 2), ("c", 2.0, 9)], "source string, target_weight double, max_repeats int")
+    for times in (1, 10):  # the size follows the input
+        mixture = mixing.mix(sized(spark, docs * times), targets, block_tokens=10)
+        got = {r.source: r for r in mixing.shares(mixture, targets).collect()}
+        assert sum(r.n_slots for r in got.values()) == 1500 * times
+        b = got["b"]
+        assert b.most_repeats == 2 and b.n_tokens == 2 * 1000 * times and b.n_empty == b.n_slots - 200 * times > 0
+        assert not got["a"].n_empty and not got["c"].n_empty and abs(got["a"].n_tokens / got["c"].n_tokens - 0.5) < 0.1
+
+
+def test_running_sums_over_buckets(spark):
+    rows = [(k % 2, k // 10, k, k % 7 + 1) for k in range(60)]
+    got = {r.at: r.before for r in mixing.running(spark.createDataFrame(rows, "key int, bucket int, at int, n int"), "key", "bucket", ["at"], "n", "before").collect()}
+    assert got == {k: sum(n for key, _, j, n in rows if key == k % 2 and j < k) for k in range(60)}
 
 
 def test_shares_and_empty(spark):
