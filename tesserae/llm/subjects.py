@@ -3,7 +3,7 @@
 import html
 import re
 import unicodedata
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,36 +16,35 @@ from tesserae.plans.stages import stage
 #: The nine subjects.
 SUBJECTS = ("scripts", "law", "software", "science", "medicine", "finance", "sport", "cooking", "music")
 CLASSES = (*SUBJECTS, "none")
-#: Turns of phrase by which a sentence borrows words for a comparison or a passing remark.
-REMARKS = (
-    "someone joked", "joked about", "it felt like", "felt like", "not even", "could have changed",
-    "jemand scherzte", "scherzte über", "es wirkte wie", "wirkte wie", "selbst", "hätten das nicht", "das nicht geändert",
-    "alguien bromeó", "bromeó sobre", "parecía cosa", "cosa de", "ni siquiera", "lo habrían cambiado",
-    "quelqu un plaisanta", "plaisanta sur", "on aurait dit", "aurait dit", "même des", "auraient rien changé",
-    "кто то пошутил", "пошутил про", "это напоминало", "даже", "бы не изменили",
-    "冗談の種", "まるで", "のようだった", "でもそれは", "変えられなかった",
-)
-#: How a numbered reference begins in normal form; with at most so many words it is about nothing.
-REFERENCES, REFERENCE_WORDS = (" no ", " nr ", " n o ", " n ° ", " n º ", " № ", " 第 号 "), 4
+NONE = len(SUBJECTS)
 #: Language codes of three letters for those of two; others count as one more language.
 LANGUAGES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "jpn": "ja"}
+SPOKEN = (*sorted(set(LANGUAGES.values())), "xx")
 #: Labelled sentences that are fitted on at most.
 EXAMPLES = 20_000
+#: Terms that an automaton holds at most; with more, sentences meet their terms in a shuffled join instead.
+AUTOMATON = 500_000
+#: Characters of a word that count, so that its forms are one term.
+STEM = 5
+#: The least that a term must say for or against a class; a term in more than one of USUAL sentences counts less.
+TELLING, USUAL = 0.5, 20.0
+#: Shares of the median score of held-out labelled sentences: to be counted as a subject's own, and to be given to it.
+SURE, GIVEN = 0.9, 0.3
 
 HIDDEN = re.compile("[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), 0x2060, 0xFEFF))) + "]")
 MARKUP = re.compile(r"<[^<>]{0,200}>|https?://\S+|www\.\S+")
-SHORT = "".join(rf"(?<!\b{x}\.)" for x in ("no", "nr", "op", "n", "p", "s", "vol", "art", "abs", "соч", "см", "ст"))
-END = re.compile(rf"(?<=[.!?…]){SHORT}[\"'»”’)]*\s+|(?<=[。？！])|\n+", re.IGNORECASE)
-#: Numbers whose shape says something, and the words they count as: a result (3:1), codes in a row (004-64b).
-SHAPES = ((re.compile(r"(?<![\d.,:-])\d{1,2}\s?[-–:]\s?\d{1,2}(?![\d.,:-])"), " pairofnumbers "), (re.compile(r"\d{1,4}[a-zA-Z?!]*(?:[-.:]\d{1,4}[a-zA-Z?!]*){2,}"), " rowofcodes "))
-DIGIT = re.compile("[0-9]")
-WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*|[§°%€$×№]")
-CJK = re.compile(r"[\u3005\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
+END = re.compile(r"(?<=[.!?…])[\"'»”’)]*\s+|(?<=[。？！])|\n+")
+#: A number with what is joined to it; a run of one script of Japanese; a word of another script; a symbol.
+WORD = re.compile(
+    r"(?P<number>\d+[a-z]*(?:[^\w\s]{1,2}\d+[a-z]*)*)|[々㐀-䶿一-鿿]+|[ぁ-ゟ]+|[゠-ヿ]+"
+    r"|(?:[^\W\d_々ぁ-ヿ㐀-䶿一-鿿][̀-ͯ]*)+|[§°%€$×№]"
+)
+JOINT = re.compile(r"[^\w\s]{1,2}")
 
 
 def repaired(text: str) -> str:
     """UTF-8 that was read as a western single-byte code, read again where all of it fits."""
-    if re.search(r"[ÃÂÐÑãâ][\u0080-\u00bf\u0152-\u0178\u2018-\u203a\u20ac\u2122]", text):
+    if re.search(r"[ÃÂÐÑãâ][\u0080-¿Œ-Ÿ‘-›€™]", text):
         for code in ("cp1252", "latin-1"):
             try:
                 return text.encode(code).decode("utf-8")
@@ -54,36 +53,24 @@ def repaired(text: str) -> str:
     return text
 
 
-def sentences(text: str | None) -> list[str]:
-    """The sentences of a text in normal form: words in lower case between blanks, without markup, numbers and hidden characters.
-
-    A full stop after one of a few abbreviations (No., op.) ends no sentence.
-    """
-    if not text:
-        return []
-    text = HIDDEN.sub("", MARKUP.sub(" ", html.unescape(repaired(text))))
-    text = unicodedata.normalize("NFKC", text)
+def normal(sentence: str) -> list[str]:
+    """The terms of a sentence: words in lower case by their first letters, and for numbers the signs that join them (3:1 gives 0:0)."""
     out = []
-    for s in END.split(text):
-        if DIGIT.search(s):
-            for shape, word in SHAPES:
-                s = shape.sub(word, s)
-        words = WORD.findall(s.lower())
-        if words:
-            out.append(f" {' '.join(words)} ")
+    for m in WORD.finditer(sentence.lower()):
+        if m.lastgroup:
+            out += sorted({f"0{j}0" for j in JOINT.findall(m[0])})
+        else:
+            out.append(m[0][:STEM])
     return out
 
 
-def terms(sentence: str) -> set[str]:
-    """The candidates for terms: words between blanks, and of Japanese two to four characters in succession."""
-    out = set()
-    for w in sentence.split():
-        if CJK.search(w):
-            for run in CJK.findall(w):
-                out.update(run[i : i + n] for n in (2, 3, 4) for i in range(len(run) - n + 1))
-        else:
-            out.add(f" {w} ")
-    return out
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text, each as its terms between blanks, without markup and hidden characters."""
+    if not text:
+        return []
+    text = HIDDEN.sub("", MARKUP.sub(" ", html.unescape(repaired(text))))
+    each = (normal(unicodedata.normalize("NFKC", s)) for s in END.split(text) if s)
+    return [f" {' '.join(terms)} " for terms in each if terms]
 
 
 def label(value: str | None) -> int | None:
@@ -94,51 +81,37 @@ def label(value: str | None) -> int | None:
 def language(code: str | None) -> str:
     code = re.split("[-_]", (code or "").strip().lower())[0]
     code = LANGUAGES.get(code, code)
-    return code if code in LANGUAGES.values() else "xx"
+    return code if code in SPOKEN else "xx"
 
 
-def weigh(counts: dict[tuple[str, str], np.ndarray], sizes: dict[str, np.ndarray], least: int, smooth: float = 2.0) -> dict[str, np.ndarray]:
-    """For each term, by class: the logarithm of the odds of the class with the term, against those in its languages.
+def weigh(seen: np.ndarray, spoken: np.ndarray, sizes: np.ndarray, smooth: float = 2.0) -> np.ndarray:
+    """For each term (row), by class: the logarithm of the odds of the class with the term, against those usual in its languages.
 
-    counts: in how many sentences of each class a term stands, by term and language; sizes: how many sentences of
-    each class a language has. So a word that is merely frequent in a language where a class is frequent says nothing.
-    Rare terms are drawn to 0, and none says much against a class.
+    seen: in how many sentences of each class a term stands; spoken: in how many of each language; sizes: how many
+    sentences of each language (row) and class there are. So a word that is merely frequent in a language where a class is
+    frequent says nothing. Odds of rare terms are drawn to 0, none says much against a class, and a term that many
+    sentences of its languages hold counts less, by the logarithm of its rarity.
     """
-    usual = {g: (n + 5) / (n + 5).sum() for g, n in sizes.items()}
-    total: dict[str, list] = {}
-    for (t, g), n in counts.items():
-        x = total.setdefault(t, [np.zeros(len(CLASSES)), np.zeros(len(CLASSES))])
-        x[0] += n
-        x[1] += n.sum() * usual[g]
-    kept = [t for t in sorted(total) if total[t][0].sum() >= least]
-    if not kept:
-        return {}
-    seen, due = (np.array([total[t][k] for t in kept]) for k in (0, 1))
+    usual = (sizes + 5) / (sizes + 5).sum(1, keepdims=True)
     n = seen.sum(1, keepdims=True)
-    p = due / n
-    odds = np.log((seen + smooth * p) / p) - np.log((n - seen + smooth * (1 - p)) / (1 - p))
-    least_odds = np.array([[-0.3 if CJK.match(t) else -1.0] for t in kept])  # a Japanese sentence has many terms that overlap
-    return dict(zip(kept, np.clip(odds, least_odds, 4)))
+    p = spoken @ usual / n
+    odds = np.clip(np.log((seen + smooth * p) / p) - np.log((n - seen + smooth * (1 - p)) / (1 - p)), -1, 4)
+    among = (spoken > 0) @ sizes.sum(1)
+    rarity = np.log(np.maximum(among / n[:, 0], 1.0)) / np.log(USUAL)
+    return odds * np.minimum(rarity, 1.0)[:, None]
 
 
 class Matcher:
-    """Scores sentences by class: the weights of a sentence's terms, added up and divided by the root of their number."""
+    """Scores sentences by class: the weights of a sentence's different terms, added up and divided by the fourth root of how many different ones it has."""
 
-    def __init__(self, weights: dict[str, np.ndarray], remarks: tuple[str, ...] = REMARKS):
+    def __init__(self, weights: dict[str, np.ndarray]):
         import ahocorasick
 
-        self.automaton, self.remarks = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton()
         self.table = np.array(list(weights.values())).reshape(len(weights), len(CLASSES))
         for k, t in enumerate(weights):
-            self.automaton.add_word(t, k)
-        for r in remarks:
-            self.remarks.add_word(r if CJK.match(r) else f" {r} ", True)
-        for a in (self.automaton, self.remarks):
-            a.make_automaton()
-
-    def idle(self, sentence: str) -> bool:
-        """A passing remark, a comparison or a numbered reference."""
-        return next(self.remarks.iter(sentence), None) is not None or (sentence.startswith(REFERENCES) and len(sentence.split()) <= REFERENCE_WORDS)
+            self.automaton.add_word(f" {t} ", k)
+        self.automaton.make_automaton()
 
     def scores(self, told_: list[str]) -> np.ndarray:
         """A row for each sentence; 0 where it has no term."""
@@ -149,18 +122,11 @@ class Matcher:
             some = np.flatnonzero(size)
             if len(some):
                 first = np.append(0, np.cumsum(size[some]))[:-1]
-                out[some] = np.add.reduceat(self.table[[k for h in hits for k in h]], first) / np.sqrt(size[some])[:, None]
+                length = np.array([len(set(told_[i].split())) for i in some])
+                out[some] = np.add.reduceat(self.table[[k for h in hits for k in h]], first) / (length**0.25)[:, None]
         return out
 
 
-def likely(scores: np.ndarray, share: float = 0.6) -> np.ndarray:
-    """For each row the class that the scores make more likely than share, else -1."""
-    best = scores.argmax(1)
-    top = scores.max(1, initial=-np.inf)
-    sure = (top > 0) & (np.exp(scores - top[:, None]).sum(1) * share < 1)
-    return np.where(sure, best, -1)
-
-
 def told(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, language and sentences (in normal form) of every document with an id."""
 
@@ -172,96 +138,145 @@ def told(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.where("doc_id IS NOT NULL").select("doc_id", "lang", F.col(text).alias("text")).mapInArrow(run, "doc_id long, language string, sentences array<string>")
 
 
-def seeds(examples: DataFrame) -> list[tuple[str, str, int]]:
-    """The sentences of at most EXAMPLES labelled texts with language and class; unknown labels are left out."""
-    rows = examples.where("text IS NOT NULL AND subject IS NOT NULL").orderBy("example_id").limit(EXAMPLES).select("text", "lang", "subject").collect()
-    return [(s, language(r.lang), k) for r in rows if (k := label(r.subject)) is not None for s in sentences(r.text)]
+class Labelled:
+    """The sentences of at most EXAMPLES labelled texts, each counted twice, in five parts that can be held out by turns."""
+
+    def __init__(self, examples: DataFrame):
+        rows = examples.where("text IS NOT NULL AND subject IS NOT NULL").orderBy("example_id").limit(EXAMPLES).select("text", "lang", "subject").collect()
+        found = [(s, language(r.lang), k) for r in rows if (k := label(r.subject)) is not None for s in sentences(r.text)]
+        self.texts, self.spoken, self.classes = [s for s, _, _ in found], [g for _, g, _ in found], np.array([k for _, _, k in found], np.int64)
+        self.part = np.array([zlib.crc32(s.encode()) % 5 for s in self.texts], np.int64)
+
+    def counts(self, without: int | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """By term, the sentences of each class and then of each language that hold it; and the sizes that weigh() takes."""
+        of, sizes = {}, np.zeros((len(SPOKEN), len(CLASSES)), np.int64)
+        for s, g, k, part in zip(self.texts, self.spoken, self.classes, self.part):
+            if part != without:
+                sizes[SPOKEN.index(g), k] += 2
+                for t in set(s.split()):
+                    row = of.setdefault(t, np.zeros(len(CLASSES) + len(SPOKEN), np.int64))
+                    row[k] += 2
+                    row[len(CLASSES) + SPOKEN.index(g)] += 2
+        return of, sizes
+
+    def held_out(self, corpus: dict[str, np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """For each class the median score of its sentences, each weighed without its own part's labels; of those that score best for their label."""
+        x = np.zeros((len(self.texts), len(CLASSES)))
+        for part in range(5):
+            at = np.flatnonzero(self.part == part)
+            x[at] = Matcher(weights(*self.counts(part), corpus, sizes)).scores([self.texts[i] for i in at])
+        best = x.argmax(1)
+        own = [x[(self.classes == k) & (best == k) & (x.max(1) > 0), k] for k in range(len(CLASSES))]
+        known = [float(np.median(o)) for o in own if len(o)]
+        return np.array([float(np.median(o)) if len(o) else float(np.median(known)) if known else 1.0 for o in own])
+
+
+def weights(labelled: dict[str, np.ndarray], labelled_sizes: np.ndarray, corpus: dict[str, np.ndarray], sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """The telling terms of the labelled sentences with their weights, what the corpus says about them included."""
+    if not labelled:
+        return {}
+    n = np.array([row + corpus.get(t, 0) for t, row in labelled.items()])
+    w = weigh(n[:, : len(CLASSES)], n[:, len(CLASSES) :], labelled_sizes + sizes)
+    return {t: v for t, v in zip(labelled, w) if np.abs(v).max() >= TELLING}
+
+
+def classed(held: DataFrame, weights_: dict[str, np.ndarray], least: np.ndarray) -> DataFrame:
+    """language, sentence and class: the subject that scores best, where it scores as least has it and more than no subject; else none."""
+    known = held.sparkSession.sparkContext.broadcast((weights_, least))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, least_ = Matcher(known.value[0]), known.value[1]
+        for b in batches:
+            every = b["sentences"].flatten()
+            x = matcher.scores(every.to_pylist())
+            best = x[:, :NONE].argmax(1)
+            top = x[np.arange(len(x)), best]
+            kind = np.where((top >= least_[best]) & (top > x[:, NONE]), best, NONE)
+            langs = b["language"].take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(b["sentences"].offsets.to_numpy()))))
+            yield pa.RecordBatch.from_arrays([langs, every, pa.array(kind.astype(np.int32))], ["language", "sentence", "class"])
 
-def counted(labelled: list[tuple[str, str, int]], weight: int = 1) -> tuple[dict, dict]:
-    """The counts and sizes that weigh() takes."""
-    each = Counter((t, g, k) for s, g, k in labelled for t in terms(s))
-    every = Counter((g, k) for _, g, k in labelled)
-    counts: dict[tuple[str, str], np.ndarray] = {}
-    sizes: dict[str, np.ndarray] = {}
-    for (t, g, k), n in each.items():
-        counts.setdefault((t, g), np.zeros(len(CLASSES), np.int64))[k] += weight * n
-    for (g, k), n in every.items():
-        sizes.setdefault(g, np.zeros(len(CLASSES), np.int64))[k] += weight * n
-    return counts, sizes
+    return held.select("language", F.array_distinct("sentences").alias("sentences")).mapInArrow(run, "language string, sentence string, class int")
 
 
-def corpus_counts(sentences_of: DataFrame, weights: dict[str, np.ndarray], least: int) -> tuple[dict, dict]:
-    """counted() over the sentences of all documents that the weights are sure of: every term and language with at least so many sentences."""
-    held = sentences_of.sparkSession.sparkContext.broadcast(weights)
+def curate(held: DataFrame, examples: DataFrame, least: int = 3) -> tuple[DataFrame, np.ndarray]:
+    """The telling terms (term, weights by class), and for each subject the score from which a sentence is given to it.
+
+    The labelled sentences give the first terms. With these, every sentence of the corpus is put to the subject it
+    scores best for, or to none, and the terms are counted by class, over all documents (a sentence once in each), and weighed again: so words
+    that no labelled sentence has find their subject, wrong labels lose their weight, and words of courtesies and of
+    remarks, which stand beside few terms of any subject, weigh for none. Thresholds are shares of what labelled
+    sentences score that were held out.
+    """
+    spark = held.sparkSession
+    labelled = Labelled(examples)
+    own, own_sizes = labelled.counts()
+    nothing = np.zeros_like(own_sizes)
+    put = stage(classed(held, weights(own, own_sizes, {}, nothing), SURE * labelled.held_out({}, nothing)), "classed")
+    sizes = nothing.copy()
+    for r in put.groupBy("language", "class").agg(F.count("*").alias("n")).collect():  # languages x classes at most
+        sizes[SPOKEN.index(r.language), r["class"]] = r.n
+    each = put.select("language", "class", F.explode(F.array_distinct(F.split(F.trim("sentence"), " "))).alias("term"))
+    columns = [*(F.count_if(F.col("class") == k).alias(c) for k, c in enumerate(CLASSES)), *(F.count_if(F.col("language") == g).alias(f"in_{g}") for g in SPOKEN)]
+    counted = stage(each.groupBy("term").agg(*columns), "term-counts")
+    fields = [*CLASSES, *(f"in_{g}" for g in SPOKEN)]
+    also = spark.createDataFrame([(t, *map(int, row)) for t, row in own.items()], "term string, " + ", ".join(f"{c} long" for c in fields))
+    corpus = {r.term: np.array(r[1:], np.int64) for r in counted.join(F.broadcast(also.select("term")), "term", "left_semi").select("term", *fields).collect()}  # the labelled sentences' terms
+    total = counted.unionByName(also).groupBy("term").agg(*(F.sum(c).alias(c) for c in fields)).where(sum(F.col(c) for c in CLASSES) >= least)
+    all_sizes = own_sizes + sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value)
         for b in batches:
-            every = [(s, g) for g, told_ in zip(b["language"].to_pylist(), b["sentences"].to_pylist()) for s in told_ if not matcher.idle(s)]
-            counts, sizes = counted([(s, g, k) for (s, g), k in zip(every, likely(matcher.scores([s for s, _ in every])).tolist()) if k >= 0])
-            counts |= {("", g): n for g, n in sizes.items()}
-            flat = np.array(list(counts.values()), np.int64).reshape(len(counts), len(CLASSES))
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([g for _, g in counts], pa.string()), *(pa.array(flat[:, k]) for k in range(len(CLASSES)))], ["term", "language", *CLASSES])
+            n = np.stack([b[c].to_numpy() for c in fields], 1).reshape(b.num_rows, len(fields))
+            w = weigh(n[:, : len(CLASSES)], n[:, len(CLASSES) :], all_sizes)
+            keep = pa.array(np.flatnonzero(np.abs(w).max(1, initial=0) >= TELLING))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), len(CLASSES)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b["term"].take(keep), flat.take(keep)], ["term", "weights"])
 
-    each = sentences_of.select("language", "sentences").mapInArrow(run, "term string, language string, " + ", ".join(f"{c} long" for c in CLASSES))
-    n = F.col("n")
-    rows = each.groupBy("term", "language").agg(*(F.sum(c).alias(c) for c in CLASSES)).withColumn("n", sum(F.col(c) for c in CLASSES)).where((n >= least) | (F.col("term") == ""))
-    found = {(r.term, r.language): np.array([r[c] for c in CLASSES], np.int64) for r in rows.toLocalIterator()}
-    return {k: v for k, v in found.items() if k[0]}, {k[1]: v for k, v in found.items() if not k[0]}
+    found = stage(total.select("term", *fields).mapInArrow(run, "term string, weights array<double>"), "terms")
+    return found, GIVEN * labelled.held_out(corpus, sizes)
 
 
-def merged(a: dict, b: dict) -> dict:
-    return {k: a.get(k, 0) + b.get(k, 0) for k in a.keys() | b.keys()}
+def matched(held: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id and scores (by class) of every sentence with a term: by an automaton that each task holds, where there are few enough terms."""
+    if terms.limit(AUTOMATON + 1).count() > AUTOMATON:
+        return joined(held, terms)
+    known = held.sparkSession.sparkContext.broadcast({r.term: np.array(r.weights) for r in terms.toLocalIterator()})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(known.value)
+        for b in batches:
+            x = matcher.scores(b["sentences"].flatten().to_pylist())
+            ids = b["doc_id"].take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(b["sentences"].offsets.to_numpy()))))
+            yield pa.RecordBatch.from_arrays([ids, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(CLASSES)).cast(pa.list_(pa.float64()))], ["doc_id", "scores"])
 
-def curate(sentences_of: DataFrame, examples: DataFrame, rounds: int = 3, least: int = 3) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The weighted terms, and for each subject the score from which a sentence is given to it.
+    return held.select("doc_id", "sentences").mapInArrow(run, "doc_id long, scores array<double>")
 
-    The terms of the labelled sentences are weighed first. In each round the sentences of all documents that the
-    weights are sure of are counted, beside the labelled ones, and the terms weighed anew: so words that no labelled
-    sentence has find their subject, and wrong labels lose their weight. A subject's threshold is three tenths of the median score of
-    the labelled sentences that score best for their own label.
-    """
-    labelled = seeds(examples)
-    counts, sizes = counted(labelled, 2)
-    weights = weigh(counts, sizes, 1)
-    for _ in range(rounds):
-        more, more_sizes = corpus_counts(sentences_of, weights, least)
-        weights = weigh(merged(counts, more), merged(sizes, more_sizes), least)
-    matcher = Matcher(weights)
-    x, label_ = matcher.scores([s for s, _, _ in labelled]), np.array([k for _, _, k in labelled], np.int64)
-    own = [x[(label_ == k) & (x.argmax(1) == k), k] for k in range(len(CLASSES))]
-    return weights, np.array([0.3 * float(np.median(o)) if len(o) else 1.0 for o in own])
+
+def joined(held: DataFrame, terms: DataFrame) -> DataFrame:
+    """matched() without an automaton: each sentence's terms meet their weights in a shuffled join, and are added up by sentence."""
+    each = held.withColumn("_row", F.monotonically_increasing_id()).select("doc_id", "_row", F.posexplode("sentences").alias("_at", "_sentence"))
+    words = F.array_distinct(F.split(F.trim("_sentence"), " "))
+    one = each.select("doc_id", "_row", "_at", F.size(words).alias("_n"), F.explode(words).alias("term")).join(terms, "term")
+    sums = one.groupBy("_row", "_at", "doc_id", "_n").agg(*(F.sum(F.get("weights", F.lit(k))).alias(f"_{k}") for k in range(len(CLASSES))))
+    return sums.select("doc_id", F.array(*(F.col(f"_{k}") / F.pow(F.col("_n").cast("double"), F.lit(0.25)) for k in range(len(CLASSES)))).alias("scores"))
 
 
 def subjects(documents: DataFrame, examples: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, subject and n_sentences for each subject that at least one sentence of a document is given to.
 
-    A sentence is given to the class whose terms score highest, if that is a subject and the score reaches the
-    subject's threshold; passing remarks, comparisons and numbered references are given to none. The terms of all languages are in
-    one automaton, so the labelled language of a text doesn't matter; it only balances the counts.
+    A sentence is given to every subject for which its terms reach the threshold and score more than for none. The terms
+    of all languages are in one automaton, so the labelled language of a text doesn't matter; it only balances the counts.
 
     Null, empty and blank texts and documents without an id give no row; repeated rows of a document add up. Markup,
     hidden characters and doubly encoded text are mended before. A text is never cut. Without labelled examples there
     are no rows.
     """
     held = stage(told(documents, text), "sentences")
-    weights, thresholds = curate(held, examples)
-    known = held.sparkSession.sparkContext.broadcast((weights, thresholds))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, least = Matcher(known.value[0]), np.maximum(known.value[1], 1e-9)
-        for b in batches:
-            every = [(i, s) for i, told_ in enumerate(b["sentences"].to_pylist()) for s in told_ if not matcher.idle(s)]
-            x = matcher.scores([s for _, s in every])
-            best = x.argmax(1)
-            given = (best < len(SUBJECTS)) & (x.max(1, initial=-np.inf) >= least[best])
-            tally = Counter((i, k) for (i, _), k, ok in zip(every, best.tolist(), given.tolist()) if ok)
-            at, found = pa.array([i for i, _ in tally], pa.int64()), pa.array([SUBJECTS[k] for _, k in tally], pa.string())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), found, pa.array(list(tally.values()), pa.int64())], ["doc_id", "subject", "n_sentences"])
-
-    return held.select("doc_id", "sentences").mapInArrow(run, "doc_id long, subject string, n_sentences long").groupBy("doc_id", "subject").agg(F.sum("n_sentences").alias("n_sentences"))
+    terms, least = curate(held, examples)
+    score = lambda k: F.get("scores", F.lit(k))
+    given = [F.when((score(k) >= F.lit(float(least[k]))) & (score(k) > score(NONE)), F.lit(s)) for k, s in enumerate(SUBJECTS)]
+    each = matched(held, terms).select("doc_id", F.explode(F.array_compact(F.array(*given))).alias("subject"))
+    return each.groupBy("doc_id", "subject").agg(F.count("*").alias("n_sentences"))
 
 
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:

@@ -109,19 +109,32 @@ def test_shares_and_empty(spark):
 
 
 def test_sentences():
-    text = "<seg n=\"1\">See No. 5, op. 12 here. It&#39;s 4:1 now! Carv​ings 004-64b.120?-9</seg> 写本は石板。終わり"
-    assert subjects.sentences(text) == [" see no op here ", " it s pairofnumbers now ", " carvings rowofcodes 写本は石板 ", " 終わり "]
+    text = "<seg n=\"1\">See the page, here. It&#39;s 4:1 now! Carv\u200bings 004-64b.120?-9</seg> 写本は石板。終わり"
+    assert subjects.sentences(text) == [" see the page here ", " it s 0:0 now ", " carvi 0-0 0.0 0?-0 写本 は 石板 ", " 終 わり "]
     assert subjects.sentences(None) == subjects.sentences("  ") == subjects.sentences("123 ...") == []
     assert subjects.sentences("Ã©tÃ©") == [" été "]
 
 
-def test_every_term_that_is_frequent_enough_counts(spark):
-    law = np.eye(len(subjects.CLASSES))[subjects.SUBJECTS.index("law")] * 4
-    told = [(k, "en", [f" court {' '.join(f'w{k}x{i}' for i in range(200))} "] * 3) for k in range(110)] + [(900, "en", [" court rare "] * 2)]
-    df = spark.createDataFrame(told, "doc_id long, language string, sentences array<string>")
-    counts, sizes = subjects.corpus_counts(df, {" court ": law}, 3)
-    assert len(counts) == 110 * 200 + 1 and (" rare ", "en") not in counts
-    assert counts[" w7x9 ", "en"].sum() == 3 and sizes["en"].sum() == 332
+def test_weights_are_drawn_to_nothing_where_they_tell_nothing():
+    sizes = np.zeros((len(subjects.SPOKEN), len(subjects.CLASSES)), np.int64)
+    sizes[0, :2] = 500, 500
+    seen = np.zeros((4, len(subjects.CLASSES)), np.int64)
+    seen[0, 0], seen[1, :2], seen[2, 0], seen[3, 0] = 40, (20, 20), 1, 500
+    spoken = np.zeros((4, len(subjects.SPOKEN)), np.int64)
+    spoken[:, 0] = seen.sum(1)
+    w = subjects.weigh(seen, spoken, sizes)
+    assert w[0, 0] > 2 and abs(w[1, 0]) < 0.1 and 0 < w[2, 0] < w[0, 0] and w[3, 0] < w[0, 0] and (w >= -1).all()
+
+
+def test_many_terms_give_the_same_scores_without_an_automaton(spark, monkeypatch):
+    r = random.Random(6)
+    told = [(k % 40, "en", [f" {' '.join(r.choices('abcdefgh', k=r.randint(1, 9)))} " for _ in range(r.randint(0, 4))]) for k in range(60)]
+    held = spark.createDataFrame(told, "doc_id long, language string, sentences array<string>")
+    terms = spark.createDataFrame([(t, [r.uniform(-1, 4) for _ in subjects.CLASSES]) for t in "abcdef"], "term string, weights array<double>")
+    tidy = lambda df: sorted((x.doc_id, tuple(round(v, 9) for v in x.scores)) for x in df.collect() if any(x.scores))
+    want = tidy(subjects.matched(held, terms))
+    monkeypatch.setattr(subjects, "AUTOMATON", 3)
+    assert tidy(subjects.matched(held, terms)) == want != []
 
 
 NOUNS = {"law": "court judge verdict clause appeal".split(), "music": "violin melody chord opera choir".split(), "none": "road winter thanks page evening".split()}
@@ -151,3 +164,5 @@ def test_subjects_on_held_out_texts(spark):
     got = {x.subject: x for x in subjects.composition(rows, documents).collect()}
     assert got["none"].n_docs >= 3 and abs(got["law"].share - got["law"].n_docs / 204) < 1e-9
     assert subjects.subjects(documents, examples.limit(0)).count() == 0
+    two = spark.createDataFrame([(1, "The court heard the verdict, the clause and the appeal; the violin, the opera and the choir played the melody.", "en")], "doc_id long, text string, lang string")
+    assert {x.subject for x in subjects.subjects(documents.unionByName(two).where("doc_id >= 0 OR doc_id IS NULL"), examples).where("doc_id = 1").collect()} >= {"law", "music"}
