@@ -35,6 +35,11 @@ def code(text: Column) -> Column:
     return F.when(digits != "", pad(digits))
 
 
+def strict_code(text: Column) -> Column:
+    """code(), but a text without digits raises."""
+    return F.when(text.isNotNull() & code(text).isNull(), F.raise_error(F.concat(F.lit("no digits in "), text)).cast("string")).otherwise(code(text))
+
+
 def pad_numbers(token: Column) -> Column:
     """Every run of digits padded where it stands."""
     one = F.regexp_replace(token, "(?<![0-9])([0-9])(?![0-9])", "00$1")

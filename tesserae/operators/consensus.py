@@ -5,9 +5,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.neighbors import margins
-
-
 #: Bounds for taking part and for agreeing, by name.
 PRESETS = {
     "strict": {"min_score": 4.0, "min_unique": 100, "min_entropy": 4.0, "min_trials": 2, "min_fraction": 0.5, "min_margin": 0.05, "banned_share": 0.05},
@@ -27,21 +24,21 @@ def known_trials(neighbors: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def banned_words(tops: DataFrame, share: float) -> DataFrame:
-    """trial_id and word of first neighbours that a trial gives to more than max(1, ceil(share * tokens)) of its tokens."""
-    count = tops.groupBy("trial_id", "word").agg(F.count("*").alias("n"))
+    """trial_id and word (in lower case) of first neighbours that a trial gives to more than max(1, ceil(share * tokens)) of its tokens."""
+    count = tops.where("word IS NOT NULL").groupBy("trial_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("trial_id"))
     return count.withColumn("most", F.greatest(F.lit(1), F.ceil(F.lit(share) * total))).where("n > most").select("trial_id", "word")
 
 
-def votes(neighbors: DataFrame, anchors: DataFrame, leaks: DataFrame, min_margin: float, banned_share: float) -> DataFrame:
-    """trial_id, token, word, margin and cosine: the first neighbours that count as votes.
+def votes(tops: DataFrame, anchors: DataFrame, leaks: DataFrame, min_margin: float, banned_share: float) -> DataFrame:
+    """trial_id, token, word (in lower case), margin and cosine: the first neighbours that count as votes.
 
-    Tokens that are anchors, words that leak from anchors, words banned in their trial and margins below the least are
+    tops: the first neighbours with their margins, as margins() gives them by trial_id and token. Tokens that are anchors, words that leak from anchors, words banned in their trial and margins below the least are
     left out; a token with one neighbour only has the margin 0.
     """
-    tops = margins(neighbors, "trial_id", "token").where("word IS NOT NULL").join(anchors.select("token").distinct(), "token", "left_anti")
+    tops = tops.where("word IS NOT NULL").withColumn("word", F.lower("word")).join(anchors.select("token").distinct(), "token", "left_anti")
     near = tops.withColumn("margin", F.coalesce("margin", F.lit(0.0))).where(F.round("margin", 9) >= min_margin)
-    return near.join(leaks.select("word").distinct(), "word", "left_anti").join(banned_words(tops, banned_share), ["trial_id", "word"], "left_anti").select("trial_id", "token", "word", "margin", "cosine")
+    return near.join(leaks.select(F.lower("word").alias("word")).distinct(), "word", "left_anti").join(banned_words(tops, banned_share), ["trial_id", "word"], "left_anti").select("trial_id", "token", "word", "margin", "cosine")
 
 
 def ranked_votes(cast: DataFrame) -> DataFrame:

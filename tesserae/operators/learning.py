@@ -5,16 +5,23 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.plans.stages import stage
 
+#: The sharpness of the contrast, and the least length that is divided by.
 TEMPERATURE, LEAST = 0.07, 1e-8
+#: Different pairs of a shard, about, and tokens of a model at most: it is held on the driver and broadcast (about 200 MB at 128 dimensions).
+SHARD_PAIRS, TOKENS = 100_000, 200_000
 
 
 @dataclass
 class Settings:
+    """The defaults."""
+
     input_dim: int = 128
     hidden_dim: int = 256
     output_dim: int = 64
@@ -50,6 +57,12 @@ class Model:
         small = lambda *shape: r.normal(0.0, 0.02, shape)
         return Model(small(n_tokens, s.input_dim), small(s.input_dim, s.hidden_dim), np.zeros(s.hidden_dim), small(s.hidden_dim, s.output_dim), np.zeros(s.output_dim))
 
+    @staticmethod
+    def waves(n_tokens: int, s: Settings) -> "Model":
+        """A model of fixed weights: sin(3 i + 2 j) / 10 in row i and column j of each table."""
+        wave = lambda rows, columns: np.sin(3.0 * np.arange(rows)[:, None] + 2.0 * np.arange(columns)[None, :]) / 10
+        return Model(wave(n_tokens, s.input_dim), wave(s.input_dim, s.hidden_dim), np.zeros(s.hidden_dim), wave(s.hidden_dim, s.output_dim), np.zeros(s.output_dim))
+
     def parts(self) -> dict[str, np.ndarray]:
         return {"tokens": self.tokens, "w1": self.w1, "b1": self.b1[None], "w2": self.w2, "b2": self.b2[None]}
 
@@ -73,25 +86,26 @@ class Model:
         np.add.at(self.tokens, ids, -rate * on_tokens)
 
 
-def contrast(v: np.ndarray, near: np.ndarray, far: np.ndarray) -> tuple[float, np.ndarray]:
-    """InfoNCE: the loss, and its slope in v, of telling near from far targets."""
+def contrast(v: np.ndarray, near: np.ndarray, far: np.ndarray, share: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """InfoNCE: the loss, and its slope in v, of telling near from far targets. share: how much each row counts, 1 in all."""
+    share = np.full(len(v), 1 / max(len(v), 1)) if share is None else share
     logits = np.concatenate([(v * near).sum(1, keepdims=True), np.einsum("nd,nkd->nk", v, far)], 1) / TEMPERATURE
     p = np.exp(logits - logits.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    loss = float(-np.log(np.clip(p[:, 0], LEAST, 1.0)).mean())
+    loss = float(-np.log(np.clip(p[:, 0], LEAST, 1.0)) @ share)
     p[:, 0] -= 1.0
-    p /= len(v) * TEMPERATURE
+    p *= share[:, None] / TEMPERATURE
     return loss, p[:, :1] * near + np.einsum("nk,nkd->nd", p[:, 1:], far)
 
 
-def context_step(m: Model, centers: np.ndarray, contexts: np.ndarray, s: Settings, r: np.random.Generator) -> float:
-    """Both losses of a batch: of the token vectors themselves, then of their projections."""
-    others = r.integers(0, len(m.tokens), (len(centers), s.negatives))
+def context_step(m: Model, centers: np.ndarray, contexts: np.ndarray, counts: np.ndarray, s: Settings, r: np.random.Generator) -> float:
+    """Both losses of a batch of different pairs, weighted by their counts: of the token vectors themselves, then of their projections."""
+    others, share = r.integers(0, len(m.tokens), (len(centers), s.negatives)), counts / counts.sum()
     way = unit(m.tokens[centers])
-    first, slope = contrast(way, unit(m.tokens[contexts]), unit(m.tokens[others]))
+    first, slope = contrast(way, unit(m.tokens[contexts]), unit(m.tokens[others]), share)
     np.add.at(m.tokens, centers, -s.learning_rate * (slope - way * (way * slope).sum(1, keepdims=True)))
     hidden, out = m.forward(centers)
-    second, slope = contrast(unit(out), unit(m.forward(contexts)[1]), unit(m.forward(others)[1]))
+    second, slope = contrast(unit(out), unit(m.forward(contexts)[1]), unit(m.forward(others)[1]), share)
     m.back(centers, hidden, out, s.cooccurrence_weight * slope, s.learning_rate)
     return first + s.cooccurrence_weight * second
 
@@ -115,52 +129,45 @@ def spread_step(m: Model, s: Settings, r: np.random.Generator) -> float:
     return s.collapse_weight * float((np.maximum(0, 1 - v.std(0)) ** 2).mean() + (off**2).mean() if len(off) else 0.0)
 
 
-def fit_projection(counts: DataFrame, n_tokens: int, settings: Settings, anchors: tuple[np.ndarray, np.ndarray] | None = None, shards: int = 8) -> tuple[Model, list[float]]:
+def fit_projection(counts: DataFrame, n_tokens: int, settings: Settings, anchors: tuple[np.ndarray, np.ndarray] | None = None, shards: int | None = None) -> tuple[Model, list[float]]:
     """The model and the loss of each epoch, learned from center_idx, context_idx and n.
 
-    In an epoch each shard of the pairs takes its own steps from the common model, batch by batch and in an order of
-    its own; the shards' changes are averaged row by row on Spark, weighted by their pairs, and give the next model. A
-    pair with count n is taken n times. Then come the steps of the anchors (ids and unit targets) and the one against collapse,
-    which touch a bounded number of rows. The model is held on the driver: its size is that of the vocabulary.
-    Without pairs the losses are 0.
+    In an epoch each shard of the pairs (by default one for SHARD_PAIRS) takes its own steps from the common model, batch by batch and in an
+    order of its own; the shards' changes are averaged row by row on Spark, weighted by their pairs, and give the next model. A pair with
+    count n counts n times in its batch. Then come the steps of the anchors (ids and unit targets) and the one against
+    collapse, which touch a bounded number of rows. The model is held on the driver: a vocabulary of more than TOKENS
+    raises. Without pairs the losses are 0.
     """
+    if n_tokens > TOKENS:
+        raise ValueError(f"a model of {n_tokens} tokens; at most {TOKENS} are held")
     spark = counts.sparkSession
-    pairs = stage(counts.select("center_idx", "context_idx", F.col("n").cast("long").alias("n"), F.pmod(F.xxhash64("center_idx", "context_idx"), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard"), "pairs")
+    pairs = stage(counts.select("center_idx", "context_idx", F.col("n").cast("long").alias("n")), "counts")
+    shards = shards or max(1, -(-pairs.count() // SHARD_PAIRS))
+    pairs = stage(pairs.withColumn("shard", F.pmod(F.xxhash64("center_idx", "context_idx"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "center_idx", "context_idx"), "pairs")
     m, losses = Model.create(n_tokens, settings), []
     for epoch in range(settings.epochs):
         held = spark.sparkContext.broadcast((m, settings, epoch))
 
-        def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def learn(key: tuple, pairs_: pd.DataFrame) -> pd.DataFrame:
             start, s, at = held.value
-            own, r, taken, lost = start.copy(), None, 0, 0.0
-            for part in parts:
-                if r is None:
-                    r = np.random.default_rng([s.seed, at, int(part["shard"].iloc[0]) if len(part) else 0])
-                order = r.permutation(np.repeat(np.arange(len(part)), part["n"].to_numpy()))
-                c, x = part["center_idx"].to_numpy()[order], part["context_idx"].to_numpy()[order]
-                for k in range(0, len(order), s.batch_size):
-                    size = len(c[k : k + s.batch_size])
-                    lost += size * context_step(own, c[k : k + s.batch_size], x[k : k + s.batch_size], s, r)
-                    taken += size
-            if taken:
-                yield pd.DataFrame({"part": ["loss"], "row": [0], "weight": [taken], "change": [[lost / taken]]})
-                for name, after in own.parts().items():
-                    change = after - start.parts()[name]
-                    rows = np.flatnonzero(np.abs(change).max(1) > 0)
-                    yield pd.DataFrame({"part": name, "row": rows, "weight": taken, "change": list(change[rows])})
-
-        def average(rows: pd.DataFrame) -> pd.DataFrame:
-            w = rows["weight"].to_numpy()
-            return pd.DataFrame({"part": [rows["part"].iloc[0]], "row": [rows["row"].iloc[0]], "weight": [int(w.sum())], "change": [np.stack(rows["change"].to_numpy()).T @ w]})
-
-        changed = pairs.mapInPandas(learn, "part string, row long, weight long, change array<double>").groupBy("part", "row").applyInPandas(average, "part string, row long, weight long, change array<double>")
-        rows, total, loss = changed.collect(), 0, 0.0
-        for x in rows:
+            own, r = start.copy(), np.random.default_rng([s.seed, at, int(key[0])])
+            order = r.permutation(len(pairs_))
+            c, x, n = (pairs_[k].to_numpy()[order] for k in ("center_idx", "context_idx", "n"))
+            lost = sum(int(n[k : k + s.batch_size].sum()) * context_step(own, c[k : k + s.batch_size], x[k : k + s.batch_size], n[k : k + s.batch_size], s, r) for k in range(0, len(c), s.batch_size))
+            taken, out = int(n.sum()), [("loss", 0, [lost])]
+            for name, after in own.parts().items():
+                change = (after - start.parts()[name]) * taken
+                out += [(name, int(i), change[i].tolist()) for i in np.flatnonzero(np.abs(change).max(1) > 0)]
+            return pd.DataFrame(out, columns=["part", "row", "change"])
+
+        total = pairs.agg(F.sum("n")).first()[0] or 0
+        changes = pairs.groupBy("shard").applyInPandas(learn, "part string, row long, change array<double>")
+        sums = changes.groupBy("part", "row").agg(vector_to_array(Summarizer.sum(array_to_vector("change"))).alias("change"))
+        parts, loss = m.parts(), 0.0
+        for x in sums.toLocalIterator():  # a row for each token and unit of the model at most
             if x.part == "loss":
-                total, loss = x.weight, x.change[0] / x.weight
-        parts = m.parts()
-        for x in rows:
-            if x.part != "loss":
+                loss = x.change[0] / total
+            else:
                 parts[x.part][x.row] += np.array(x.change) / total
         if anchors is not None and len(anchors[0]):
             for _ in range(settings.anchor_passes):
@@ -184,7 +191,6 @@ def project(vocab: DataFrame, m: Model) -> DataFrame:
 def principal_plane(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, x and y: the centred vectors on their first two principal axes; the greatest coordinate of an axis is positive."""
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = stage(vectors.where(f"{vector} IS NOT NULL").select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v")), "pca")
     centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(v).transform(v)

@@ -3,9 +3,11 @@
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import normalize_text
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """corpus, tablet and html of the files under path: <corpus>/raw/<tablet>.html."""
@@ -14,43 +16,53 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 class ListLines(HTMLParser):
-    """Items of lists as title (in <a>) and text (around it); <br> is a line's end."""
+    """Items of lists as title (in <a>) and text (around it), with a blank for each stretch of white space and for <br>."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.item, self.in_title = [], None, False
 
-    def close_item(self):
-        if self.item is not None:
-            self.lines.append(("".join(self.item[0]).strip(), "".join(self.item[1]).strip()))
-        self.item, self.in_title = None, False
-
     def handle_starttag(self, tag, attrs):
-        if tag == "li":
-            self.close_item()
+        if tag == "li":  # an item that is still open is given up
             self.item = ([], [])
         elif tag == "a" and self.item is not None:
             self.in_title = True
-        elif tag == "br" and self.item is not None and not self.in_title:
+        elif tag == "br" and self.item is not None:
             self.item[1].append("\n")
 
     def handle_endtag(self, tag):
-        if tag == "li":
-            self.close_item()
-        elif tag == "a":
+        if self.item is None:
+            return
+        if tag == "a":
             self.in_title = False
+        elif tag == "li":
+            self.lines.append(tuple(" ".join("".join(part).split()) for part in self.item))
+            self.item, self.in_title = None, False
 
     def handle_data(self, data):
         if self.item is not None:
             self.item[0 if self.in_title else 1].append(data)
 
 
+#: The entities that plain pages use, &amp; last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def plain_text(markup: Column) -> Column:
+    """The text between tags, with the ENTITIES decoded and white space made single."""
+    bare = F.regexp_replace(F.regexp_replace(markup, "(?i)<br */?>", "\n"), "<[^>]*>", "")
+    for entity, character in ENTITIES:
+        bare = F.replace(bare, F.lit(entity), F.lit(character))
+    return normalize_text(bare)
+
+
 def extract_lines(pages: DataFrame, html: str = "html", general: bool = True) -> DataFrame:
-    """The columns of pages but html, and ord, title and text of each list item with a title.
+    """The columns of pages but html, and ord, title and text of each closed list item with a title.
 
     general reads any HTML (attributes, entities, items that aren't closed) in batches of Arrow; otherwise plain items
-    <li>..<a>title</a>..</li> are taken with regular expressions, without Python. A title that comes again in a page
-    keeps its first place and its last text. A null page has no lines.
+    <li>..<a>title</a>..</li> are taken with regular expressions, without Python. An item that isn't closed before the
+    next begins, or before the end, is left out. A title that comes again in a page keeps its first place and its last text. A null page has no
+    lines.
     """
     keys = [c for c in pages.columns if c != html]
     if general:
@@ -60,16 +72,16 @@ def extract_lines(pages: DataFrame, html: str = "html", general: bool = True) ->
             def read(value):
                 parser = ListLines()
                 parser.feed(value or "")
-                parser.close_item()
+                parser.close()
                 return [{"title": t, "text": x} for t, x in parser.lines]
 
             return values.map(read)
 
         each = pages.select(*keys, F.posexplode(items(html)).alias("ord", "item")).select(*keys, "ord", "item.title", "item.text")
     else:
-        item = F.posexplode(F.regexp_extract_all(html, F.lit("(?s)<li>(.*?)</li>"), 1)).alias("ord", "item")
-        text = F.regexp_replace(F.regexp_replace(F.col("item"), "(?s)<a[^>]*>.*?</a>", ""), "<br */?>", "\n")
-        each = pages.select(*keys, item).select(*keys, "ord", F.trim(F.regexp_extract("item", "(?s)<a[^>]*>(.*?)</a>", 1)).alias("title"), F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), "^\\s+|\\s+$", "").alias("text"))
+        item = F.posexplode(F.regexp_extract_all(html, F.lit("(?s)<li>((?:(?!<li>).)*?)</li>"), 1)).alias("ord", "item")
+        text = F.regexp_replace("item", "(?s)<a[^>]*>.*?</a>", "")
+        each = pages.select(*keys, item).select(*keys, "ord", plain_text(F.regexp_extract("item", "(?s)<a[^>]*>(.*?)</a>", 1)).alias("title"), plain_text(text).alias("text"))
     each = each.where("title <> ''")
     return each.groupBy(*keys, "title").agg(F.min("ord").alias("ord"), F.max_by("text", "ord").alias("text")).select(*keys, "ord", "title", "text")
 

@@ -2,9 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.plans.index import numbered
+
 
 def with_scorer(pairs: DataFrame, scorer: Callable[[DataFrame], Column] | None, raw: str = "raw") -> DataFrame:
     """pairs with a column raw: the scorer's answer. The scorer is given the DataFrame and returns a column, such as an iterator pandas UDF that loads a model once."""
@@ -23,9 +25,9 @@ def best_score(answers: DataFrame, key: str, order: str, score: str, label: str)
 
 
 def chunks(items: DataFrame, size: int, key: str, *order: str) -> DataFrame:
-    """items with batch and place: so many in succession within key, from 0."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return items.withColumn("_at", at).withColumn("batch", F.floor(F.col("_at") / size).cast("int")).withColumn("place", (F.col("_at") % size).cast("int")).drop("_at")
+    """items with batch and place: so many in succession within key, from 0. Order should tell the items of a key apart."""
+    at = numbered(items, *order, column="_at", within=(key,))
+    return at.withColumn("batch", F.floor(F.col("_at") / size).cast("int")).withColumn("place", (F.col("_at") % size).cast("int")).drop("_at")
 
 
 def cells(labels: DataFrame, images: DataFrame, per_sheet: int = 100, columns: int = 10) -> DataFrame:

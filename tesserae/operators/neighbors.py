@@ -1,43 +1,75 @@
 """Exact nearest neighbours by cosine, and what they say about a vector space."""
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.vectors import normalize
+from tesserae.functions.vectors import dot, normalize
+from tesserae.plans.index import numbered
 from tesserae.plans.stages import stage
 
-#: Vectors of the pool, and queries, that one task compares at a time.
-POOL_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors of the pool, and queries, that a task compares at a time; queries that are broadcast at a time (32 MB at 64 dimensions).
+POOL_BLOCK, QUERY_BLOCK, QUERY_SHARE = 4096, 1024, 65_536
+
+
+def best_of(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k greatest values, and of all that equal the least of them; -inf never."""
+    least = np.partition(cos, -k, axis=1)[:, -k] if k < cos.shape[1] else np.full(len(cos), -np.inf)
+    return np.nonzero((cos >= least[:, None]) & np.isfinite(cos))
+
+
+def keep_best(row: np.ndarray, key: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, by cosine and then by key."""
+    order = np.lexsort((key, -cos, row))
+    row, key, cos = row[order], key[order], cos[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+    return row[keep], key[keep], cos[keep]
 
 
 def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", itself: bool = False) -> DataFrame:
     """query, rank (from 1), neighbor and cosine: the k rows of pool nearest to each row of queries.
 
-    Both sides are cut into blocks of bounded size; each pair of blocks is one product of matrices and keeps the k best
-    of its queries, and these are ranked together. Cosines are rounded to nine digits before they are ranked; of equal
-    ones the lower key comes first. Without itself, a query's own key is no neighbour of it. Null keys and vectors take no part; a
-    vector of length 0 has the cosine 0 with all others.
+    Queries are broadcast, at most QUERY_SHARE at a time; each task compares them with its part of the pool, block by
+    block as a product of matrices, and keeps the k best of each query. Only these are shuffled, to be ranked together:
+    the pool never is. Cosines are rounded to nine digits before they are ranked; of equal ones the lower key comes first. Without itself, a
+    query's own key is no neighbour of it. Null keys and vectors take no part; a vector of length 0 has the cosine 0 with all others.
     """
-    queries, pool = (stage(x.where(f"{key} IS NOT NULL AND {vector} IS NOT NULL").select(F.col(key).cast("long").alias("key"), normalize(F.col(vector)).alias("v")), "vectors") for x in (queries, pool))
-    q_blocks, p_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(pool.count() / POOL_BLOCK))
-    spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or p.empty:
-            return pd.DataFrame({"query": [], "neighbor": [], "cosine": []})
-        cos = np.round(np.stack(q["v"].to_numpy()) @ np.stack(p["v"].to_numpy()).T, 9)
-        keys, own = p["key"].to_numpy(), q["key"].to_numpy()
-        if not itself:
-            cos[own[:, None] == keys[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(keys, cos.shape), -cos), axis=1)[:, :k]
-        out = pd.DataFrame({"query": np.repeat(own, order.shape[1]), "neighbor": keys[order].ravel(), "cosine": np.take_along_axis(cos, order, 1).ravel()})
-        return out[np.isfinite(out["cosine"])]
-
-    parts = spread(queries, "qb", q_blocks, "pb", p_blocks).groupBy("qb", "pb").cogroup(spread(pool, "pb", p_blocks, "qb", q_blocks).groupBy("qb", "pb")).applyInPandas(best, "query long, neighbor long, cosine double")
+    spark = pool.sparkSession
+    clean = lambda x: x.where(f"{key} IS NOT NULL AND {vector} IS NOT NULL").select(F.col(key).cast("long").alias("key"), normalize(F.col(vector)).alias("v"))
+    asked = stage(numbered(clean(queries), "key", column="at"), "queries")
+    shares, pool = max(1, math.ceil(asked.count() / QUERY_SHARE)), clean(pool)
+
+    def search(share: int) -> DataFrame:
+        part = asked.where((F.col("at") >= share * QUERY_SHARE) & (F.col("at") < (share + 1) * QUERY_SHARE)).select("key", "v").toPandas()
+        held = spark.sparkContext.broadcast((part["key"].to_numpy(np.int64), np.stack(part["v"].to_numpy()) if len(part) else np.zeros((0, 1))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, q = held.value
+            at = range(0, len(own), QUERY_BLOCK)
+            best = {i: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for i in at}
+            for b in batches:
+                for low in range(0, b.num_rows, POOL_BLOCK):
+                    keys, flat = b["key"][low : low + POOL_BLOCK].to_numpy(), b["v"][low : low + POOL_BLOCK].flatten().to_numpy()
+                    p = flat.reshape(len(keys), -1).T
+                    for i in at:
+                        cos = np.nan_to_num(np.round(q[i : i + QUERY_BLOCK] @ p, 9), nan=-np.inf)
+                        if not itself:
+                            cos[own[i : i + QUERY_BLOCK, None] == keys[None, :]] = -np.inf
+                        row, column = best_of(cos, k)
+                        best[i] = keep_best(*(np.append(x, y) for x, y in zip(best[i], (row, keys[column], cos[row, column]))), k)
+            for i in at:
+                row, neighbor, cosine = best[i]
+                yield pa.RecordBatch.from_arrays([pa.array(own[i + row]), pa.array(neighbor), pa.array(cosine)], ["query", "neighbor", "cosine"])
+
+        return pool.mapInArrow(run, "query long, neighbor long, cosine double")
+
+    parts = reduce(DataFrame.unionByName, map(search, range(shares)))
     w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbor")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbor", "cosine")
 
@@ -93,6 +125,30 @@ def mean_vectors(vectors: DataFrame, key: str, vector: str = "embedding") -> Dat
     return mean.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
 
 
+def text_vectors(pieces: DataFrame, vectors: DataFrame, *keys: str, piece: str = "piece", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """keys and vector: the mean of the vectors of each text's pieces, repeated ones too; zeros where a text has no piece with a vector.
+
+    pieces has a row for each piece of a text; a text without pieces has one with a null piece.
+    """
+    known = vectors.where(f"{vector} IS NOT NULL").select(F.col(key).alias(piece), F.posexplode(vector).alias("i", "x"))
+    counts = pieces.where(F.col(piece).isNotNull()).groupBy(*keys, piece).agg(F.count("*").alias("n"))
+    sums = counts.join(known, piece).groupBy(*keys, "i").agg((F.sum(F.col("n") * F.col("x").cast("double")) / F.sum("n")).alias("x"))
+    means = sums.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+    dims = vectors.where(f"{vector} IS NOT NULL").agg(F.max(F.size(vector))).first()[0] or 0
+    every = pieces.select(*keys).distinct().join(means, list(keys), "left")
+    return every.select(*keys, F.coalesce("vector", F.array_repeat(F.lit(0.0), dims)).alias("vector"))
+
+
+def gloss_vectors(texts: DataFrame, key: str) -> DataFrame:
+    """key and vector: the mean of a key's text vectors (not of their pieces), brought to length 1. texts is what text_vectors() gives, with key among its keys."""
+    return mean_vectors(texts, key, "vector").select(key, normalize(F.col("mean")).alias("vector"))
+
+
+def anchor_cosines(projected: DataFrame, glosses: DataFrame, *keys: str) -> DataFrame:
+    """keys, token and cosine of each anchor's projected vector with the vector of its glosses; anchors that either side lacks give no row."""
+    return projected.join(glosses.withColumnRenamed("vector", "_gloss"), "token").select(*keys, "token", dot(normalize(F.col("vector")), F.col("_gloss")).alias("cosine"))
+
+
 def gram(vectors: DataFrame, first: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """row, col and cosine of the first so many vectors by key: a corner of the table of all cosines, as a plot shows it."""
     top = vectors.where(f"{vector} IS NOT NULL").orderBy(key).limit(first)
@@ -112,5 +168,16 @@ def word_pool(words: DataFrame, limit: int, lower: bool) -> DataFrame:
 
 
 def with_extras(pool: DataFrame, extras: DataFrame) -> DataFrame:
-    """The pool and after it the different extra words that it lacks (idx null)."""
-    return pool.unionByName(extras.select("word").distinct().join(pool, "word", "left_anti").select(F.lit(None).cast("int").alias("idx"), "word"))
+    """The pool and after it the different extra words, of letters a to z in lower case, that it lacks (idx null)."""
+    more = extras.select(F.lower("word").alias("word")).where("word RLIKE '^[a-z]+$'").distinct().join(pool, "word", "left_anti")
+    return pool.unionByName(more.select(F.lit(None).cast(pool.schema["idx"].dataType).alias("idx"), "word"))
+
+
+def pool_vectors(pool: DataFrame, vectors: DataFrame, pieces: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """word, idx and vector of a pool with extras: a word of the pool has the vector of its number, an extra one the mean of its pieces' vectors.
+
+    pieces has word and piece, the numbers of the vectors that a word is made of.
+    """
+    own = pool.where("idx IS NOT NULL").join(vectors.select(F.col(key).alias("idx"), F.transform(vector, lambda x: x.cast("double")).alias("vector")), "idx")
+    extra = pool.where("idx IS NULL").join(pieces, "word", "left")
+    return own.select("word", "idx", "vector").unionByName(text_vectors(extra, vectors, "word", key=key, vector=vector).select("word", F.lit(None).cast(pool.schema["idx"].dataType).alias("idx"), "vector"))

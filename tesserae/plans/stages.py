@@ -6,11 +6,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The paths that this process has staged, by application.
+STAGED: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a session within one process, as in tests, gets a temporary one; on a cluster it raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -20,11 +26,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back.
 
     The table lies in the shared folder, so whatever reads it survives the loss of an executor, reads only the
-    columns it needs and doesn't repeat the work before.
+    columns it needs and doesn't repeat the work before. It stays until drop_staged().
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes what this application has staged, once its results are written; returns how many tables."""
+    paths = STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:

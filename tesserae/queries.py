@@ -59,22 +59,24 @@ def lines_latest(spark, sf):
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """The lines as pages of at most 20 items of a list, as they are published."""
-    item = F.concat(F.lit("<li><a>"), "title", F.lit("</a> "), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit("<br>")), F.lit("</li>"))
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br>"))
+    item = F.concat(F.lit("<li><a>"), F.replace(F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</a> "), plain(F.coalesce("text", F.lit(""))), F.lit("</li>"))
     return lines(spark, sf).withColumn("page", F.floor(F.col("ord") / 20).cast("int")).groupBy("corpus", "tablet", "page").agg(F.concat(F.lit("<ul>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title", item.alias("item")))), lambda x: x["item"]), "\n"), F.lit("</ul>")).alias("html"))
 
 
-PAGE_LINES = f"WITH {LINES} SELECT corpus, tablet, CAST(floor(ord / 20) AS INTEGER) AS page, title, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM lines WHERE trim(title) <> ''"
+SPACE = r"[\s\x{1c}-\x{1f}\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+PAGE_LINES = f"""WITH {LINES}, tidy AS (SELECT corpus, tablet, CAST(floor(ord / 20) AS INTEGER) AS page, ord, title AS raw, trim(regexp_replace(title, '{SPACE}', ' ', 'g')) AS title, trim(regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g')) AS text FROM lines)
+SELECT corpus, tablet, page, title, text FROM (SELECT *, row_number() OVER (PARTITION BY corpus, tablet, page, title ORDER BY ord DESC, raw DESC) AS k FROM tidy) WHERE k = 1 AND title <> ''"""
 
 
 @query(PAGE_LINES)
 def extract_list_lines(spark, sf):
-    return ln.extract_lines(pages(spark, sf)).select("corpus", "tablet", "page", "title", F.regexp_replace("text", "^\\s+|\\s+$", "").alias("text"))
+    return ln.extract_lines(pages(spark, sf)).select("corpus", "tablet", "page", "title", "text")
 
 
 @query(PAGE_LINES)
 def extract_list_lines_plain(spark, sf):
-    out = ln.extract_lines(pages(spark, sf), general=False).select("corpus", "tablet", "page", "title", F.regexp_replace("text", "&amp;", "&").alias("text"))
-    return out
+    return ln.extract_lines(pages(spark, sf), general=False).select("corpus", "tablet", "page", "title", "text")
 
 
 @query(f"""WITH {LINES} SELECT corpus, tablet, CASE grouping(corpus, tablet) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS level, count(*) AS n_lines
@@ -92,7 +94,7 @@ def union_corpora(spark, sf):
 # --- text functions --------------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{1c}-\x{1f}\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS text FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) AS text FROM documents")
 def normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
@@ -256,6 +258,22 @@ def anchor_resolve_variants(spark, sf):
     return cooc.resolve_variants(wanted, exploded(tokens(spark, sf, "glyph_variants")).select("token").distinct())
 
 
+@query(f"""WITH {sql_tokens('simple')}, wanted AS (SELECT DISTINCT regexp_extract(glyph, '[0-9]+') AS token FROM glyph_tokens WHERE glyph IS NOT NULL)
+SELECT token FROM wanted WHERE token NOT IN (SELECT token FROM toks) AND {sql_pad('token')} NOT IN (SELECT token FROM toks)""")
+def anchor_misses(spark, sf):
+    """The signs of the token records that the lines don't have."""
+    wanted = table(spark, sf, "glyph_tokens").where("glyph IS NOT NULL").select(F.regexp_extract("glyph", "[0-9]+", 0).alias("token")).distinct()
+    return cooc.missing_tokens(wanted, stage(cooc.vocabulary(tokens(spark, sf, "simple")), "vocab"))
+
+
+@query(f"""WITH {sql_tokens('glyph_variants')}, vocab AS (SELECT token AS key, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM toks)),
+wanted AS (SELECT DISTINCT regexp_extract(glyph, '[0-9]+') AS token FROM glyph_tokens WHERE glyph IS NOT NULL), keys AS (SELECT split_part(key, ':', 1) AS g, min(key) AS key FROM vocab GROUP BY 1)
+SELECT w.token, k.key, v.idx FROM wanted w LEFT JOIN keys k ON g = {sql_pad('w.token')} LEFT JOIN vocab v ON v.key = k.key""")
+def anchor_variant_index(spark, sf):
+    wanted = table(spark, sf, "glyph_tokens").where("glyph IS NOT NULL").select(F.regexp_extract("glyph", "[0-9]+", 0).alias("token")).distinct()
+    return cooc.variant_index(wanted, stage(cooc.vocabulary(tokens(spark, sf, "glyph_variants")), "vocab"))
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 UNIT = """unit AS (SELECT vec_id, label, list_transform(d, lambda x: x / greatest(sqrt(list_sum(list_transform(d, lambda y: y * y))), 1e-8)) AS v
@@ -319,11 +337,13 @@ def knn_margin(spark, sf):
     return m.select("query", "word", F.round("cosine", 6).alias("cosine"), F.round("margin", 6).alias("margin"))
 
 
-WORDS = r"words AS (SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents))"
+WORDS = r"words AS (SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{M}]+')) AS word FROM documents))"
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    return numbered(table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word")).distinct(), "word", column="idx")
+    """The different words of all documents, of letters of any script, numbered in their order."""
+    found = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word")).distinct()
+    return numbered(found, "word", column="idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 @query(f"WITH {WORDS} SELECT idx, word FROM words WHERE regexp_full_match(word, '[a-z]+') AND length(word) >= 3 ORDER BY idx LIMIT 5000")
@@ -332,11 +352,39 @@ def word_pool_v1(spark, sf):
     return neighbors.word_pool(words(spark, sf), 5000, lower=False)
 
 
-@query(f"""WITH {WORDS}, pool AS (SELECT lower(word) AS word, min(idx) AS idx FROM words WHERE length(word) >= 3 GROUP BY 1 ORDER BY idx LIMIT 5000)
-SELECT idx, word FROM pool UNION ALL SELECT -1, word FROM (SELECT DISTINCT lower(trim(subject)) AS word FROM subject_examples WHERE subject IS NOT NULL) WHERE word NOT IN (SELECT word FROM pool)""")
+POOL = f"""WITH {WORDS}, pool AS (SELECT lower(word) AS word, min(idx) AS idx FROM words WHERE length(word) >= 3 AND regexp_full_match(lower(word), '[a-z]+') GROUP BY 1 ORDER BY idx LIMIT 5000),
+extras AS (SELECT DISTINCT word FROM (SELECT lower(trim(subject)) AS word FROM subject_examples WHERE subject IS NOT NULL UNION ALL SELECT lower(n_name) FROM nation) WHERE regexp_full_match(word, '[a-z]+') AND word NOT IN (SELECT word FROM pool))"""
+
+
+def pool_and_extras(spark: SparkSession, sf: str) -> DataFrame:
+    named = table(spark, sf, "nation").select(F.lower("n_name").alias("word"))
+    extras = table(spark, sf, "subject_examples").where("subject IS NOT NULL").select(F.lower(F.trim("subject")).alias("word")).unionByName(named)
+    return stage(neighbors.with_extras(stage(neighbors.word_pool(words(spark, sf), 5000, lower=True), "pool"), extras), "pool")
+
+
+@query(f"{POOL} SELECT idx, word FROM pool UNION ALL SELECT -1, word FROM extras")
 def word_pool_v2(spark, sf):
-    extras = table(spark, sf, "subject_examples").where("subject IS NOT NULL").select(F.lower(F.trim("subject")).alias("word"))
-    return neighbors.with_extras(stage(neighbors.word_pool(words(spark, sf), 5000, lower=True), "pool"), extras).withColumn("idx", F.coalesce("idx", F.lit(-1)))
+    return pool_and_extras(spark, sf).withColumn("idx", F.coalesce("idx", F.lit(-1)))
+
+
+VECTORS = "vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), size AS (SELECT count(*) AS n_vec FROM vecs), parts AS (SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM vecs)"
+
+
+def letters(text: str, n_vec: int):
+    """The numbers of the vectors that stand for the letters of a text, as a column to explode."""
+    return F.explode(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % n_vec))
+
+
+@query(f"""{POOL}, {VECTORS},
+summed AS (SELECT word, i, avg(x) AS x FROM (SELECT word, ascii(unnest(string_split(word, ''))) % n_vec AS piece FROM extras, size) JOIN parts ON vec_id = piece GROUP BY word, i),
+every AS (SELECT word, list(x ORDER BY i) AS v FROM summed GROUP BY word UNION ALL SELECT word, v FROM pool JOIN vecs ON vec_id = idx)
+SELECT word, round(v[1], 6) AS first, round(list_sum(v), 6) AS total FROM every""")
+def pool_vectors(spark, sf):
+    """The vectors of a pool's words that have one, and those of the extra words, as means of their letters' vectors."""
+    pool, e = pool_and_extras(spark, sf), table(spark, sf, "embeddings")
+    pieces = pool.where("idx IS NULL").select("word", letters("word", e.where("embedding IS NOT NULL").count()).alias("piece"))
+    v = neighbors.pool_vectors(pool, e, pieces)
+    return v.select("word", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 # --- trials, quality and consensus -----------------------------------------------------------------------------------
@@ -345,50 +393,98 @@ RECORDS = """
 records AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY logged_at DESC NULLS LAST, score DESC NULLS LAST) AS k FROM trial_records
             WHERE trial_id IS NOT NULL AND (error IS NULL OR trim(error) = '')) WHERE k = 1),
 named AS (SELECT trial_id, score, row_number() OVER (ORDER BY trial_id) - 1 AS idx FROM records)"""
-TRIALS = 5  # trials whose neighbours are taken from a fifth of the lines each
-NEIGHBORS = f"""WITH {sql_tokens('simple')}, {RECORDS},
-pairs AS (SELECT trial_id, a.token AS center, b.token AS context FROM toks a JOIN toks b ON a.line_id = b.line_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 JOIN named ON idx = a.line_id % {TRIALS}),
-counts AS (SELECT trial_id, center, context, count(*) AS n FROM pairs GROUP BY ALL),
+
+
+def sql_listed(strategy: str) -> str:
+    return f"SELECT '{strategy}' AS strategy, rid, coalesce({SQL_TOKENS[strategy]}, []) AS tokens FROM cleaned WHERE '{strategy}' IN (SELECT strategy FROM own)"
+
+
+#: Every trial with a good record over all lines, by its own strategy and window.
+NEIGHBORS = f"""WITH {LINES}, {RECORDS}, {VECTORS},
+own AS (SELECT trial_id, strategy, context_window FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY strategy, context_window) AS k FROM trial_configs WHERE context_window >= 1 AND strategy IN {tuple(STRATEGIES)}) WHERE k = 1 AND trial_id IN (SELECT trial_id FROM records)),
+cleaned AS (SELECT row_number() OVER () AS rid, translate(text, '!*?()', '') AS c FROM lines),
+listed AS ({" UNION ALL ".join(map(sql_listed, STRATEGIES))}),
+toks AS (SELECT strategy, rid, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM listed),
+signs AS (SELECT * FROM toks WHERE token NOT IN ('-', '.', ':')),
+near_by AS (SELECT a.strategy, abs(a.pos - b.pos) AS far, a.token AS center, b.token AS context, count(*) AS n FROM signs a JOIN signs b ON a.strategy = b.strategy AND a.rid = b.rid AND a.pos <> b.pos AND abs(a.pos - b.pos) <= (SELECT max(context_window) FROM own) GROUP BY ALL),
+counts AS (SELECT trial_id, center, context, sum(n) AS n FROM near_by p JOIN own o ON o.strategy = p.strategy AND far <= context_window GROUP BY ALL),
 sums AS (SELECT trial_id, center AS token, sum(n) AS t FROM counts GROUP BY ALL),
 near AS (SELECT c.trial_id, center AS token, context AS word, round(n / sqrt(CAST(a.t AS DOUBLE) * b.t), 9) AS cosine FROM counts c JOIN sums a ON a.trial_id = c.trial_id AND a.token = center JOIN sums b ON b.trial_id = c.trial_id AND b.token = context WHERE center <> context),
 neighbors AS (SELECT *, row_number() OVER (PARTITION BY trial_id, token ORDER BY cosine DESC, word) AS rank FROM near),
 tops AS (SELECT trial_id, token, max(word) FILTER (WHERE rank = 1) AS word, max(cosine) FILTER (WHERE rank = 1) AS cosine, max(cosine) FILTER (WHERE rank = 1) - max(cosine) FILTER (WHERE rank = 2) AS margin FROM neighbors WHERE rank <= 2 GROUP BY ALL),
 kinds AS (SELECT trial_id, count(*) AS unique_top1_count, -sum(p * log2(p)) AS top1_entropy_bits FROM (SELECT trial_id, word, n / sum(n) OVER (PARTITION BY trial_id) AS p FROM (SELECT trial_id, word, count(*) AS n FROM tops GROUP BY trial_id, word)) GROUP BY trial_id),
 quality AS (SELECT trial_id, count(*) AS token_count, any_value(unique_top1_count) AS unique_top1_count, any_value(top1_entropy_bits) AS top1_entropy_bits, avg(cosine) AS top1_mean_cosine, stddev_pop(cosine) AS top1_std_cosine, min(cosine) AS top1_min_cosine, max(cosine) AS top1_max_cosine, avg(margin) AS top1_top2_margin_mean, coalesce(stddev_pop(margin), 0) AS top1_top2_margin_std FROM tops JOIN kinds USING (trial_id) GROUP BY trial_id),
-anchors AS (SELECT unnest({list(ANCHORS)}) AS token),
+anchors AS (SELECT unnest({list(ANCHORS)}) AS token, unnest(range({len(ANCHORS)})) AS k),
 expected AS (SELECT token, word FROM (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY s DESC, word) AS k FROM (SELECT center AS token, context AS word, sum(n) AS s FROM counts WHERE center IN (SELECT token FROM anchors) AND center <> context GROUP BY center, context)) WHERE k <= 5),
 rates AS (SELECT trial_id, avg(CASE WHEN e.word IS NULL THEN 0 ELSE 1 END) AS anchor_hit_rate FROM tops t LEFT JOIN expected e ON e.token = t.token AND e.word = t.word WHERE t.token IN (SELECT token FROM expected) GROUP BY trial_id),
-tests AS (SELECT trial_id, avg(cosine) AS anchor_cosine FROM tops WHERE token IN (SELECT token FROM anchors) GROUP BY trial_id)"""
-
+gloss_texts AS (SELECT token, text, i, avg(x) AS x FROM (SELECT a.token, lower(n_name) AS text, ascii(unnest(string_split(lower(n_name), ''))) % n_vec AS piece FROM nation JOIN anchors a ON a.k = n_regionkey, size) JOIN parts ON vec_id = piece GROUP BY ALL),
+glosses AS (SELECT token, list(x ORDER BY i) AS g FROM (SELECT token, i, avg(x) AS x FROM gloss_texts GROUP BY ALL) GROUP BY token),
+placed_at AS (SELECT trial_id, center AS token, n, CAST(nullif(regexp_extract(context, '[0-9]+'), '') AS DECIMAL(38, 0)) % n_vec AS piece FROM counts, size WHERE center IN (SELECT token FROM anchors)),
+projected AS (SELECT trial_id, token, list(x ORDER BY i) AS p FROM (SELECT trial_id, token, i, sum(n * x) AS x FROM placed_at JOIN parts ON vec_id = piece GROUP BY ALL) GROUP BY ALL),
+tests AS (SELECT trial_id, token, list_dot_product(p, g) / greatest(sqrt(list_dot_product(p, p)), 1e-8) / greatest(sqrt(list_dot_product(g, g)), 1e-8) AS cosine FROM projected JOIN glosses USING (token))"""
 
-def trial_neighbors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The neighbours of every sign in each of five trials, the pair counts they come from, and the trials' last good records."""
-    records = numbered(ln.last_records(table(spark, sf, "trial_records")), "trial_id", column="idx").select("trial_id", "score", "idx")
-    own = records.where(F.col("idx") < TRIALS).select("trial_id", F.col("idx").cast("long").alias("part"))
-    seqs = tokens(spark, sf, "simple").withColumn("part", F.col("line_id") % TRIALS).join(F.broadcast(own), "part")
-    counts = stage(cooc.pair_counts(seqs, 2, mask=False, keys=("trial_id",)), "trial-pairs")
-    return stage(neighbors.glyph_neighbors(counts, 12), "neighbors"), counts, records
 
+class Trials:
+    """What the trial queries share, over all lines: each trial with a good record by its own strategy and window.
 
-def whole_neighbors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The two nearest neighbours of every token in each trial with a good record, over all lines, the pair counts they come from, and these records.
-
-    A trial's tokens and window are those of its configuration. Pairs are counted and ranked once for each different
-    strategy and window, and a join gives them to every trial with these. A null window, one below 1 or an unknown
-    strategy leaves a trial without pairs.
+    Pairs are counted and ranked once for each different strategy and window, and a join gives them to every trial with
+    these. A null window, one below 1 or an unknown strategy leaves a trial without pairs.
     """
-    records = ln.last_records(table(spark, sf, "trial_records")).select("trial_id", "score")
-    setting = F.min(F.struct("strategy", "context_window")).alias("s")
-    configs = table(spark, sf, "trial_configs").where("context_window >= 1").where(F.col("strategy").isin(*STRATEGIES)).groupBy("trial_id").agg(setting).select("trial_id", "s.strategy", "s.context_window")
-    own = stage(configs.join(records, "trial_id", "left_semi"), "settings")
-    settings = own.select("strategy", "context_window").distinct()
-    found = stage(lines(spark, sf).select("line_id", "text"), "lines")
-    each = [tokenize(found, r.strategy).withColumn("strategy", F.lit(r.strategy)) for r in settings.select("strategy").distinct().collect()]
-    seqs = reduce(DataFrame.unionByName, each, tokenize(found.limit(0), "simple").withColumn("strategy", F.lit(""))).join(F.broadcast(settings), "strategy")
-    counts = stage(cooc.pair_counts(seqs, F.col("context_window"), keys=("strategy", "context_window")), "setting-pairs")
-    near = stage(neighbors.glyph_neighbors(counts, 2, "strategy", "context_window"), "setting-neighbors")
-    by_trial = lambda df: df.join(F.broadcast(own), ["strategy", "context_window"]).drop("strategy", "context_window")
-    return by_trial(near), by_trial(counts), records
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+        self.records = ln.last_records(table(spark, sf, "trial_records")).select("trial_id", "score")
+        setting = F.min(F.struct("strategy", "context_window")).alias("s")
+        configs = table(spark, sf, "trial_configs").where("context_window >= 1").where(F.col("strategy").isin(*STRATEGIES)).groupBy("trial_id").agg(setting).select("trial_id", "s.strategy", "s.context_window")
+        self.own = stage(configs.join(self.records, "trial_id", "left_semi"), "settings")
+        settings = self.own.select("strategy", "context_window").distinct().limit(1001).collect()
+        if len(settings) > 1000:
+            raise ValueError("more than 1000 different settings")
+        found = lines(spark, sf).select("text")
+        each = [self.pairs(found, strategy, sorted({r.context_window for r in settings if r.strategy == strategy})) for strategy in sorted({r.strategy for r in settings})]
+        #: strategy, context_window, a, b and n: the counts of unordered pairs.
+        self.half = stage(reduce(DataFrame.unionByName, each), "setting-pairs") if each else spark.createDataFrame([], "strategy string, context_window int, a string, b string, n long")
+
+    def pairs(self, found: DataFrame, strategy: str, windows: list[int]) -> DataFrame:
+        counts = cooc.pair_counts_by_window(tokenize(found, strategy), windows)
+        return counts.select(F.lit(strategy).alias("strategy"), F.col("window").alias("context_window"), "a", "b", "n")
+
+    def by_trial(self, df: DataFrame) -> DataFrame:
+        return df.join(broadcast_below(self.own, 10_000), ["strategy", "context_window"]).drop("strategy", "context_window")
+
+    def tops(self) -> DataFrame:
+        """trial_id, token, word, cosine and margin of each token's first neighbour in each trial."""
+        counts = cooc.both_ways(self.half, "strategy", "context_window")
+        near = neighbors.glyph_neighbors(counts, 2, "strategy", "context_window")
+        return self.by_trial(neighbors.margins(near, "strategy", "context_window", "token"))
+
+    def anchor_counts(self) -> DataFrame:
+        """trial_id, center, context and n of the pairs whose center is an anchor."""
+        some = self.half.where(F.col("a").isin(*ANCHORS) | F.col("b").isin(*ANCHORS))
+        return self.by_trial(cooc.both_ways(some, "strategy", "context_window").where(F.col("center").isin(*ANCHORS)))
+
+    def expected(self) -> DataFrame:
+        """token and word: the five most frequent neighbours of each anchor in all trials together."""
+        sums = self.anchor_counts().where("center <> context").groupBy("center", "context").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy("center").orderBy(F.col("n").desc(), "context")
+        return sums.withColumn("k", F.row_number().over(w)).where("k <= 5").select(F.col("center").alias("token"), F.col("context").alias("word"))
+
+    def anchor_cosines(self) -> DataFrame:
+        """trial_id, token and cosine: each anchor's projection into the space of the vectors, by the counts of its neighbours, with its glosses.
+
+        No table has glosses or a trial's projection: the k-th anchor's glosses are the names of the nations of region k, made of their
+        letters' vectors, and a neighbour stands where the vector with its number does.
+        """
+        e = table(self.spark, self.sf, "embeddings").where("embedding IS NOT NULL")
+        n_vec = e.count()
+        named = self.spark.createDataFrame([(a, k) for k, a in enumerate(ANCHORS)], "token string, n_regionkey int")
+        texts = table(self.spark, self.sf, "nation").join(F.broadcast(named), "n_regionkey").select("token", F.lower("n_name").alias("text"))
+        glosses = neighbors.gloss_vectors(neighbors.text_vectors(texts.select("token", "text", letters("text", n_vec).alias("piece")), e, "token", "text"), "token")
+        at = F.nullif(F.regexp_extract("context", "[0-9]+", 0), F.lit("")).cast("decimal(38,0)") % n_vec
+        vectors = e.select(F.col("vec_id").alias("at"), F.posexplode("embedding").alias("i", "x"))
+        sums = self.anchor_counts().select("trial_id", F.col("center").alias("token"), "n", at.cast("long").alias("at")).join(vectors, "at").groupBy("trial_id", "token", "i").agg(F.sum(F.col("n") * F.col("x").cast("double")).alias("x"))
+        projected = sums.groupBy("trial_id", "token").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+        return neighbors.anchor_cosines(projected, glosses, "trial_id")
 
 
 def rounded(df: DataFrame, *but: str) -> DataFrame:
@@ -396,42 +492,32 @@ def rounded(df: DataFrame, *but: str) -> DataFrame:
 
 
 @query(NEIGHBORS + " SELECT trial_id, token_count, unique_top1_count, round(top1_entropy_bits, 6) AS top1_entropy_bits, round(top1_mean_cosine, 6) AS top1_mean_cosine, round(top1_std_cosine, 6) AS top1_std_cosine, round(top1_min_cosine, 6) AS top1_min_cosine, round(top1_max_cosine, 6) AS top1_max_cosine, round(top1_top2_margin_mean, 6) AS top1_top2_margin_mean, round(top1_top2_margin_std, 6) AS top1_top2_margin_std FROM quality")
-def neighbor_quality(spark, sf, of=trial_neighbors):
-    near, _, _ = of(spark, sf)
-    return rounded(neighbors.quality(neighbors.margins(near, "trial_id", "token"), "trial_id"))
+def neighbor_quality(spark, sf):
+    return rounded(neighbors.quality(Trials(spark, sf).tops(), "trial_id"))
 
 
 def anchors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a,) for a in ANCHORS], "token string")
 
 
-def expected(counts: DataFrame, spark: SparkSession) -> DataFrame:
-    """The five most frequent neighbours of each anchor in all trials together."""
-    sums = counts.where("center <> context").join(F.broadcast(anchors(spark)), F.col("center") == F.col("token"), "left_semi").groupBy("center", "context").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("center").orderBy(F.col("n").desc(), "context")
-    return sums.withColumn("k", F.row_number().over(w)).where("k <= 5").select(F.col("center").alias("token"), F.col("context").alias("word"))
-
-
 @query(NEIGHBORS + " SELECT trial_id, round(anchor_hit_rate, 6) AS anchor_hit_rate FROM rates")
-def anchor_hit_rate(spark, sf, of=trial_neighbors):
-    near, counts, _ = of(spark, sf)
-    return rounded(neighbors.anchor_rates(neighbors.margins(near, "trial_id", "token"), expected(counts, spark), "trial_id"))
+def anchor_hit_rate(spark, sf):
+    t = Trials(spark, sf)
+    return rounded(neighbors.anchor_rates(t.tops(), t.expected(), "trial_id"))
 
 
-@query(NEIGHBORS + " SELECT trial_id, round(anchor_cosine, 6) AS anchor_cosine FROM tests")
-def anchor_gloss_cosine(spark, sf, of=trial_neighbors):
-    near, _, _ = of(spark, sf)
-    tops = neighbors.margins(near, "trial_id", "token").join(F.broadcast(anchors(spark)), "token", "left_semi")
-    return rounded(tops.groupBy("trial_id").agg(F.avg("cosine").alias("anchor_cosine")))
+@query(NEIGHBORS + " SELECT trial_id, token, round(cosine, 6) AS cosine FROM tests")
+def anchor_gloss_cosine(spark, sf):
+    return rounded(Trials(spark, sf).anchor_cosines())
 
 
 @query(NEIGHBORS + """ SELECT trial_id, round(3 * c + 2 * h + 1.2 * least(u / 80, 1.5) + 0.6 * least(b / 4, 1) + 0.4 * m - CASE WHEN c < 0 THEN 2.5 ELSE 0 END - CASE WHEN u <= 5 THEN 1.5 ELSE 0 END - CASE WHEN h < 0.5 THEN 1 ELSE 0 END, 6) AS score
-FROM (SELECT q.trial_id, coalesce(anchor_cosine, -1) AS c, coalesce(anchor_hit_rate, 0) AS h, unique_top1_count AS u, top1_entropy_bits AS b, top1_top2_margin_mean AS m FROM quality q LEFT JOIN rates USING (trial_id) LEFT JOIN tests USING (trial_id))""")
-def trial_score(spark, sf, of=trial_neighbors):
-    near, counts, _ = of(spark, sf)
-    tops = stage(neighbors.margins(near, "trial_id", "token"), "tops")
-    rates = neighbors.anchor_rates(tops, expected(counts, spark), "trial_id")
-    cosines = tops.join(F.broadcast(anchors(spark)), "token", "left_semi").groupBy("trial_id").agg(F.avg("cosine").alias("c"))
+FROM (SELECT q.trial_id, coalesce(anchor_cosine, -1) AS c, coalesce(anchor_hit_rate, 0) AS h, unique_top1_count AS u, top1_entropy_bits AS b, top1_top2_margin_mean AS m FROM quality q LEFT JOIN rates USING (trial_id) LEFT JOIN (SELECT trial_id, avg(cosine) AS anchor_cosine FROM tests GROUP BY trial_id) USING (trial_id))""")
+def trial_score(spark, sf):
+    t = Trials(spark, sf)
+    tops = stage(t.tops(), "tops")
+    rates = neighbors.anchor_rates(tops, t.expected(), "trial_id")
+    cosines = t.anchor_cosines().groupBy("trial_id").agg(F.avg("cosine").alias("c"))
     q = neighbors.quality(tops, "trial_id").join(rates, "trial_id", "left").join(cosines, "trial_id", "left")
     score = neighbors.trial_score(F.col("c"), F.coalesce("anchor_hit_rate", F.lit(0.0)), F.col("unique_top1_count"), F.col("top1_entropy_bits"), F.col("top1_top2_margin_mean"))
     return q.select("trial_id", F.round(score, 6).alias("score"))
@@ -439,36 +525,37 @@ def trial_score(spark, sf, of=trial_neighbors):
 
 PASSING = "used AS (SELECT q.trial_id FROM quality q LEFT JOIN named n USING (trial_id) WHERE coalesce(score, -999) >= 0 AND unique_top1_count >= 50 AND top1_entropy_bits >= 3)"
 VOTES = NEIGHBORS + f""", {PASSING},
-open_ AS (SELECT * FROM tops WHERE token NOT IN (SELECT token FROM anchors) AND trial_id IN (SELECT trial_id FROM used)),
-leaks AS (SELECT DISTINCT word FROM expected),
+open_ AS (SELECT trial_id, token, lower(word) AS word, cosine, margin FROM tops WHERE token NOT IN (SELECT token FROM anchors) AND trial_id IN (SELECT trial_id FROM used)),
+leaks AS (SELECT DISTINCT lower(word) AS word FROM expected),
 banned AS (SELECT trial_id, word FROM (SELECT *, sum(n) OVER (PARTITION BY trial_id) AS total FROM (SELECT trial_id, word, count(*) AS n FROM open_ GROUP BY trial_id, word)) WHERE n > greatest(1, ceil(0.002 * total))),
 votes AS (SELECT trial_id, token, word, coalesce(margin, 0) AS margin, cosine FROM open_ o WHERE round(coalesce(margin, 0), 9) >= 0.01 AND word NOT IN (SELECT word FROM leaks) AND NOT EXISTS (FROM banned b WHERE b.trial_id = o.trial_id AND b.word = o.word)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY trials DESC, first_seen, word) AS place FROM (SELECT token, word, count(*) AS trials, avg(margin) AS mean_margin, avg(cosine) AS mean_cosine, min(trial_id) AS first_seen FROM votes GROUP BY ALL))"""
 
 
-def cast_votes(spark: SparkSession, sf: str, of: Neighbors) -> tuple[DataFrame, DataFrame, DataFrame]:
-    near, counts, records = of(spark, sf)
-    used = stage(trials.passing(records, neighbors.quality(neighbors.margins(near, "trial_id", "token"), "trial_id"), 0.0, 50, 3.0), "used")
-    near = near.join(F.broadcast(used), "trial_id", "left_semi")
-    leaks = stage(expected(counts, spark).select("word"), "leaks")
-    return votes.votes(near, anchors(spark), leaks, 0.01, 0.002), used, near
+def cast_votes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The votes, the trials that take part, and the first neighbours in these."""
+    t = Trials(spark, sf)
+    tops = stage(t.tops(), "tops")
+    used = stage(trials.passing(t.records, neighbors.quality(tops, "trial_id"), 0.0, 50, 3.0), "used")
+    tops = tops.join(F.broadcast(used), "trial_id", "left_semi")
+    return votes.votes(tops, anchors(spark), stage(t.expected().select("word"), "leaks"), 0.01, 0.002), used, tops
 
 
 @query(NEIGHBORS + f", {PASSING} SELECT trial_id FROM used")
-def quality_filter(spark, sf, of=trial_neighbors):
-    return cast_votes(spark, sf, of)[1]
+def quality_filter(spark, sf):
+    t = Trials(spark, sf)
+    return trials.passing(t.records, neighbors.quality(t.tops(), "trial_id"), 0.0, 50, 3.0)
 
 
 @query(VOTES + " SELECT trial_id, word FROM banned")
-def banned_words(spark, sf, of=trial_neighbors):
-    near = cast_votes(spark, sf, of)[2]
-    tops = neighbors.margins(near, "trial_id", "token").join(F.broadcast(anchors(spark)), "token", "left_anti")
+def banned_words(spark, sf):
+    tops = cast_votes(spark, sf)[2].join(F.broadcast(anchors(spark)), "token", "left_anti")
     return votes.banned_words(tops, 0.002)
 
 
 @query(VOTES + " SELECT trial_id, token, word, round(margin, 6) AS margin, round(cosine, 6) AS cosine FROM votes")
-def consensus_votes(spark, sf, of=trial_neighbors):
-    return rounded(cast_votes(spark, sf, of)[0])
+def consensus_votes(spark, sf):
+    return rounded(cast_votes(spark, sf)[0])
 
 
 CONSENSUS = VOTES + """, need AS (SELECT greatest(2, ceil(0.35 * count(*))) AS required, count(*) AS n FROM used)
@@ -477,39 +564,28 @@ FROM placed p LEFT JOIN (SELECT token, string_agg(word, ' ' ORDER BY place) AS a
 
 
 @query(CONSENSUS)
-def consensus_rank(spark, sf, of=trial_neighbors):
-    cast, used, _ = cast_votes(spark, sf, of)
-    return votes.consensus(cast, used, 2, 0.35)
+def consensus_rank(spark, sf):
+    cast, used, _ = cast_votes(spark, sf)
+    return votes.consensus(stage(cast, "votes"), used, 2, 0.35)
 
 
-@query(VOTES + " SELECT token, word, trials, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5")
-def consensus_alternates(spark, sf, of=trial_neighbors):
-    return votes.ranked_votes(cast_votes(spark, sf, of)[0]).where("place <= 5").select("token", "word", "trials", "place")
-
+@query(f"SELECT * FROM ({CONSENSUS}) ORDER BY trials DESC, mean_margin DESC, mean_cosine DESC, token LIMIT 80")
+def consensus_top(spark, sf):
+    """The report: the 80 tokens that most trials agree on."""
+    cast, used, _ = cast_votes(spark, sf)
+    return votes.consensus(stage(cast, "votes"), used, 2, 0.35, top=80)
 
-def sql_listed(strategy: str) -> str:
-    return f"SELECT '{strategy}' AS strategy, rid, coalesce({SQL_TOKENS[strategy]}, []) AS tokens FROM cleaned WHERE '{strategy}' IN (SELECT strategy FROM own)"
 
-
-#: NEIGHBORS over all lines: every trial with a good record by its own strategy and window.
-NEIGHBORS_ALL = f"""WITH {LINES}, {RECORDS},
-own AS (SELECT trial_id, strategy, context_window FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY strategy, context_window) AS k FROM trial_configs WHERE context_window >= 1 AND strategy IN {tuple(STRATEGIES)}) WHERE k = 1 AND trial_id IN (SELECT trial_id FROM records)),
-cleaned AS (SELECT row_number() OVER () AS rid, translate(text, '!*?()', '') AS c FROM lines),
-listed AS ({" UNION ALL ".join(map(sql_listed, STRATEGIES))}),
-toks AS (SELECT strategy, rid, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM listed),
-signs AS (SELECT * FROM toks WHERE token NOT IN ('-', '.', ':')),
-near_by AS (SELECT a.strategy, abs(a.pos - b.pos) AS far, a.token AS center, b.token AS context, count(*) AS n FROM signs a JOIN signs b ON a.strategy = b.strategy AND a.rid = b.rid AND a.pos <> b.pos AND abs(a.pos - b.pos) <= (SELECT max(context_window) FROM own) GROUP BY ALL),
-counts AS (SELECT trial_id, center, context, sum(n) AS n FROM near_by p JOIN own o ON o.strategy = p.strategy AND far <= context_window GROUP BY ALL),
-{NEIGHBORS[NEIGHBORS.index("sums AS ("):]}"""
-
-for _name in ("neighbor_quality", "anchor_hit_rate", "anchor_gloss_cosine", "trial_score", "quality_filter", "banned_words", "consensus_votes", "consensus_rank", "consensus_alternates"):
-    FOUND[f"{_name}_all"] = partial(FOUND[_name], of=whole_neighbors)
-    SQL[f"{_name}_all"] = SQL[_name].replace(NEIGHBORS, NEIGHBORS_ALL)
+@query(VOTES + " SELECT token, word, trials, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5")
+def consensus_alternates(spark, sf):
+    return votes.ranked_votes(cast_votes(spark, sf)[0]).where("place <= 5").select("token", "word", "trials", "place")
 
 
-@query("SELECT trial_id, strategy, context_window FROM trial_configs WHERE trial_id NOT IN (SELECT trial_id FROM trial_records WHERE trial_id IS NOT NULL)")
+@query("SELECT trial_id, strategy, context_window FROM trial_configs WHERE trial_id NOT IN (SELECT trial_id FROM trial_records WHERE trial_id IS NOT NULL AND (error IS NULL OR trim(error) = ''))")
 def resume_antijoin(spark, sf):
-    return trials.left_to_run(table(spark, sf, "trial_configs"), table(spark, sf, "trial_records")).select("trial_id", "strategy", "context_window")
+    """What a log of the good runs alone leaves to run: the trials that only failed."""
+    good = table(spark, sf, "trial_records").where("error IS NULL OR trim(error) = ''")
+    return trials.left_to_run(table(spark, sf, "trial_configs"), good).select("trial_id", "strategy", "context_window")
 
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY s DESC, logged_at NULLS LAST, trial_id) AS INTEGER) AS place, trial_id, s AS score
@@ -546,6 +622,33 @@ def parse_batch_scores(spark, sf):
     return read.groupBy("l_orderkey", "label", "score").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') AS label, CASE WHEN l_suppkey % 3 = 0 THEN '0.' || lpad(CAST(l_partkey % 7 AS VARCHAR), 3, '0') ELSE '0.' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') END AS score,
+CASE WHEN l_partkey % 1000 = 999 THEN '' ELSE '999' END AS missing FROM lineitem""")
+def parse_batch_wanted(spark, sf):
+    """Answers with one or two lines for the wanted label (the last counts) and one for another, and which of two wanted ones have none."""
+    three = lambda x: F.lpad(x.cast("string"), 3, "0")
+    line = lambda label, score: F.concat(label, F.lit(": 0."), three(score), F.lit("\n"))
+    label = three(F.col("l_partkey") % 1000)
+    raw = F.concat(line(three(F.col("l_partkey") % 1000 + 1000), F.lit(1)), line(label, F.col("l_suppkey") % 1000), F.when(F.col("l_suppkey") % 3 == 0, line(label, F.col("l_partkey") % 7)).otherwise(""))
+    wanted = F.array_distinct(F.array(label, F.lit("999")))
+    read = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"), wanted.alias("wanted"), parsers.batch_scores(raw, wanted).alias("scores"))
+    return read.select("l_orderkey", "l_linenumber", "label", F.try_element_at("scores", F.col("label")).alias("score"), F.array_join(parsers.missing_labels(F.col("scores"), F.col("wanted")), ",").alias("missing"))
+
+
+@query("""SELECT kind, label, alternates, reasoning, count(*) AS n FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'ligature' WHEN 'R' THEN 'bad_crop' ELSE 'single' END AS kind,
+CASE WHEN l_linenumber <= 3 THEN 'A' || l_linenumber WHEN l_linenumber = 4 THEN 'B1.A2' WHEN l_linestatus = 'F' THEN 'A2' WHEN l_linenumber = 5 THEN 'B2' ELSE 'A1' END AS label,
+CASE WHEN l_linestatus = 'F' THEN 'A2.B1 B2' ELSE '' END AS alternates, 'It is ' || l_returnflag || chr(10) || 'and tall.' AS reasoning FROM lineitem) GROUP BY ALL""")
+def parse_matches(spark, sf):
+    """Answers that name a sign: by one label, two joined ones, one in the text only, or none that is known."""
+    n = F.col("l_linenumber")
+    kind = F.when(F.col("l_returnflag") == "A", "kind: Ligature").when(F.col("l_returnflag") == "R", " KIND : bad_crop ").otherwise("kind: round")
+    other = F.when(F.col("l_linestatus") == "F", "alternates: a2+b1, x, B2, b2\nalternates: A3").otherwise("alternates: none")
+    label = F.when(n <= 3, F.concat(F.lit("label: a"), n.cast("string"))).when(n == 4, "label: b1+A2").when(n == 5, "raw: B2, not B").otherwise("Label: C7")
+    answer = F.concat_ws("\n", kind, other, F.concat(F.lit("reasoning: It is "), "l_returnflag"), F.lit("and tall."), label)
+    m = table(spark, sf, "lineitem").select(answer.alias("answer")).select(parsers.match(F.col("answer"), ["A1", "A2", "A3", "B1", "B2"]).alias("m")).select("m.kind", "m.label", F.array_join("m.alternates", " ").alias("alternates"), "m.reasoning")
+    return m.groupBy("kind", "label", "alternates", "reasoning").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {ANSWERS} SELECT CASE WHEN l_partkey % 1000 <= 799 THEN lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') END AS label, count(*) AS n FROM answers GROUP BY 1")
 def parse_labels(spark, sf):
     return answers(spark, sf).select(parsers.label(F.col("named")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
@@ -632,11 +735,73 @@ def mask_iou(spark, sf):
     return pixels.mask_scores(masks, known).withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT img, CAST(strip AS INTEGER) AS strip, 0 AS "left", CAST(round_even(h * strip / 5, 0) AS INTEGER) AS top, w AS "right", least(CAST(round_even(h * (strip + 1) / 5, 0) AS INTEGER), h) AS bottom
-FROM (SELECT p_partkey AS img, CAST(p_size * 13 + 40 AS INTEGER) AS w, CAST(p_size * 7 + 31 AS INTEGER) AS h, unnest(range(5)) AS strip FROM part)""")
+STRIPS = """sheets AS (SELECT p_partkey AS img, CAST(p_size * 13 + 40 AS INTEGER) AS w, CAST(p_size * 7 + 31 AS INTEGER) AS h, CAST(p_partkey * 5 % 800 AS INTEGER) AS first FROM part),
+each AS (SELECT *, first + strip AS number FROM (SELECT *, CAST(unnest(range(5)) AS INTEGER) AS strip FROM sheets)),
+wide AS (SELECT *, CAST(round_even(CASE WHEN number IN (93, 468) THEN 0.18::DOUBLE WHEN number IN (94, 469) THEN 0.22::DOUBLE ELSE 0.2::DOUBLE END * w, 0) AS INTEGER) AS c FROM each),
+l0 AS (SELECT *, CAST(round_even((strip + 0.5::DOUBLE) * w / 5 - c / 2, 0) AS INTEGER) AS l FROM wide),
+l1 AS (SELECT *, CASE WHEN l + c > w THEN greatest(0, w - c) ELSE l END AS l2 FROM l0),
+cut AS (SELECT img, strip, number, greatest(l2, 0) AS "left", CASE WHEN l2 < 0 THEN least(w, c) ELSE least(l2 + c, w) END AS "right", h FROM l1)"""
+
+
+def sheets(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as images of sheets, five numbers each."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("img"), (F.col("p_size") * 13 + 40).cast("int").alias("width"), (F.col("p_size") * 7 + 31).cast("int").alias("height"), (F.col("p_partkey") * 5 % 800).cast("int").alias("number"))
+
+
+@query(f"""WITH {STRIPS} SELECT img, strip, number, "left", 0 AS top, "right", h AS bottom FROM cut""")
 def strip_geometry(spark, sf):
-    images = table(spark, sf, "part").select(F.col("p_partkey").alias("img"), (F.col("p_size") * 13 + 40).cast("int").alias("width"), (F.col("p_size") * 7 + 31).cast("int").alias("height"))
-    return pixels.strip_boxes(images)
+    return pixels.strip_boxes(sheets(spark, sf))
+
+
+@query(f"""WITH {STRIPS}, s AS (SELECT *, "right" - "left" AS sw, number BETWEEN 535 AND 539 AS bordered FROM cut),
+t AS (SELECT *, CASE WHEN number = 639 THEN greatest(1, CAST(round_even(sw * 0.95::DOUBLE, 0) AS INTEGER)) ELSE sw END AS kept, CASE WHEN bordered THEN CAST(round_even(sw * 0.01::DOUBLE, 0) AS INTEGER) ELSE 0 END AS dx, CASE WHEN bordered THEN CAST(round_even(h * 0.01::DOUBLE, 0) AS INTEGER) ELSE 0 END AS dy FROM s)
+SELECT img, strip, number, "left" + dx AS "left", dy AS top, "left" + kept - dx AS "right", h - dy AS bottom, CASE WHEN bordered THEN least("left" + kept - dx, "left" + dx + 32) END AS band_right, CASE WHEN bordered THEN greatest(dy, h - dy - 16) END AS band_top FROM t""")
+def strip_mending(spark, sf):
+    return pixels.mended_boxes(pixels.strip_boxes(sheets(spark, sf)))
+
+
+@query(f"""WITH {DOTS}, boxes AS (SELECT s_suppkey AS img, CAST(unnest(range(5)) AS INTEGER) AS strip, CAST(s_suppkey * 5 % 800 AS INTEGER) AS first FROM supplier),
+numbered AS (SELECT *, first + strip AS number FROM boxes),
+wide AS (SELECT *, CAST(round_even(CASE WHEN number IN (93, 468) THEN 0.18::DOUBLE WHEN number IN (94, 469) THEN 0.22::DOUBLE ELSE 0.2::DOUBLE END * 97, 0) AS INTEGER) AS c FROM numbered),
+l0 AS (SELECT *, CAST(round_even((strip + 0.5::DOUBLE) * 97 / 5 - c / 2, 0) AS INTEGER) AS l FROM wide),
+box AS (SELECT img, strip, number, CASE WHEN l + c > 97 THEN 97 - c ELSE greatest(l, 0) END AS l, c FROM l0),
+inside AS (SELECT d.img, strip, number, x - l AS x, y, v, c FROM dots d JOIN box b ON b.img = d.img AND x >= l AND x < l + c WHERE NOT (number = 639 AND x - l >= CAST(round_even(c * 0.95::DOUBLE, 0) AS INTEGER)))
+SELECT img, strip, count(*) AS n_pixels, sum(CASE WHEN number BETWEEN 535 AND 539 AND x - 0 < 32 AND y >= 60 - 16 AND y >= 1 THEN 255 ELSE v END) AS total FROM (SELECT * FROM inside WHERE NOT (number BETWEEN 535 AND 539 AND (y < 1 OR y >= 60))) GROUP BY img, strip""")
+def strip_ink(spark, sf):
+    """The pixels of each strip of each image, mended, added up."""
+    size = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("img"), F.lit(97).alias("width"), F.lit(61).alias("height"), (F.col("s_suppkey") * 5 % 800).cast("int").alias("number"))
+    cut = pixels.strip_pixels(dots(spark, sf), pixels.mended_boxes(pixels.strip_boxes(size)))
+    return cut.groupBy("img", "strip").agg(F.count("*").alias("n_pixels"), F.sum("v").alias("total"))
+
+
+#: Line items as sheets of 4 x 13 cells, one for each pair of flags, and the dots of suppliers as what is looked up on them.
+CANDIDATES = f"""WITH {DOTS},
+sheet AS (SELECT l_returnflag || l_linestatus AS sheet, CAST(l_partkey % 1300 AS INTEGER) AS x, CAST(l_orderkey % 400 AS INTEGER) AS y, CAST(min(l_quantity * 5) AS INTEGER) AS v FROM lineitem GROUP BY 1, 2, 3),
+cells AS (SELECT sheet, 'c' || lpad(CAST(floor(y / 100) * 13 + floor(x / 100) AS INTEGER)::VARCHAR, 2, '0') AS label, x % 100 - 8 AS x, y % 100 - 6 AS y FROM sheet WHERE v < 180 AND x % 100 BETWEEN 8 AND 91 AND y % 100 BETWEEN 6 AND 55),
+marked AS (SELECT sheet AS img, label, x, y FROM cells UNION ALL SELECT CAST(img AS VARCHAR), NULL, x, y FROM dots WHERE v < 180),
+box AS (SELECT img, label, min(x) AS l, min(y) AS t, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM marked GROUP BY ALL),
+fit AS (SELECT *, greatest(1, CAST(round_even(w * 64 / greatest(w, h), 0) AS INTEGER)) AS fw, greatest(1, CAST(round_even(h * 64 / greatest(w, h), 0) AS INTEGER)) AS fh FROM box),
+places AS (SELECT DISTINCT m.img, m.label, CAST(floor((y - t) * fh / h) + floor((72 - fh) / 2) AS BIGINT) * 72 + CAST(floor((x - l) * fw / w) + floor((72 - fw) / 2) AS BIGINT) AS at FROM marked m JOIN fit f ON f.img = m.img AND f.label IS NOT DISTINCT FROM m.label),
+sizes AS (SELECT img, label, count(*) AS n FROM places GROUP BY ALL),
+modes AS (SELECT sheet, row_number() OVER (ORDER BY sheet) - 1 AS k FROM (SELECT DISTINCT sheet FROM sheet)),
+asked AS (SELECT s.img, m.sheet, s.n FROM sizes s JOIN modes m ON m.k = CAST(s.img AS BIGINT) % (SELECT count(*) FROM modes) WHERE s.label IS NULL),
+shared AS (SELECT a.img, c.label, count(*) AS overlap FROM asked a JOIN places p ON p.img = a.img AND p.label IS NULL JOIN places c ON c.img = a.sheet AND c.label IS NOT NULL AND c.at = p.at GROUP BY ALL),
+scored AS (SELECT a.img, s.label, coalesce(overlap, 0) AS overlap, a.n + s.n - coalesce(overlap, 0) AS union_ FROM asked a JOIN sizes s ON s.img = a.sheet AND s.label IS NOT NULL LEFT JOIN shared h ON h.img = a.img AND h.label = s.label),
+ranked AS (SELECT *, overlap / greatest(union_, 1) - 0.0001 * (union_ - overlap) AS score FROM scored)
+SELECT CAST(img AS BIGINT) AS img, label, CAST(k AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY score DESC, label) AS k FROM ranked) WHERE k <= 8"""
+
+
+@query(CANDIDATES)
+def key_candidates(spark, sf):
+    """For each image, the eight labels of a sheet's cells whose signs cover it best."""
+    t = table(spark, sf, "lineitem")
+    img = F.concat("l_returnflag", "l_linestatus").alias("img")
+    sheet = t.groupBy(img, (F.col("l_partkey") % 1300).cast("int").alias("x"), (F.col("l_orderkey") % 400).cast("int").alias("y")).agg(F.min(F.col("l_quantity") * 5).cast("int").alias("v"))
+    modes = numbered(t.select(img).distinct(), "img", column="k")
+    areas = pixels.grid_areas(modes.select("img", F.lit(1300).alias("width"), F.lit(400).alias("height")), [f"c{k:02d}" for k in range(52)])
+    known = pixels.glyph_masks(pixels.crops(sheet, F.broadcast(areas), "label"), "label").join(F.broadcast(modes), "img").select(F.col("k").alias("key"), "label", "mask")
+    masks = pixels.glyph_masks(dots(spark, sf)).select("img", (F.col("img") % modes.count()).alias("key"), "mask")
+    return pixels.ranked_masks(pixels.mask_scores(masks, known), 8).select("img", "label", "rank", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -644,6 +809,12 @@ def seam_split(spark, sf):
     return pixels.split_by_seams(dots(spark, sf), min_split=20, min_part=5, max_ink=0)
 
 
+@query()
+def seam_segments(spark, sf):
+    """Coarse regions by rows and columns first, then seams within each."""
+    return pixels.seam_segments(dots(spark, sf), row_ink=2, column_ink=1, row_gap=0, column_gap=1, min_split=20, min_part=5)
+
+
 # --- learning --------------------------------------------------------------------------------------------------------
 
 #: The operator's defaults, which are the reference's; the projections are as wide as the given vectors.
@@ -663,11 +834,17 @@ def pca_2d(spark, sf):
     return rounded(learning.principal_plane(table(spark, sf, "embeddings")))
 
 
-@query()
+@query(f"""WITH {sql_tokens('simple')}, vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM (SELECT DISTINCT token FROM toks)),
+w1 AS (SELECT j, list(sin(3.0 * i + 2.0 * j) / 10 ORDER BY i) AS w FROM range(128) a(i), range(256) b(j) GROUP BY j), w2 AS (SELECT j, list(sin(3.0 * i + 2.0 * j) / 10 ORDER BY i) AS w FROM range(256) a(i), range(64) b(j) GROUP BY j),
+own AS (SELECT token, idx, list_transform(range(128), lambda j: sin(3.0 * idx + 2.0 * j) / 10) AS v FROM vocab),
+hidden AS (SELECT token, idx, list(greatest(list_dot_product(v, w), 0) ORDER BY j) AS h FROM own, w1 GROUP BY ALL),
+out AS (SELECT token, idx, list(list_dot_product(h, w) ORDER BY j) AS o FROM hidden, w2 GROUP BY ALL)
+SELECT token, CAST(idx AS INTEGER) AS idx, round(o[1], 6) + 0 AS first, round(o[64], 6) + 0 AS last, round(list_sum(o), 5) + 0 AS total FROM out""")
 def projection_forward(spark, sf):
-    """The tokens' vectors through a seeded, untrained layer."""
+    """The tokens' vectors through a layer of the whole size with fixed weights."""
     vocab = stage(cooc.vocabulary(tokens(spark, sf, "simple")), "vocab")
-    return learning.project(vocab, learning.Model.create(vocab.count(), FULL))
+    out = learning.project(vocab, learning.Model.waves(vocab.count(), FULL))
+    return out.select("token", "idx", (F.round(F.get("projected", F.lit(0)), 6) + 0).alias("first"), (F.round(F.get("projected", F.lit(63)), 6) + 0).alias("last"), (F.round(F.aggregate("projected", F.lit(0.0), lambda s, x: s + x), 5) + 0).alias("total"))
 
 
 @query()

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import leading_number, pad, safe_file_part, variant_key
+
 RECORD = "trial_id string, strategy string, model_preset string, pair_count int, vocab_size int, final_loss double, elapsed_sec double, score double, error string, logged_at timestamp, metrics map<string,string>"
 
 
@@ -17,14 +19,41 @@ def read_line_maps(spark: SparkSession, path: str) -> DataFrame:
     return each.groupBy("corpus", "tablet", "title").agg(F.min("ord").alias("ord"), F.max_by("text", "ord").alias("text")).select("corpus", "tablet", "ord", "title", "text")
 
 
+def write_line_maps(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Lines (corpus, tablet, ord, title, text) as one object of titles and texts for each tablet, in their order, under corpus= and tablet=."""
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("ord", "title", "text"))), lambda x: F.struct(x["title"].alias("key"), x["text"].alias("value")))
+    each = lines.where("title IS NOT NULL").groupBy("corpus", "tablet", "title").agg(F.min("ord").alias("ord"), F.max_by("text", "ord").alias("text"))
+    each.groupBy("corpus", "tablet").agg(F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).partitionBy("corpus", "tablet").text(path)
+
+
+#: Strategies whose tokens lie with the texts.
+TEXT_STRATEGIES = ("normalized_text", "characters")
+
+
 def write_tokens(tokenized: DataFrame, path: str, strategy: str, mode: str = "overwrite") -> None:
-    """Tokens as JSON lines under corpus= and strategy=."""
-    tokenized.withColumn("strategy", F.lit(strategy)).write.mode(mode).partitionBy("corpus", "strategy").json(path)
+    """Tokens as JSON lines under corpus=, kind= (text or tokenized, by the strategy) and strategy=."""
+    kind = "text" if strategy in TEXT_STRATEGIES else "tokenized"
+    tokenized.withColumn("kind", F.lit(kind)).withColumn("strategy", F.lit(strategy)).write.mode(mode).partitionBy("corpus", "kind", "strategy").json(path)
+
+
+LINE = "line_id long, tablet string, ord int, title string"
 
 
 def read_tokens(spark: SparkSession, path: str, strategy: str) -> DataFrame:
     """What write_tokens() wrote; only the strategy's folders are read, and those whose name begins with _ never are."""
-    return spark.read.schema("line_id long, tablet string, ord int, title string, tokens array<string>, corpus string, strategy string").json(path).where(F.col("strategy") == strategy)
+    return spark.read.schema(f"{LINE}, tokens array<string>, corpus string, kind string, strategy string").json(path).where(F.col("strategy") == strategy).drop("kind")
+
+
+def read_variant_tokens(spark: SparkSession, path: str, strategy: str = "glyph_variants") -> DataFrame:
+    """Lines whose tokens were written as structs of glyph, variant and modifiers: their keys in place of the structs. Lines without tokens are left out."""
+    read = spark.read.schema(f"{LINE}, tokens array<struct<glyph string, variant string, modifiers array<string>>>, corpus string, kind string, strategy string").json(path)
+    own = read.where((F.col("strategy") == strategy) & (F.size("tokens") > 0)).drop("kind")
+    return own.withColumn("tokens", F.transform("tokens", lambda t: variant_key(t)))
+
+
+def file_totals(files: DataFrame, *keys: str) -> DataFrame:
+    """keys, n_files and n_bytes of files with a length: what was written, or removed."""
+    return files.groupBy(*keys).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
 
 
 def append_trials(records: DataFrame, path: str, resume: bool) -> None:
@@ -65,8 +94,6 @@ def read_anchors(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("png", "gif", "jpg", "jpeg", "webp")) -> DataFrame:
     """path, name, number (of the stem, 10^9 without one), length and content of image files under path."""
-    from tesserae.functions.text import leading_number
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(x for s in suffixes for x in (s, s.upper())) + "}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), leading_number(name).alias("number"), "length", "content")
@@ -85,8 +112,6 @@ def write_projection(projected: DataFrame, metadata: DataFrame, path: str, mode:
 
 def write_answers(answers: DataFrame, path: str, mode: str = "append") -> None:
     """A scorer's answers as JSON, in a folder for each query named <parent>_<stem>_<model>, made safe."""
-    from tesserae.functions.text import safe_file_part
-
     part = lambda k: F.element_at(F.split("path", "/"), k)
     name = F.concat_ws("_", part(-2), F.regexp_replace(part(-1), "\\.[^.]*$", ""), F.col("model"))
     answers.withColumn("run", safe_file_part(name)).write.mode(mode).partitionBy("run").json(path)
@@ -94,7 +119,5 @@ def write_answers(answers: DataFrame, path: str, mode: str = "append") -> None:
 
 def images_by_label(images: DataFrame) -> DataFrame:
     """Images whose stem is a number, with a column label: that number with three digits."""
-    from tesserae.functions.text import pad
-
     stem = F.regexp_replace("name", "\\.[^.]*$", "")
     return images.where(stem.rlike("^[0-9]+$")).withColumn("label", pad(stem))

@@ -26,6 +26,21 @@ def test_tokens_round_trip(spark, tmp_path):
     assert sorted((r.line_id, r.corpus, list(r.tokens)) for r in records.read_tokens(spark, f"{tmp_path}/t", "simple").collect()) == [(1, "c", ["1", "2"]), (2, "b", [])]
 
 
+def test_line_maps_and_structs_round_trip(spark, tmp_path):
+    schema = "line_id long, corpus string, tablet string, ord int, title string, text string"
+    lines = spark.createDataFrame([(1, "c", "A", 1, "t2", "b"), (2, "c", "A", 0, "t1", None), (3, "b", "B", 0, "t1", "x"), (4, "c", "A", 2, None, "y")], schema)
+    records.write_line_maps(lines, f"{tmp_path}/m")
+    assert {r.tablet: r.value for r in spark.read.text(f"{tmp_path}/m").collect()} == {"A": '{"t1":null,"t2":"b"}', "B": '{"t1":"x"}'}
+    token = "array<struct<glyph string, variant string, modifiers array<string>>>"
+    df = spark.createDataFrame([(1, "c", "A", 0, "t", [("076", "a", ["x"]), ("001", "", [])]), (2, "c", "A", 1, "u", [])], f"line_id long, corpus string, tablet string, ord int, title string, tokens {token}")
+    records.write_tokens(df, f"{tmp_path}/v", "glyph_variants")
+    assert [(r.line_id, list(r.tokens)) for r in records.read_variant_tokens(spark, f"{tmp_path}/v").collect()] == [(1, ["076:a+x", "001"])]
+    records.write_tokens(df.select("line_id", "corpus", F.lit("abc").alias("tablet")), f"{tmp_path}/w", "characters")
+    assert (tmp_path / "w/corpus=c/kind=text/strategy=characters").is_dir()
+    sizes = spark.createDataFrame([("a", 3), ("a", 4), ("b", None)], "kind string, length long")
+    assert {r.kind: (r.n_files, r.n_bytes) for r in records.file_totals(sizes, "kind").collect()} == {"a": (2, 7), "b": (1, 0)}
+
+
 def test_trial_log(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()

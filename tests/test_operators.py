@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import consensus, cooccurrence, matching, neighbors, pixels, trials
+from tesserae.plans import stages
 from tesserae.plans.index import numbered
 
 
@@ -55,6 +56,7 @@ def test_anchors_resolve(spark):
 def test_nearest_equals_brute_force_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "POOL_BLOCK", 30)
     monkeypatch.setattr(neighbors, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(neighbors, "QUERY_SHARE", 9)
     v = np.random.default_rng(3).normal(size=(120, 5))
     v[7] = v[3] = 0
     v[11] = v[12]
@@ -115,16 +117,21 @@ def test_leaderboard(spark):
 def test_consensus(spark):
     schema = "trial_id string, token string, rank int, word string, cosine double"
     near = [(t, "g", k + 1, w, c) for t, ws in {"1": ["fish", "sun"], "2": ["sun", "fish"], "3": ["fish", "day"]}.items() for k, (w, c) in enumerate(zip(ws, (0.9, 0.5)))]
-    near += [("1", "076", 1, "hand", 0.9), ("1", "h", 1, "leak", 0.9), ("2", "i", 1, "low", 0.9), ("2", "i", 2, "x", 0.895)]
+    near[4] = ("3", "g", 1, "Fish", 0.9)
+    near += [("1", "076", 1, "hand", 0.9), ("1", "h", 1, "Leak", 0.9), ("2", "i", 1, "low", 0.9), ("2", "i", 2, "x", 0.895)]
     anchors, leaks = spark.createDataFrame([("076",)], "token string"), spark.createDataFrame([("leak",)], "word string")
-    cast = consensus.votes(spark.createDataFrame(near, schema), anchors, leaks, 0.01, 0.08)
+    tops = lambda rows: neighbors.margins(spark.createDataFrame(rows, schema), "trial_id", "token")
+    cast = consensus.votes(tops(near), anchors, leaks, 0.01, 0.08)
     used = spark.createDataFrame([(str(k),) for k in range(7)], "trial_id string")
     assert consensus.consensus(cast, used, 2, 0.35).count() == 0  # needs 3 of 7
     got = consensus.consensus(cast, used.limit(3), 2, 0.35).collect()
     assert [(r.token, r.word, r.trials, r.required, r.alternates) for r in got] == [("g", "fish", 2, 2, "sun")]
     many = spark.createDataFrame([("1", f"t{k}", 1, "w" if k < 3 else "u" if k < 5 else f"v{k}", 0.5) for k in range(20)], schema)
+    many = many.withColumn("word", F.when(F.col("token") == "t1", "W").otherwise(F.col("word")))
     banned = consensus.banned_words(neighbors.margins(many, "trial_id", "token"), 0.08)
     assert [r.word for r in banned.collect()] == ["w"]
+    top = consensus.consensus(cast, used.limit(3), 1, 0.0, top=1).collect()
+    assert [(r.token, r.word) for r in top] == [("g", "fish")]
 
 
 @pytest.mark.parametrize(("gap", "want"), [(1, [(1, 5), (7, 8)]), (0, [(1, 3), (4, 5), (7, 8)])])
@@ -163,8 +170,90 @@ def test_boxes_masks_and_strips(spark):
     other = spark.createDataFrame([(1, "x", [0b0111, 1])], "key long, label string, mask array<bigint>")
     m = pixels.mask_scores(masks, other).first()
     assert (m.overlap, m.union_) == (3, 5) and math.isclose(m.score, 0.6 - 0.0002)
-    s = pixels.strip_boxes(spark.createDataFrame([(1, 10, 12)], "img long, width int, height int")).orderBy("strip").collect()
-    assert [(r.top, r.bottom) for r in s] == [(0, 2), (2, 5), (5, 7), (7, 10), (10, 12)]
+
+
+def test_strips_by_hand(spark):
+    images = spark.createDataFrame([(1, 100, 30, 0), (2, 101, 30, 92), (3, 200, 30, 635), (4, 400, 200, 535), (5, 3, 9, 10)], "img long, width int, height int, number int")
+    boxes = pixels.strip_boxes(images)
+    got = {(r.img, r.strip): (r.left, r.top, r.right, r.bottom) for r in boxes.collect()}
+    assert [got[1, k] for k in range(5)] == [(0, 0, 20, 30), (20, 0, 40, 30), (40, 0, 60, 30), (60, 0, 80, 30), (80, 0, 100, 30)]
+    # number 93 is 0.18 x 101 = 18.18 wide around 30.3, number 94 is 22.22 wide around 50.5, the last is moved inwards
+    assert got[2, 1] == (21, 0, 39, 30) and got[2, 2] == (40, 0, 62, 30) and got[2, 4] == (81, 0, 101, 30)
+    assert [got[5, k][:1] + got[5, k][2:3] for k in range(5)] == [(0, 1), (0, 1), (1, 2), (2, 3), (2, 3)]
+    mended = {(r.img, r.strip): r for r in pixels.mended_boxes(boxes).collect()}
+    m = mended[3, 4]  # number 639: 40 wide, a twentieth off
+    assert (m.left, m.right, m.band_right) == (160, 198, None)
+    m = mended[4, 0]  # number 535: 80 x 200, a hundredth off all around, a white band at the lower left
+    assert (m.left, m.top, m.right, m.bottom, m.band_right, m.band_top) == (1, 2, 79, 198, 33, 182)
+    dots = spark.createDataFrame([(4, 1, 197, 7), (4, 33, 197, 7), (4, 0, 5, 7), (4, 20, 2, 7)], "img long, x int, y int, v int")
+    cut = sorted((r.strip, r.x, r.y, r.v) for r in pixels.strip_pixels(dots, pixels.mended_boxes(boxes)).where("strip = 0").collect())
+    assert cut == [(0, 0, 195, 255), (0, 19, 0, 7), (0, 32, 195, 7)]
+
+
+def test_masks_of_cells(spark):
+    areas = {r.label: (r.left, r.top, r.right, r.bottom) for r in pixels.grid_areas(spark.createDataFrame([(1, 1300, 400)], "img long, width int, height int"), [f"c{k}" for k in range(60)]).collect()}
+    assert len(areas) == 52 and areas["c0"] == (8, 6, 92, 56) and areas["c14"] == (108, 106, 192, 156)
+    dots = [(k, x + 5 * k, y, 0) for k in (1, 2) for x in range(4) for y in range(8) if x == 0 or y == 7] + [(3, 0, 0, 0), (4, 0, 0, 255)]
+    masks = {r.img: r.mask for r in pixels.glyph_masks(spark.createDataFrame(dots, "img long, x int, y int, v int"), size=16, border=4).collect()}
+    assert masks[1] == masks[2] and 4 not in masks and len(masks[1]) == 4
+    places = lambda m: {64 * w + b for w, bits in enumerate(m) for b in range(64) if bits >> b & 1}
+    assert places(masks[1]) == {(4 + y) * 16 + 6 + x for x in range(4) for y in range(8) if x == 0 or y == 7}
+    assert len(places(masks[3])) == 1
+    scores = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (1, "c", 0.9)], "img long, label string, score double")
+    assert [(r.label, r["rank"]) for r in pixels.ranked_masks(scores, 2).orderBy("rank").collect()] == [("c", 1), ("a", 2)]
+
+
+def test_text_and_gloss_vectors(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None)], "vec_id long, embedding array<float>")
+    pieces = spark.createDataFrame([("g", "ab", 0), ("g", "ab", 0), ("g", "ab", 1), ("g", "b", 1), ("h", "", None), ("h", "?", 9)], "token string, text string, piece long")
+    texts = neighbors.text_vectors(pieces, vectors, "token", "text")
+    got = {r.text: [round(x, 6) for x in r.vector] for r in texts.collect()}
+    assert got == {"ab": [0.666667, 0.333333], "b": [0.0, 1.0], "": [0.0, 0.0], "?": [0.0, 0.0]}
+    glosses = {r.token: r.vector for r in neighbors.gloss_vectors(texts, "token").collect()}
+    assert np.allclose(glosses["g"], np.array([1 / 3, 2 / 3]) / math.hypot(1 / 3, 2 / 3)) and glosses["h"] == [0.0, 0.0]  # the mean of means
+    projected = spark.createDataFrame([("t", "g", [0.0, 2.0]), ("t", "x", [1.0, 0.0])], "trial_id string, token string, vector array<double>")
+    found = neighbors.anchor_cosines(projected, neighbors.gloss_vectors(texts, "token"), "trial_id").collect()
+    assert [(r.token, round(r.cosine, 6)) for r in found] == [("g", round(2 / math.sqrt(5), 6))]
+    pool = spark.createDataFrame([(1, "one"), (None, "ab")], "idx int, word string")
+    letters = spark.createDataFrame([("ab", 0), ("ab", 1)], "word string, piece long")
+    assert {r.word: list(r.vector) for r in neighbors.pool_vectors(pool, vectors, letters).collect()} == {"one": [0.0, 1.0], "ab": [0.5, 0.5]}
+
+
+def test_counts_by_window_and_misses(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abc.") for _ in range(r.randint(0, 12))) for _ in range(20)]
+    df = lines(spark, *texts)
+    both = cooccurrence.both_ways(cooccurrence.pair_counts_by_window(df, [1, 3]), "window")
+    got: dict = {}
+    for x in both.collect():
+        got.setdefault(x.window, {})[x.center, x.context] = x.n
+    for w in (1, 3):
+        want: dict = {}
+        for x in cooccurrence.context_pairs(df, w).collect():
+            want[x.center, x.context] = want.get((x.center, x.context), 0) + 1
+        assert got[w] == want == {(x.center, x.context): x.n for x in cooccurrence.pair_counts(df, w).collect()}
+    vocab = spark.createDataFrame([("076", 0), ("040:b", 1)], "token string, idx int")
+    wanted = spark.createDataFrame([("76",), ("40",), ("9",)], "token string")
+    assert sorted(x.token for x in cooccurrence.missing_tokens(wanted, vocab).collect()) == ["40", "9"]
+    assert {x.token: (x.key, x.idx) for x in cooccurrence.variant_index(wanted, vocab).collect()} == {"76": ("076", 0), "40": ("040:b", 1), "9": (None, None)}
+
+
+def test_numbers_within_keys(spark):
+    rows = [(k % 3 if k % 7 else None, k) for k in range(100)]
+    got = numbered(spark.createDataFrame(rows, "key int, at int"), "at", within=("key",)).collect()
+    want: dict = {}
+    for key, at in rows:
+        want.setdefault(key, []).append(at)
+    assert sorted((str(r.key), r.at, r.id) for r in got) == sorted((str(k), at, i) for k, v in want.items() for i, at in enumerate(v))
+
+
+def test_staged_tables_are_dropped(spark):
+    import os
+
+    before = stages.drop_staged(spark)
+    path = stages.stage(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+    assert before >= 0 and os.path.exists(path)
+    assert stages.drop_staged(spark) == 1 and not os.path.exists(path) and stages.drop_staged(spark) == 0
 
 
 def test_seams(spark):
@@ -174,6 +263,10 @@ def test_seams(spark):
     rows = [(1, int(x), int(y), 0) for y, x in zip(*np.nonzero(ink))] + [(2, k, 0, 0) for k in range(9)]
     got = pixels.split_by_seams(spark.createDataFrame(rows, "img long, x int, y int, v int"), min_split=5, min_part=2).collect()
     assert sorted((r.img, r.part, r.left, r.right, r.n_ink) for r in got) == [(1, 0, 0, 4, 16), (1, 1, 5, 9, 16), (2, 0, 0, 9, 9)]
+    two = rows + [(1, int(x), int(y) + 20, 0) for y, x in zip(*np.nonzero(ink))] + [(1, 30, 40, 255)]
+    df = spark.createDataFrame(two, "img long, x int, y int, v int")
+    boxes = pixels.seam_segments(df, row_ink=1, column_ink=1, row_gap=0, column_gap=1, min_split=5, min_part=2, padding=1).where("img = 1").orderBy("number").collect()
+    assert [(r.number, r.left, r.right, r.top, r.bottom, r.n_ink) for r in boxes] == [(1, 0, 5, 0, 5, 16), (2, 4, 10, 0, 5, 16), (3, 0, 5, 19, 25, 16), (4, 4, 10, 19, 25, 16)]
 
 
 def brute_cuts(points, min_split, min_part):

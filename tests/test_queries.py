@@ -55,7 +55,7 @@ def test_queries_without_sql_run(spark, name):
 def test_every_trial_takes_part_over_all_lines(spark, duck):
     good = "SELECT DISTINCT trial_id FROM trial_records JOIN trial_configs USING (trial_id) WHERE context_window >= 1 AND (error IS NULL OR trim(error) = '')"
     trials = {t for (t,) in duck.execute(good).fetchall()}
-    qualities = core.queries()["neighbor_quality_all"](spark, SF).collect()
+    qualities = core.queries()["neighbor_quality"](spark, SF).collect()
     assert {r.trial_id for r in qualities} == trials and len(trials) > 50
     simple = duck.execute("SELECT trial_id FROM trial_configs WHERE strategy = 'simple' AND context_window >= 1").fetchall()
     paired = f"WITH {core.sql_tokens('simple')}, long_ AS (SELECT line_id FROM toks GROUP BY line_id HAVING count(DISTINCT token) > 1) SELECT count(DISTINCT token) FROM toks WHERE line_id IN (SELECT line_id FROM long_)"
@@ -75,13 +75,12 @@ def test_seam_split_takes_every_pixel_of_ink(spark, duck):
 def test_projection_runs_on_the_whole_settings(spark, monkeypatch):
     seen = {}
 
-    def fit(counts, n_tokens, settings, anchors=None, shards=8):
+    def fit(counts, n_tokens, settings, anchors=None, shards=None):
         seen.update(pairs=counts.agg({"n": "sum"}).first()[0], settings=settings, anchors=anchors)
         return core.learning.Model.create(n_tokens, settings), []
 
     monkeypatch.setattr(core.learning, "fit_projection", fit)
     assert len(core.queries()["train_projection"](spark, SF).first().projected) == 64
-    assert len(core.queries()["projection_forward"](spark, SF).first().projected) == 64
     assert seen["settings"] == core.learning.Settings()
     assert seen["pairs"] == core.cooc.context_pairs(core.tokens(spark, SF, "simple"), 4).count()
     ids, targets = seen["anchors"]

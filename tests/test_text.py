@@ -84,6 +84,11 @@ def test_strict_scores_raise(spark):
 def test_batch_scores(spark):
     raw = "045: overall=7, structure=3, shape=4\nnothing\n001: 0.100\n001 = 0.200"
     assert one(spark, raw, parsers.batch_scores(F.col("x"))) == {"045": "0.734", "001": "0.200"}
+    wanted = lambda *labels: F.array(*map(F.lit, labels))
+    assert one(spark, raw, parsers.batch_scores(F.col("x"), wanted("001"), strict=True)) == {"001": "0.200"}
+    assert one(spark, raw, parsers.missing_labels(parsers.batch_scores(F.col("x")), wanted("001", "007"))) == ["007"]
+    with pytest.raises(Exception, match="no score for 007"):
+        one(spark, raw, parsers.batch_scores(F.col("x"), wanted("001", "007"), strict=True))
 
 
 def test_labels_and_fields(spark):
@@ -91,8 +96,13 @@ def test_labels_and_fields(spark):
     assert label("id 1234") is None and label("812") is None and label("is 045, 046") == "045"
     assert one(spark, " Yes ", parsers.boolean(F.col("x"))) is True and one(spark, "maybe", parsers.boolean(F.col("x"))) is None
     assert one(spark, "match: no\nMatch: yes: sure", parsers.field(F.col("x"), "match")) == "yes: sure"
-    assert one(spark, "alternates: 001, 002; 001, none", parsers.alternates(F.col("x"))) == ["001", "002"]
-    assert one(spark, "kind: Ligature", parsers.crop_kind(F.col("x"))) == "ligature" and one(spark, "x", parsers.crop_kind(F.col("x"))) == "single"
+    other = lambda raw: one(spark, raw, parsers.alternates(F.col("x"), ["001", "002", "B3"]))
+    assert other("alternates: 001, 002 , 001, 9, b3+001\nalternates: 002") == ["001", "002", "B3.001"]
+    assert other("Alternates: N/A") == other("alternates:") == other("x") == [] and other("alternates: 001; 002") == []
+    kind = lambda raw: one(spark, raw, parsers.crop_kind(F.col("x")))
+    assert kind("kind: Ligature") == "ligature" and kind("x") == kind("kind: round") == "single" and kind("kind: round\n kind : BAD_CROP ") == "bad_crop"
+    with pytest.raises(Exception, match="no digits"):
+        one(spark, "V", text.strict_code(F.col("x")))
     known = lambda raw: one(spark, raw, parsers.known_label(F.col("x"), ["A1", "b2"]))
     assert known("a1+B2") == "A1.b2" and known("a1.c3") is None
     assert one(spark, "try again in 250ms", parsers.retry_seconds(F.col("x"), 0.1)) == 0.25 and one(spark, "x", parsers.retry_seconds(F.col("x"), 1.0)) == 1.0
@@ -100,9 +110,12 @@ def test_labels_and_fields(spark):
 
 def test_best_label_and_reasoning(spark):
     best = lambda raw: one(spark, raw, parsers.best_label(F.col("x"), ["A1", "A1b", "?x"]))
-    assert best("Label: a1.A1B ") == "A1.A1b" and best("I see a1b, or A1") == "A1b" and best("it is ?X") == "?x" and best("nothing") == "A1"
+    assert best("Label: a1.A1B ") == "A1.A1b" and best("I see a1b, or A1") == "A1b" and best("it is ?X") == "?x" and best("nothing") == best("A12") == "A1"
     why = lambda raw: one(spark, raw, parsers.reasoning(F.col("x")))
     assert why("Reasoning: round\nand small\nlabel: A1") == "round\nand small" and why(" just so ") == "just so"
+    assert why("my reasoning is short. reasoning : a label: x\n raw : y") == "a label: x" and why("reasoning:\nlabel: A1") == "label: A1" and why("reasoning:") == "reasoning:"
+    m = one(spark, "kind: ligature\nlabel: a1\nalternates: A1b\nreasoning: tall", parsers.match(F.col("x"), ["A1", "A1b"]))
+    assert (m.kind, m.label, list(m.alternates), m.reasoning) == ("ligature", "A1", ["A1b"], "tall")
 
 
 PAGE = '<ul>x<li class="a"><a href="#">Aa1</a> 1-2.<br>3 &amp; 4<li><a>Aa2</a>5</li><li>none</li><li><a>Aa1</a>6</li></ul>'
@@ -110,10 +123,13 @@ PAGE = '<ul>x<li class="a"><a href="#">Aa1</a> 1-2.<br>3 &amp; 4<li><a>Aa2</a>5<
 
 def test_html_lines(spark):
     pages = spark.createDataFrame([("A", PAGE), ("B", None)], "tablet string, html string")
-    assert sorted((r.ord, r.title, r.text) for r in ln.extract_lines(pages).collect()) == [(0, "Aa1", "6"), (1, "Aa2", "5")]
+    assert sorted((r.ord, r.title, r.text) for r in ln.extract_lines(pages).collect()) == [(0, "Aa2", "5"), (2, "Aa1", "6")]
+    odd = spark.createDataFrame([("A", "<li>\n <a>T\n 1<br></a>  a \n b&nbsp;&amp;lt;</li><li><a>T2</a>open")], "tablet string, html string")
+    for general in (True, False):
+        assert [(r.title, r.text) for r in ln.extract_lines(odd, general=general).collect()] == [("T 1", "a b &lt;")]
     plain = spark.createDataFrame([("A", "<li><a>Ta1</a> 1-<br>2*</li>\n<li><a>Ta2</a>\n3</li>")], "tablet string, html string")
     both = [sorted((r.title, r.text) for r in ln.extract_lines(plain, general=g).collect()) for g in (True, False)]
-    assert both[0] == both[1] == [("Ta1", "1-\n2*"), ("Ta2", "3")]
+    assert both[0] == both[1] == [("Ta1", "1- 2*"), ("Ta2", "3")]
 
 
 def test_read_pages(spark, tmp_path):
