@@ -15,7 +15,7 @@ from tesserae.plans.stages import stage
 #: The sharpness of the contrast, and the least length that is divided by.
 TEMPERATURE, LEAST = 0.07, 1e-8
 #: Different pairs of a shard, about, and tokens of a model at most: it is held on the driver and broadcast (about 200 MB at 128 dimensions).
-SHARD_PAIRS, TOKENS = 100_000, 200_000
+SHARD_PAIRS, TOKENS = 10_000, 200_000
 
 
 @dataclass
