@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.pairs import BROADCAST_ROWS
-from tesserae.llm.readings import BLOCK, blocks, event, line_count_and, long_lines, map_blocks, readings
-from tesserae.plans.index import numbered
+from tesserae.llm.readings import BLOCK, block_arrays, blocks, event, map_arrays, readings
 from tesserae.plans.stages import broadcast_below, stage
 
 
-def keep_sequences(x: dict) -> pa.RecordBatch:
-    """The blocks as arrays of positions and ids, in the order of the positions."""
-    group = x["_group"]
-    offsets = np.searchsorted(group, np.arange(len(x["block"]) + 1)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[c].astype(np.int32))) for c in ("pos", "id")]
+def keep_sequences(x: dict, ids: dict[str, int]) -> pa.RecordBatch:
+    """The blocks as arrays of positions and ids, in the order of the positions, without the events that have no id."""
+    codes, events = x["event"]
+    id_ = np.array([ids.get(e, -1) for e in events], np.int32)[codes] if len(codes) else np.zeros(0, np.int32)
+    keep = id_ >= 0
+    offsets = np.searchsorted(x["_group"][keep], np.arange(len(x["block"]) + 1)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.astype(np.int32))) for v in (x["pos"][keep], id_[keep])]
     return pa.RecordBatch.from_arrays([pa.array(x["line_id"]), pa.array(x["block"]), *lists], ["line_id", "block", "pos", "ids"])
 
 
@@ -159,28 +160,33 @@ def frequent_patterns(tokens: DataFrame, share: int = 25, shortest: int = 3, lon
     spark = tokens.sparkSession
     empty = spark.createDataFrame([], "event_pattern string, n_events int, n long, n_lines long")
     read = readings(tokens).select("line_id", "pos", event().alias("event"))
-    counts = stage(line_count_and(read, "event"), "event-lines")
+    reach = gap * (longest - 1)
+    size = max(BLOCK, 4 * reach)
+    held = stage(block_arrays(blocks(read, reach, size)), "event-blocks")
+    long = stage(held.where("block > 0").select("line_id").distinct(), "long-lines")  # usually none
+    any_long = not long.isEmpty()
+    long = broadcast_below(long, BROADCAST_ROWS)
+    one_block = lambda df: df.join(long, "line_id", "left_anti") if any_long else df
+    more_blocks = lambda df: df.join(long, "line_id", "left_semi")
+    # each line counts once for each event, and once for null: a line of one block is one row, those of several are made single
+    of_line = lambda df: df.select("line_id", F.explode(F.concat(F.array_distinct(F.transform("toks", lambda t: t["event"])), F.array(F.lit(None).cast("string")))).alias("event"))
+    each = of_line(one_block(held)).select("event")
+    if any_long:
+        each = each.unionByName(of_line(more_blocks(held)).distinct().select("event"))
+    counts = stage(each.groupBy("event").agg(F.count("*").alias("n")), "event-lines")
     total = counts.where("event IS NULL").select("n").first()
     if not total:
         return empty
     lines = total[0]
     often = F.col("n") * share >= lines
     # at most share times the mean number of events in a line
-    known = stage(numbered(counts.where(F.col("event").isNotNull() & often), "event"), "events")
-    kinds = known.count()
+    ids = {r.event: k for k, r in enumerate(counts.where(F.col("event").isNotNull() & often).select("event").orderBy("event").toLocalIterator())}
+    kinds = len(ids)
     if not kinds:
         return empty
-    names = broadcast_below(known.select("event", "id"), BROADCAST_ROWS)
-    coded = read.join(names, "event").select("line_id", "pos", "id")
-    reach = gap * (longest - 1)
-    size = max(BLOCK, 4 * reach)
-    sequences = stage(map_blocks(blocks(coded, reach, size), keep_sequences, "line_id long, block int, pos array<int>, ids array<int>"), "sequences")
-    long = stage(long_lines(tokens, size), "long-lines")
-    any_long = not long.isEmpty()
-    whole, parts = sequences, None
-    if any_long:
-        long = broadcast_below(long, BROADCAST_ROWS)
-        whole, parts = sequences.join(long, "line_id", "left_anti"), sequences.join(long, "line_id", "left_semi")
+    names = spark.createDataFrame(list(ids.items()), "event string, id int")
+    sequences = stage(map_arrays(held, partial(keep_sequences, ids=ids), "line_id long, block int, pos array<int>, ids array<int>"), "sequences")
+    whole, parts = one_block(sequences), more_blocks(sequences)
     step = whole.mapInArrow(partial(count_steps, gap=gap, kinds=kinds), "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
     if any_long:
         more = parts.mapInArrow(partial(steps_of_lines, gap=gap, kinds=kinds), "line_id long, step long").distinct().groupBy("step").agg(F.count("*").alias("n"))
@@ -194,22 +200,25 @@ def frequent_patterns(tokens: DataFrame, share: int = 25, shortest: int = 3, lon
         records = records.unionByName(one.select("record", "weight", "owner"))
 
     def weighed(level: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The level's rows (prefix, node, owner, weight) and its frequent prefixes, one row for each."""
-        level = stage(level.groupBy("prefix", F.col("child").alias("node"), "owner").agg(F.sum("weight").alias("weight")), "level")
-        support = level.groupBy("prefix", "owner").agg(F.when(F.col("owner").isNull(), F.sum("weight")).otherwise(1).alias("n")).groupBy("prefix").agg(F.sum("n").alias("n"))
-        support = stage(support.where(often), "support")
-        return level.join(broadcast_below(support.select("prefix"), BROADCAST_ROWS), "prefix", "left_semi"), support
+        """The level's rows (prefix, node and its two hashes, owner, weight), and its frequent prefixes with n, one row for each."""
+        hashed = level.withColumn("h1", F.xxhash64("child")).withColumn("h2", F.xxhash64(F.lit(1), "child"))
+        level = stage(hashed.groupBy("prefix", "h1", "h2", "owner").agg(F.sum("weight").alias("weight"), F.any_value("child").alias("node")), "level")
+        support = level.groupBy("prefix", "owner").agg(F.when(F.col("owner").isNull(), F.sum("weight")).otherwise(1).alias("n")).groupBy("prefix").agg(F.sum("n").alias("n")).where(often)
+        return level, support
 
     tops = records.mapInArrow(partial(unfold, column="record", of=partial(roots, longest=longest, gap=gap)), "record array<int>, weight long, owner long, event int, child array<int>")
     level, support = weighed(tops.select(F.array("event").alias("prefix"), "child", "owner", "weight"))
     found = support if shortest <= 1 else None
     for taken in range(1, longest):
-        edges = level.select("node").where(F.size("node") > 0).distinct().mapInArrow(partial(unfold, column="node", of=partial(children, left=longest - taken, gap=gap)), "node array<int>, event int, child array<int>")
+        # a prefix that ends here or has no support isn't joined; joins are by hash, so that no node is shuffled as a key
+        open_ = level.where(F.size("node") > 0).join(support.select("prefix"), "prefix", "left_semi")
+        nodes = open_.groupBy("h1", "h2").agg(F.any_value("node").alias("node"))
+        edges = nodes.mapInArrow(partial(unfold, column="node", of=partial(children, left=longest - taken, gap=gap)), "h1 long, h2 long, node array<int>, event int, child array<int>").drop("node")
         # a shuffled join: nodes compress well, so that a file's size says little about theirs
-        rows = level.join(edges.hint("merge"), "node").select(F.concat("prefix", F.array("event")).alias("prefix"), "child", "owner", "weight")
+        rows = open_.select("prefix", "h1", "h2", "owner", "weight").join(edges.hint("merge"), ["h1", "h2"]).select(F.concat("prefix", F.array("event")).alias("prefix"), "child", "owner", "weight")
         level, support = weighed(rows)
         if taken + 1 >= shortest:
             found = support if found is None else found.unionByName(support)
     told = found.withColumn("of", F.monotonically_increasing_id()).select("of", "n", F.size("prefix").alias("n_events"), F.posexplode("prefix").alias("at", "id"))
-    named = told.join(names, "id").groupBy("of", "n", "n_events").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "event"))), lambda x: x["event"]), " ").alias("event_pattern"))
+    named = told.join(F.broadcast(names), "id").groupBy("of", "n", "n_events").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "event"))), lambda x: x["event"]), " ").alias("event_pattern"))
     return named.select("event_pattern", "n_events", "n", F.lit(lines).cast("long").alias("n_lines"))

@@ -83,7 +83,12 @@ def long_lines(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def map_blocks(rows: DataFrame, fn: Callable[[dict[str, np.ndarray]], pa.RecordBatch], schema: str, tokens: int = 400_000) -> DataFrame:
-    """fn over many whole blocks at a time, in the order of pos; rows as block_arrays takes them, without nulls.
+    """map_arrays() over rows as block_arrays() takes them."""
+    return map_arrays(block_arrays(rows), fn, schema, tokens)
+
+
+def map_arrays(arrays: DataFrame, fn: Callable[[dict[str, np.ndarray]], pa.RecordBatch], schema: str, tokens: int = 400_000) -> DataFrame:
+    """fn over many whole blocks at a time, in the order of pos; arrays as block_arrays() gives them, without nulls.
 
     fn gets numpy arrays: line_id and block for each block, and for each position _group (the number of its block),
     pos and the other columns; strings come as a pair of codes and the values they stand for. A position with several
@@ -121,7 +126,7 @@ def map_blocks(rows: DataFrame, fn: Callable[[dict[str, np.ndarray]], pa.RecordB
                 yield give(b.slice(at, min(upto, b.num_rows) - at))
                 at = upto
 
-    return block_arrays(rows).mapInArrow(run, schema)
+    return arrays.mapInArrow(run, schema)
 
 
 def line_count_and(keys: DataFrame, key: str) -> DataFrame:
