@@ -61,7 +61,8 @@ def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return gram_frequencies(table(spark, sf, "glyph_tokens")).where("mark IS NOT NULL").select(F.col("gram").alias("term"), "mark")
+    """The marked terms: the n-grams of one term, of the intervals of the whole array."""
+    return gram_frequencies(table(spark, sf, "glyph_tokens"), depth=3).where("n = 1 AND mark IS NOT NULL").select(F.col("gram").alias("term"), "mark")
 
 
 def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
