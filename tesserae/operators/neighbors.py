@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.vectors import dot, normalize
+from tesserae.operators.cooccurrence import both_ways
 from tesserae.plans.index import numbered
-from tesserae.plans.stages import stage
+from tesserae.plans.stages import broadcast_below, stage
 
 #: Vectors of the pool, and queries, that a task compares at a time; queries that are broadcast at a time (32 MB at 64 dimensions).
 POOL_BLOCK, QUERY_BLOCK, QUERY_SHARE = 4096, 1024, 65_536
+#: Sums of tokens that are broadcast at most (about 100 MB); beyond, they are joined by a shuffle.
+TOTALS = 500_000
 
 
 def best_of(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +77,22 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str = "vec_id", ve
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbor", "cosine")
 
 
-def glyph_neighbors(counts: DataFrame, k: int, *keys: str) -> DataFrame:
-    """keys (trial_id if none are named), token, rank, word and cosine from pair counts by keys: n_ab / sqrt(n_a * n_b), the k best of each token."""
+def glyph_neighbors(half: DataFrame, k: int, *keys: str) -> DataFrame:
+    """keys (trial_id if none are named), token, rank, word and cosine from counts of unordered pairs (a, b, n) by keys: n_ab / sqrt(n_a * n_b), the k best of each token.
+
+    Cosines are the same both ways, so they are made before a pair is turned round; the sums of tokens are broadcast up to
+    TOTALS rows. Ranking sorts by a hash of the group, not by its strings, and drops what can't be among the k best before the shuffle.
+    """
     by = keys or ("trial_id",)
-    total = counts.groupBy(*by, "center").agg(F.sum("n").alias("t"))
-    a, b = total.select(*by, "center", F.col("t").alias("ta")), total.select(*by, F.col("center").alias("context"), F.col("t").alias("tb"))
-    near = counts.where("center <> context").join(a, [*by, "center"]).join(b, [*by, "context"]).withColumn("cosine", F.round(F.col("n") / F.sqrt(F.col("ta").cast("double") * F.col("tb")), 9))
-    w = Window.partitionBy(*by, "center").orderBy(F.col("cosine").desc(), "context")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, F.col("center").alias("token"), "rank", F.col("context").alias("word"), "cosine")
+    total = stage(both_ways(half, *by).groupBy(*by, "center").agg(F.sum("n").alias("t")), "totals")
+    total = broadcast_below(total, TOTALS)
+    side = lambda c: total.select(*by, F.col("center").alias(c), F.col("t").alias(f"t{c}"))
+    cosine = F.round(F.col("n") / F.sqrt(F.col("ta").cast("double") * F.col("tb")), 9)
+    near = half.where("a <> b").join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"]).select(*by, "a", "b", cosine.alias("cosine"))
+    way = lambda x, y: F.struct(F.col(x).alias("token"), F.col(y).alias("word"))
+    turned = near.select(*by, "cosine", F.inline(F.array(way("a", "b"), way("b", "a")))).withColumn("_group", F.xxhash64(*by, "token"))
+    w = Window.partitionBy("_group", *by, "token").orderBy(F.col("cosine").desc(), "word")
+    return turned.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "token", "rank", "word", "cosine")
 
 
 def margins(neighbors: DataFrame, *keys: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The registered queries of the core, over whole tables, and the SQL that gives the same rows."""
 
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import cached_property, partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -452,11 +452,19 @@ class Trials:
     def by_trial(self, df: DataFrame) -> DataFrame:
         return df.join(broadcast_below(self.own, 10_000), ["strategy", "context_window"]).drop("strategy", "context_window")
 
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """strategy, context_window, token, word, cosine and margin of each token's first neighbour: once for all trials with a setting."""
+        near = neighbors.glyph_neighbors(self.half, 2, "strategy", "context_window")
+        return stage(neighbors.margins(near, "strategy", "context_window", "token"), "tops")
+
     def tops(self) -> DataFrame:
         """trial_id, token, word, cosine and margin of each token's first neighbour in each trial."""
-        counts = cooc.both_ways(self.half, "strategy", "context_window")
-        near = neighbors.glyph_neighbors(counts, 2, "strategy", "context_window")
-        return self.by_trial(neighbors.margins(near, "strategy", "context_window", "token"))
+        return self.by_trial(self.ranked)
+
+    def qualities(self) -> DataFrame:
+        """What neighbors.quality() says of each trial, worked out once for each setting."""
+        return self.by_trial(neighbors.quality(self.ranked, "strategy", "context_window"))
 
     def anchor_counts(self) -> DataFrame:
         """trial_id, center, context and n of the pairs whose center is an anchor."""
@@ -493,7 +501,7 @@ def rounded(df: DataFrame, *but: str) -> DataFrame:
 
 @query(NEIGHBORS + " SELECT trial_id, token_count, unique_top1_count, round(top1_entropy_bits, 6) AS top1_entropy_bits, round(top1_mean_cosine, 6) AS top1_mean_cosine, round(top1_std_cosine, 6) AS top1_std_cosine, round(top1_min_cosine, 6) AS top1_min_cosine, round(top1_max_cosine, 6) AS top1_max_cosine, round(top1_top2_margin_mean, 6) AS top1_top2_margin_mean, round(top1_top2_margin_std, 6) AS top1_top2_margin_std FROM quality")
 def neighbor_quality(spark, sf):
-    return rounded(neighbors.quality(Trials(spark, sf).tops(), "trial_id"))
+    return rounded(Trials(spark, sf).qualities())
 
 
 def anchors(spark: SparkSession) -> DataFrame:
@@ -515,10 +523,9 @@ def anchor_gloss_cosine(spark, sf):
 FROM (SELECT q.trial_id, coalesce(anchor_cosine, -1) AS c, coalesce(anchor_hit_rate, 0) AS h, unique_top1_count AS u, top1_entropy_bits AS b, top1_top2_margin_mean AS m FROM quality q LEFT JOIN rates USING (trial_id) LEFT JOIN (SELECT trial_id, avg(cosine) AS anchor_cosine FROM tests GROUP BY trial_id) USING (trial_id))""")
 def trial_score(spark, sf):
     t = Trials(spark, sf)
-    tops = stage(t.tops(), "tops")
-    rates = neighbors.anchor_rates(tops, t.expected(), "trial_id")
+    rates = neighbors.anchor_rates(t.tops(), t.expected(), "trial_id")
     cosines = t.anchor_cosines().groupBy("trial_id").agg(F.avg("cosine").alias("c"))
-    q = neighbors.quality(tops, "trial_id").join(rates, "trial_id", "left").join(cosines, "trial_id", "left")
+    q = t.qualities().join(rates, "trial_id", "left").join(cosines, "trial_id", "left")
     score = neighbors.trial_score(F.col("c"), F.coalesce("anchor_hit_rate", F.lit(0.0)), F.col("unique_top1_count"), F.col("top1_entropy_bits"), F.col("top1_top2_margin_mean"))
     return q.select("trial_id", F.round(score, 6).alias("score"))
 
@@ -535,16 +542,15 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY trials DESC,
 def cast_votes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The votes, the trials that take part, and the first neighbours in these."""
     t = Trials(spark, sf)
-    tops = stage(t.tops(), "tops")
-    used = stage(trials.passing(t.records, neighbors.quality(tops, "trial_id"), 0.0, 50, 3.0), "used")
-    tops = tops.join(F.broadcast(used), "trial_id", "left_semi")
+    used = stage(trials.passing(t.records, t.qualities(), 0.0, 50, 3.0), "used")
+    tops = t.tops().join(F.broadcast(used), "trial_id", "left_semi")
     return votes.votes(tops, anchors(spark), stage(t.expected().select("word"), "leaks"), 0.01, 0.002), used, tops
 
 
 @query(NEIGHBORS + f", {PASSING} SELECT trial_id FROM used")
 def quality_filter(spark, sf):
     t = Trials(spark, sf)
-    return trials.passing(t.records, neighbors.quality(t.tops(), "trial_id"), 0.0, 50, 3.0)
+    return trials.passing(t.records, t.qualities(), 0.0, 50, 3.0)
 
 
 @query(VOTES + " SELECT trial_id, word FROM banned")
