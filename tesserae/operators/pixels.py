@@ -162,17 +162,25 @@ def glyph_masks(pixels: DataFrame, *keys: str, size: int = 72, border: int = 4,
     return held.select(*by, F.transform(every, lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0).cast("long"))).alias("mask"))
 
 
-def best_seam(ink: np.ndarray, max_step: int = 1, low: int = 0, high: int | None = None) -> tuple[int, list[int]]:
-    """Cost (ink pixels on it) and columns of the cheapest seam from top to bottom; the leftmost of several."""
+def best_seam(ink: np.ndarray, max_step: int = 1, low: int = 0, high: int | None = None, most: int | None = None) -> tuple[int, list[int]]:
+    """Cost (ink pixels on it) and columns of the cheapest seam from top to bottom; the leftmost of several.
+
+    With most, it stops in the row where every seam has crossed more, with that cost and no columns.
+    """
+    far, columns = 1 << 40, np.arange(ink.shape[1])
     high = ink.shape[1] if high is None else high
-    cost = np.where((np.arange(ink.shape[1]) >= low) & (np.arange(ink.shape[1]) < high), ink[0].astype(np.int64), 1 << 40)
+    outside = (columns < low) | (columns >= high)
+    padded = np.full(ink.shape[1] + 2 * max_step, far, np.int64)
+    cost = padded[max_step : max_step + ink.shape[1]]
+    options = np.lib.stride_tricks.sliding_window_view(padded, ink.shape[1])  # by step, of the row before
+    cost[:] = np.where(outside, far, ink[0])
     back = []
     for row in ink[1:]:
-        options = np.stack([np.pad(cost, max_step, constant_values=1 << 40)[k : k + len(cost)] for k in range(2 * max_step + 1)])
+        if most is not None and cost.min() > most:
+            return int(cost.min()), []
         step = options.argmin(0)
-        back.append(np.clip(np.arange(len(cost)) + step - max_step, 0, len(cost) - 1))
-        cost = options.min(0) + row
-        cost[:low], cost[high:] = 1 << 40, 1 << 40
+        back.append(np.clip(columns + step - max_step, 0, len(columns) - 1))
+        cost[:] = np.where(outside, far, options.min(0) + row)
     at = int(cost.argmin())
     path, total = [at], int(cost[at])
     for b in reversed(back):
@@ -198,11 +206,12 @@ def split_by_seams(pixels: DataFrame, threshold: int = 190, min_split: int = 35,
             if width >= max(min_split, 2 * min_part + 1):
                 grid = np.zeros((int(np.ptp(y[own])) + 1, width), bool)
                 grid[y[own] - top, x[own] - left] = True
-                cost, path = best_seam(grid, max_step, min_part, width - min_part)
-                is_left = own & (x - left < np.array(path)[np.clip(y - top, 0, len(path) - 1)])
-                if cost <= max_ink and is_left.any() and (own & ~is_left).any():
-                    todo += [is_left, own & ~is_left]
-                    continue
+                cost, path = best_seam(grid, max_step, min_part, width - min_part, max_ink)
+                if cost <= max_ink:
+                    is_left = own & (x - left < np.array(path)[np.clip(y - top, 0, len(path) - 1)])
+                    if is_left.any() and (own & ~is_left).any():
+                        todo += [is_left, own & ~is_left]
+                        continue
             done.append(own)
         done.sort(key=lambda o: (x[o].min(), y[o].min()))
         found = [(k, int(x[o].min()), int(x[o].max()) + 1, int(y[o].min()), int(y[o].max()) + 1, int(o.sum())) for k, o in enumerate(done)]
