@@ -7,15 +7,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.plans.stages import stage
 
 #: The sharpness of the contrast, and the least length that is divided by.
 TEMPERATURE, LEAST = 0.07, 1e-8
-#: Different pairs of a shard, about, and tokens of a model at most: it is held on the driver and broadcast (about 200 MB at 128 dimensions).
-SHARD_PAIRS, TOKENS = 10_000, 200_000
+#: Different pairs of a shard, about; tokens that a shard draws its negatives from in an epoch; tokens that are compared all with all at most.
+SHARD_PAIRS, POOL, SPREAD = 10_000, 4096, 8192
 
 
 @dataclass
@@ -98,9 +98,9 @@ def contrast(v: np.ndarray, near: np.ndarray, far: np.ndarray, share: np.ndarray
     return loss, p[:, :1] * near + np.einsum("nk,nkd->nd", p[:, 1:], far)
 
 
-def context_step(m: Model, centers: np.ndarray, contexts: np.ndarray, counts: np.ndarray, s: Settings, r: np.random.Generator) -> float:
-    """Both losses of a batch of different pairs, weighted by their counts: of the token vectors themselves, then of their projections."""
-    others, share = r.integers(0, len(m.tokens), (len(centers), s.negatives)), counts / counts.sum()
+def context_step(m: Model, centers: np.ndarray, contexts: np.ndarray, counts: np.ndarray, pool: np.ndarray, s: Settings, r: np.random.Generator) -> float:
+    """Both losses of a batch of different pairs, weighted by their counts, with negatives from pool: of the token vectors themselves, then of their projections."""
+    others, share = pool[r.integers(0, len(pool), (len(centers), s.negatives))], counts / counts.sum()
     way = unit(m.tokens[centers])
     first, slope = contrast(way, unit(m.tokens[contexts]), unit(m.tokens[others]), share)
     np.add.at(m.tokens, centers, -s.learning_rate * (slope - way * (way * slope).sum(1, keepdims=True)))
@@ -117,10 +117,19 @@ def anchor_step(m: Model, ids: np.ndarray, targets: np.ndarray, s: Settings) ->
     return s.anchor_weight * float((1 - cosine).mean())
 
 
-def spread_step(m: Model, s: Settings, r: np.random.Generator) -> float:
+def spread_sample(n_tokens: int, s: Settings, r: np.random.Generator) -> np.ndarray:
+    """The tokens of a step against collapse: so many as the settings say, or all."""
+    if 0 < s.collapse_sample < n_tokens:
+        return r.choice(n_tokens, s.collapse_sample, replace=False)
+    if n_tokens > SPREAD:
+        raise ValueError(f"collapse_sample asks to compare {n_tokens} tokens with each other; at most {SPREAD}")
+    return np.arange(n_tokens)
+
+
+def spread_step(m: Model, ids: np.ndarray, s: Settings) -> float:
     """Keeps projections from collapsing: raises their variance and lowers their cosines."""
-    n = len(m.tokens)
-    ids = np.arange(n) if s.collapse_sample <= 0 or s.collapse_sample >= n else r.choice(n, s.collapse_sample, replace=False)
+    if not len(ids):
+        return 0.0
     hidden, out = m.forward(ids)
     v = unit(out)
     gram = v @ v.T
@@ -129,63 +138,129 @@ def spread_step(m: Model, s: Settings, r: np.random.Generator) -> float:
     return s.collapse_weight * float((np.maximum(0, 1 - v.std(0)) ** 2).mean() + (off**2).mean() if len(off) else 0.0)
 
 
-def fit_projection(counts: DataFrame, n_tokens: int, settings: Settings, anchors: tuple[np.ndarray, np.ndarray] | None = None, shards: int | None = None) -> tuple[Model, list[float]]:
-    """The model and the loss of each epoch, learned from center_idx, context_idx and n.
+@dataclass
+class Learned:
+    """A projection whose token vectors (idx, vector) are a table; layer is a model without tokens, of a size that the settings fix."""
+
+    vectors: DataFrame
+    layer: Model
+
+    @staticmethod
+    def of(spark: SparkSession, m: Model) -> "Learned":
+        rows = list(enumerate(m.tokens.tolist()))
+        return Learned(spark.createDataFrame(rows, "idx int, vector array<double>"), replace(m, tokens=m.tokens[:0]))
+
+    @staticmethod
+    def waves(vocab: DataFrame, s: Settings) -> "Learned":
+        """Fixed weights, as Model.waves() has them."""
+        place = F.sequence(F.lit(0), F.lit(s.input_dim - 1))
+        return Learned(vocab.select("idx", F.transform(place, lambda j: F.sin(3.0 * F.col("idx") + 2.0 * j) / 10).alias("vector")), Model.waves(0, s))
+
+    def some(self, ids: np.ndarray) -> Model:
+        """A model of these tokens alone, in their order."""
+        found = {r.idx: r.vector for r in self.vectors.where(F.col("idx").isin([int(i) for i in ids])).collect()}
+        return replace(self.layer.copy(), tokens=np.array([found[int(i)] for i in ids], float).reshape(len(ids), len(self.layer.w1)))
+
+    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.some(ids).forward(np.arange(len(ids)))
+
+
+def first_vectors(spark: SparkSession, n_tokens: int, s: Settings) -> DataFrame:
+    """idx and vector: normal numbers with deviation 0.02 that depend on the seed, the token and the place only."""
+    even = lambda k, j: (F.pmod(F.xxhash64(F.lit(s.seed), F.lit(k), F.col("idx"), j), F.lit(1 << 31)) + 0.5) / (1 << 31)
+    normal = lambda j: 0.02 * F.sqrt(-2.0 * F.log(even(0, j))) * F.cos(2 * np.pi * even(1, j))
+    ids = spark.range(n_tokens).select(F.col("id").cast("int").alias("idx"))
+    return ids.select("idx", F.transform(F.sequence(F.lit(0), F.lit(s.input_dim - 1)), normal).alias("vector"))
+
+
+def shard_vectors(pairs: DataFrame, vectors: DataFrame, n_tokens: int, shards: int, epoch: int) -> DataFrame:
+    """shard, idx, far and vector of each token that a shard's pairs name, and (far) of those it draws negatives from: all of a small vocabulary, else POOL draws."""
+    own = pairs.select("shard", F.explode(F.array("center_idx", "context_idx")).alias("idx"), F.lit(False).alias("far"))
+    drawn = F.col("k") if n_tokens <= POOL else F.pmod(F.xxhash64(F.lit(epoch), "shard", "k"), F.lit(n_tokens))
+    each = own.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(min(n_tokens, POOL) - 1))).alias("k"))
+    far = each.select("shard", drawn.cast("int").alias("idx"), F.lit(True).alias("far"))
+    return far.unionByName(own).groupBy("shard", "idx").agg(F.max("far").alias("far")).join(vectors, "idx")
+
+
+def fit_projection(counts: DataFrame, n_tokens: int, settings: Settings, anchors: tuple[np.ndarray, np.ndarray] | None = None, shards: int | None = None) -> tuple[Learned, list[float]]:
+    """The projection and the loss of each epoch, learned from center_idx, context_idx and n.
 
-    In an epoch each shard of the pairs (by default one for SHARD_PAIRS) takes its own steps from the common model, batch by batch and in an
-    order of its own; the shards' changes are averaged row by row on Spark, weighted by their pairs, and give the next model. A pair with
-    count n counts n times in its batch. Then come the steps of the anchors (ids and unit targets) and the one against
-    collapse, which touch a bounded number of rows. The model is held on the driver: a vocabulary of more than TOKENS
-    raises. Without pairs the losses are 0.
+    In an epoch each shard of the pairs (by default one for SHARD_PAIRS) meets the vectors of the tokens that it names and of a pool of
+    negatives, and takes its own steps from the common model, batch by batch and in an order of its own; the shards' changes are averaged
+    row by row on Spark, weighted by their pairs, and give the next table of vectors. A pair with count n counts n
+    times in its batch. Then come the steps of the anchors (ids and unit targets) and the one against collapse, on the driver: with the layer,
+    they are all that passes it, and their number of rows doesn't grow with the tokens. Without pairs the losses are 0.
     """
-    if n_tokens > TOKENS:
-        raise ValueError(f"a model of {n_tokens} tokens; at most {TOKENS} are held")
     spark = counts.sparkSession
-    pairs = stage(counts.select("center_idx", "context_idx", F.col("n").cast("long").alias("n")), "counts")
+    pairs = stage(counts.select(F.col("center_idx").cast("int").alias("center_idx"), F.col("context_idx").cast("int").alias("context_idx"), F.col("n").cast("long").alias("n")), "counts")
     shards = shards or max(1, -(-pairs.count() // SHARD_PAIRS))
-    pairs = stage(pairs.withColumn("shard", F.pmod(F.xxhash64("center_idx", "context_idx"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "center_idx", "context_idx"), "pairs")
-    m, losses = Model.create(n_tokens, settings), []
+    pairs = stage(pairs.withColumn("shard", F.pmod(F.xxhash64("center_idx", "context_idx"), F.lit(shards)).cast("int")), "pairs")
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    m, losses = Learned(stage(first_vectors(spark, n_tokens, settings), "vectors"), Model.create(0, settings)), []
     for epoch in range(settings.epochs):
-        held = spark.sparkContext.broadcast((m, settings, epoch))
-
-        def learn(key: tuple, pairs_: pd.DataFrame) -> pd.DataFrame:
-            start, s, at = held.value
-            own, r = start.copy(), np.random.default_rng([s.seed, at, int(key[0])])
-            order = r.permutation(len(pairs_))
-            c, x, n = (pairs_[k].to_numpy()[order] for k in ("center_idx", "context_idx", "n"))
-            lost = sum(int(n[k : k + s.batch_size].sum()) * context_step(own, c[k : k + s.batch_size], x[k : k + s.batch_size], n[k : k + s.batch_size], s, r) for k in range(0, len(c), s.batch_size))
+        held = spark.sparkContext.broadcast((m.layer, settings, epoch))
+
+        def learn(key: tuple, named: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            layer, s, at = held.value
+            columns = ["part", "row", "change"]
+            if not len(named):
+                return pd.DataFrame([], columns=columns)
+            named, known = named.sort_values(["center_idx", "context_idx", "n"]), known.sort_values("idx")
+            ids, pool = known["idx"].to_numpy(), np.flatnonzero(known["far"].to_numpy())
+            start, r = replace(layer, tokens=np.stack(known["vector"].to_numpy())), np.random.default_rng([s.seed, at, int(key[0])])
+            own, order = start.copy(), r.permutation(len(named))
+            c, x = (np.searchsorted(ids, named[k].to_numpy()[order]) for k in ("center_idx", "context_idx"))
+            n = named["n"].to_numpy()[order]
+            batches = (slice(k, k + s.batch_size) for k in range(0, len(c), s.batch_size))
+            lost = sum(int(n[b].sum()) * context_step(own, c[b], x[b], n[b], pool, s, r) for b in batches)
             taken, out = int(n.sum()), [("loss", 0, [lost])]
             for name, after in own.parts().items():
                 change = (after - start.parts()[name]) * taken
-                out += [(name, int(i), change[i].tolist()) for i in np.flatnonzero(np.abs(change).max(1) > 0)]
-            return pd.DataFrame(out, columns=["part", "row", "change"])
-
-        total = pairs.agg(F.sum("n")).first()[0] or 0
-        changes = pairs.groupBy("shard").applyInPandas(learn, "part string, row long, change array<double>")
-        sums = changes.groupBy("part", "row").agg(vector_to_array(Summarizer.sum(array_to_vector("change"))).alias("change"))
-        parts, loss = m.parts(), 0.0
-        for x in sums.toLocalIterator():  # a row for each token and unit of the model at most
-            if x.part == "loss":
-                loss = x.change[0] / total
-            else:
-                parts[x.part][x.row] += np.array(x.change) / total
-        if anchors is not None and len(anchors[0]):
-            for _ in range(settings.anchor_passes):
-                anchor_step(m, *anchors, settings)
-        spread_step(m, settings, np.random.default_rng([settings.seed, epoch, 1 << 20]))
+                out += [(name, int(ids[i]) if name == "tokens" else int(i), change[i].tolist()) for i in np.flatnonzero(np.abs(change).max(1) > 0)]
+            return pd.DataFrame(out, columns=columns)
+
+        loss = 0.0
+        if total:
+            known = shard_vectors(pairs, m.vectors, n_tokens, shards, epoch)
+            changes = pairs.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(learn, "part string, row long, change array<double>")
+            sums = stage(changes.groupBy("part", "row").agg(vector_to_array(Summarizer.sum(array_to_vector("change"))).alias("change")), "changes")
+            layer = m.layer.copy()
+            for x in sums.where("part <> 'tokens'").collect():  # the rows of the layer
+                if x.part == "loss":
+                    loss = x.change[0] / total
+                else:
+                    layer.parts()[x.part][x.row] += np.array(x.change) / total
+            moved = sums.where("part = 'tokens'").select(F.col("row").cast("int").alias("idx"), "change")
+            vector = F.when(F.col("change").isNull(), F.col("vector")).otherwise(F.zip_with("vector", "change", lambda v, c: v + c / total))
+            m = Learned(stage(m.vectors.join(moved, "idx", "left").select("idx", vector.alias("vector")), "vectors"), layer)
+        sample = spread_sample(n_tokens, settings, np.random.default_rng([settings.seed, epoch, 1 << 20]))
+        drawn = anchors[0] if anchors is not None else np.zeros(0, np.int64)
+        ids = np.union1d(sample, drawn).astype(np.int64)
+        some = m.some(ids)
+        for _ in range(settings.anchor_passes if len(drawn) else 0):
+            anchor_step(some, np.searchsorted(ids, drawn), anchors[1], settings)
+        spread_step(some, np.searchsorted(ids, sample), settings)
+        touched = spark.createDataFrame(list(zip(ids.tolist(), some.tokens.tolist())), "idx int, after array<double>")
+        after = m.vectors.join(F.broadcast(touched), "idx", "left").select("idx", F.coalesce("after", "vector").alias("vector"))
+        m = Learned(stage(after, "vectors"), replace(some, tokens=some.tokens[:0]))
         losses.append(loss)
     return m, losses
 
 
-def project(vocab: DataFrame, m: Model) -> DataFrame:
-    """token, idx and projected of every token of the vocabulary, in batches with the model broadcast."""
-    held = vocab.sparkSession.sparkContext.broadcast(m)
+def project(vocab: DataFrame, m: Learned | Model) -> DataFrame:
+    """token, idx and projected of every token of the vocabulary, in batches with the layer broadcast; null where the model has no vector."""
+    spark = vocab.sparkSession
+    m = Learned.of(spark, m) if isinstance(m, Model) else m
+    held = spark.sparkContext.broadcast(m.layer)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(projected=list(held.value.forward(part["idx"].to_numpy())[1]))
+            there = part["vector"].notna().to_numpy()
+            own = replace(held.value, tokens=np.stack(part["vector"][there]) if there.any() else held.value.tokens)
+            found = iter(own.forward(np.arange(there.sum()))[1])
+            yield part[["token", "idx"]].assign(projected=[next(found) if t else None for t in there])
 
-    return vocab.select("token", "idx").mapInPandas(run, "token string, idx int, projected array<double>")
+    return vocab.select("token", "idx").join(m.vectors, "idx", "left").mapInPandas(run, "token string, idx int, projected array<double>")
 
 
 def principal_plane(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -849,7 +849,7 @@ SELECT token, CAST(idx AS INTEGER) AS idx, round(o[1], 6) + 0 AS first, round(o[
 def projection_forward(spark, sf):
     """The tokens' vectors through a layer of the whole size with fixed weights."""
     vocab = stage(cooc.vocabulary(tokens(spark, sf, "simple")), "vocab")
-    out = learning.project(vocab, learning.Model.waves(vocab.count(), FULL))
+    out = learning.project(vocab, learning.Learned.waves(vocab, FULL))
     return out.select("token", "idx", (F.round(F.get("projected", F.lit(0)), 6) + 0).alias("first"), (F.round(F.get("projected", F.lit(63)), 6) + 0).alias("last"), (F.round(F.aggregate("projected", F.lit(0.0), lambda s, x: s + x), 5) + 0).alias("total"))
 
 

@@ -114,6 +114,25 @@ def test_learning_lowers_the_loss_and_draws_anchors(spark):
     assert learning.fit_projection(counts.limit(0), 4, SETTINGS)[1] == [0.0] * 12
 
 
+def test_learning_from_a_pool_of_negatives(spark, monkeypatch):
+    monkeypatch.setattr(learning, "POOL", 5)
+    rows = [(a, (a + 1) % 40, 3) for a in range(40)] + [(0, b, 50) for b in range(1, 40)]
+    counts = spark.createDataFrame(rows, "center_idx int, context_idx int, n long")
+    s = learning.Settings(input_dim=8, hidden_dim=16, output_dim=8, epochs=2, batch_size=16, negatives=4, collapse_sample=6)
+    pairs = counts.withColumn("shard", F.col("center_idx") % 3)
+    known = learning.shard_vectors(pairs, learning.first_vectors(spark, 40, s), 40, 4, 0).toPandas()
+    assert not known.duplicated(["shard", "idx"]).any() and (known[known.far].groupby("shard").size() <= 5).all() and set(known.shard) == {0, 1, 2, 3}
+    named = pairs.toPandas()
+    assert all(set(part.center_idx) | set(part.context_idx) <= set(known[known.shard == k].idx) for k, part in named.groupby("shard"))
+    model, losses = learning.fit_projection(counts, 40, s, shards=3)
+    again = learning.fit_projection(counts.repartition(5), 40, s, shards=3)[0]
+    assert len(losses) == 2 and np.isfinite(losses).all() and model.vectors.count() == 40
+    assert np.allclose(model.some(np.arange(40)).tokens, again.some(np.arange(40)).tokens, atol=1e-9)
+    vocab = spark.createDataFrame([("x", 1), ("y", 99)], "token string, idx int")
+    assert {r.token: r.projected is None for r in learning.project(vocab, model).collect()} == {"x": False, "y": True}
+    assert learning.fit_projection(counts.limit(0), 0, s)[1] == [0.0, 0.0]
+
+
 def test_principal_plane(spark):
     v = np.random.default_rng(1).normal(size=(50, 4)) * [9, 3, 1, 0.1]
     got = learning.principal_plane(spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "vec_id long, embedding array<float>")).orderBy("vec_id").collect()
