@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: The paths that this process has staged, by application.
 STAGED: dict[str, list[str]] = {}
+#: Spark's setting that deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,19 +24,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df once and read it back.
 
     The table lies in the shared folder, so whatever reads it survives the loss of an executor, reads only the
-    columns it needs and doesn't repeat the work before. It stays until drop_staged().
+    columns it needs and doesn't repeat the work before. It stays until drop_staged(). With release, the shuffle files of the
+    write are deleted with its end, not when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, str(release or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more."""
+    jvm, held = spark.sparkContext._jvm, STAGED.get(spark.sparkContext.applicationId, [])
+    gone = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for t in tables for f in t.inputFiles()}
+    for p in [p for p in held if p.rsplit("/", 1)[1] in gone]:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        held.remove(p)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Deletes what this application has staged, once its results are written; returns how many tables."""
     paths = STAGED.pop(spark.sparkContext.applicationId, [])

@@ -1,7 +1,7 @@
 """The registered queries of the core, over whole tables, and the SQL that gives the same rows."""
 
 from collections.abc import Callable
-from functools import cached_property, partial, reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,10 +12,10 @@ from tesserae.functions.vectors import dot, norm, normalize
 from tesserae.operators import consensus as votes
 from tesserae.operators import cooccurrence as cooc
 from tesserae.operators import lines as ln
-from tesserae.operators import learning, matching, neighbors, pixels, trials
+from tesserae.operators import learning, matching, neighbors, pixels, tops, trials
 from tesserae.operators.tokenize import STRATEGIES, exploded, sequences, tokenize
 from tesserae.plans.index import numbered
-from tesserae.plans.stages import broadcast_below, stage
+from tesserae.plans.stages import broadcast_below, drop, stage
 from tesserae.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,8 +427,8 @@ tests AS (SELECT trial_id, token, list_dot_product(p, g) / greatest(sqrt(list_do
 class Trials:
     """What the trial queries share, over all lines: each trial with a good record by its own strategy and window.
 
-    Pairs are counted and ranked once for each different strategy and window, and a join gives them to every trial with
-    these. A null window, one below 1 or an unknown strategy leaves a trial without pairs.
+    Neighbours are found once for each different strategy and window, and a join gives them to every trial with these;
+    strategies take their turns, and what one has staged goes before the next begins. A null window, one below 1 or an unknown strategy leaves a trial without pairs.
     """
 
     def __init__(self, spark: SparkSession, sf: str):
@@ -440,24 +440,39 @@ class Trials:
         settings = self.own.select("strategy", "context_window").distinct().limit(1001).collect()
         if len(settings) > 1000:
             raise ValueError("more than 1000 different settings")
-        found = lines(spark, sf).select("text")
-        each = [self.pairs(found, strategy, sorted({r.context_window for r in settings if r.strategy == strategy})) for strategy in sorted({r.strategy for r in settings})]
-        #: strategy, context_window, a, b and n: the counts of unordered pairs.
-        self.half = stage(reduce(DataFrame.unionByName, each), "setting-pairs") if each else spark.createDataFrame([], "strategy string, context_window int, a string, b string, n long")
-
-    def pairs(self, found: DataFrame, strategy: str, windows: list[int]) -> DataFrame:
-        counts = cooc.pair_counts_by_window(tokenize(found, strategy), windows)
-        return counts.select(F.lit(strategy).alias("strategy"), F.col("window").alias("context_window"), "a", "b", "n")
+        found = stage(lines(spark, sf).select("text"), "lines", release=True)
+        firsts, anchored = [], []
+        for strategy in sorted({r.strategy for r in settings}):
+            named = lambda df, strategy=strategy: df.withColumn("strategy", F.lit(strategy))
+            first, some = self.neighbors(tokenize(found, strategy), sorted({r.context_window for r in settings if r.strategy == strategy}))
+            firsts += map(named, first)
+            anchored.append(named(some))
+        drop(spark, found)
+        none = lambda schema: spark.createDataFrame([], schema)
+        #: strategy, context_window, token, word, cosine and margin of each token's first neighbour: once for all trials with a setting.
+        self.ranked = reduce(DataFrame.unionByName, firsts, none("strategy string, context_window int, token string, word string, cosine double, margin double"))
+        #: strategy, context_window, center, context and n of the pairs whose center is an anchor.
+        self.anchored = reduce(DataFrame.unionByName, anchored, none("strategy string, context_window int, center string, context string, n long"))
+
+    def neighbors(self, tokenized: DataFrame, windows: list[int]) -> tuple[list[DataFrame], DataFrame]:
+        """The first neighbours, and the counts of the anchors' pairs, in each window; a vocabulary that is too large to be sent to the tasks is joined instead."""
+        space = tops.Space(tokenized, windows)
+        if space.fits:
+            some = stage(space.counts_of(list(ANCHORS)), "anchor-pairs", release=True)
+            first = space.firsts()
+            space.drop()
+            return first, some
+        half = stage(cooc.pair_counts_by_window(tokenized, windows).withColumnRenamed("window", "context_window"), "setting-pairs", release=True)
+        near = neighbors.glyph_neighbors(half, 2, "context_window")
+        first = stage(neighbors.margins(near, "context_window", "token").drop("second"), "tops", release=True)
+        some = half.where(F.col("a").isin(*ANCHORS) | F.col("b").isin(*ANCHORS))
+        some = stage(cooc.both_ways(some, "context_window").where(F.col("center").isin(*ANCHORS)), "anchor-pairs", release=True)
+        drop(self.spark, half)
+        return [first], some
 
     def by_trial(self, df: DataFrame) -> DataFrame:
         return df.join(broadcast_below(self.own, 10_000), ["strategy", "context_window"]).drop("strategy", "context_window")
 
-    @cached_property
-    def ranked(self) -> DataFrame:
-        """strategy, context_window, token, word, cosine and margin of each token's first neighbour: once for all trials with a setting."""
-        near = neighbors.glyph_neighbors(self.half, 2, "strategy", "context_window")
-        return stage(neighbors.margins(near, "strategy", "context_window", "token"), "tops")
-
     def tops(self) -> DataFrame:
         """trial_id, token, word, cosine and margin of each token's first neighbour in each trial."""
         return self.by_trial(self.ranked)
@@ -468,8 +483,7 @@ class Trials:
 
     def anchor_counts(self) -> DataFrame:
         """trial_id, center, context and n of the pairs whose center is an anchor."""
-        some = self.half.where(F.col("a").isin(*ANCHORS) | F.col("b").isin(*ANCHORS))
-        return self.by_trial(cooc.both_ways(some, "strategy", "context_window").where(F.col("center").isin(*ANCHORS)))
+        return self.by_trial(self.anchored)
 
     def expected(self) -> DataFrame:
         """token and word: the five most frequent neighbours of each anchor in all trials together."""
