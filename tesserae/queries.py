@@ -495,7 +495,8 @@ class Trials:
         """trial_id, token and cosine: each anchor's projection into the space of the vectors, by the counts of its neighbours, with its glosses.
 
         No table has glosses or a trial's projection: the k-th anchor's glosses are the names of the nations of region k, made of their
-        letters' vectors, and a neighbour stands where the vector with its number does.
+        letters' vectors, and a neighbour stands where the vector with its number does. Worked out once for each setting; counts are added up by
+        vector before they meet its dimensions.
         """
         e = table(self.spark, self.sf, "embeddings").where("embedding IS NOT NULL")
         n_vec = e.count()
@@ -504,9 +505,12 @@ class Trials:
         glosses = neighbors.gloss_vectors(neighbors.text_vectors(texts.select("token", "text", letters("text", n_vec).alias("piece")), e, "token", "text"), "token")
         at = F.nullif(F.regexp_extract("context", "[0-9]+", 0), F.lit("")).cast("decimal(38,0)") % n_vec
         vectors = e.select(F.col("vec_id").alias("at"), F.posexplode("embedding").alias("i", "x"))
-        sums = self.anchor_counts().select("trial_id", F.col("center").alias("token"), "n", at.cast("long").alias("at")).join(vectors, "at").groupBy("trial_id", "token", "i").agg(F.sum(F.col("n") * F.col("x").cast("double")).alias("x"))
-        projected = sums.groupBy("trial_id", "token").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
-        return neighbors.anchor_cosines(projected, glosses, "trial_id")
+        setting = ["strategy", "context_window"]
+        placed = self.anchored.select(*setting, F.col("center").alias("token"), "n", at.cast("long").alias("at")).where("at IS NOT NULL").groupBy(*setting, "token", "at").agg(F.sum("n").alias("n"))
+        sums = placed.join(vectors, "at").groupBy(*setting, "token", "i").agg(F.sum(F.col("n") * F.col("x").cast("double")).alias("x"))
+        projected = sums.groupBy(*setting, "token").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+        return self.by_trial(neighbors.anchor_cosines(projected, glosses, *setting))
+
 
 
 def rounded(df: DataFrame, *but: str) -> DataFrame:
