@@ -481,13 +481,14 @@ class Trials:
         """What neighbors.quality() says of each trial, worked out once for each setting."""
         return self.by_trial(neighbors.quality(self.ranked, "strategy", "context_window"))
 
-    def anchor_counts(self) -> DataFrame:
-        """trial_id, center, context and n of the pairs whose center is an anchor."""
-        return self.by_trial(self.anchored)
+    def anchor_rates(self) -> DataFrame:
+        """trial_id and anchor_hit_rate, from the anchors' first neighbours alone."""
+        return neighbors.anchor_rates(self.tops().where(F.col("token").isin(*ANCHORS)), self.expected(), "trial_id")
 
     def expected(self) -> DataFrame:
-        """token and word: the five most frequent neighbours of each anchor in all trials together."""
-        sums = self.anchor_counts().where("center <> context").groupBy("center", "context").agg(F.sum("n").alias("n"))
+        """token and word: the five most frequent neighbours of each anchor in all trials together; a setting's counts are taken as often as trials have it."""
+        times = self.own.groupBy("strategy", "context_window").agg(F.count("*").alias("times"))
+        sums = self.anchored.where("center <> context").join(F.broadcast(times), ["strategy", "context_window"]).groupBy("center", "context").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
         w = Window.partitionBy("center").orderBy(F.col("n").desc(), "context")
         return sums.withColumn("k", F.row_number().over(w)).where("k <= 5").select(F.col("center").alias("token"), F.col("context").alias("word"))
 
@@ -528,8 +529,7 @@ def anchors(spark: SparkSession) -> DataFrame:
 
 @query(NEIGHBORS + " SELECT trial_id, round(anchor_hit_rate, 6) AS anchor_hit_rate FROM rates")
 def anchor_hit_rate(spark, sf):
-    t = Trials(spark, sf)
-    return rounded(neighbors.anchor_rates(t.tops(), t.expected(), "trial_id"))
+    return rounded(Trials(spark, sf).anchor_rates())
 
 
 @query(NEIGHBORS + " SELECT trial_id, token, round(cosine, 6) AS cosine FROM tests")
@@ -541,7 +541,7 @@ def anchor_gloss_cosine(spark, sf):
 FROM (SELECT q.trial_id, coalesce(anchor_cosine, -1) AS c, coalesce(anchor_hit_rate, 0) AS h, unique_top1_count AS u, top1_entropy_bits AS b, top1_top2_margin_mean AS m FROM quality q LEFT JOIN rates USING (trial_id) LEFT JOIN (SELECT trial_id, avg(cosine) AS anchor_cosine FROM tests GROUP BY trial_id) USING (trial_id))""")
 def trial_score(spark, sf):
     t = Trials(spark, sf)
-    rates = neighbors.anchor_rates(t.tops(), t.expected(), "trial_id")
+    rates = t.anchor_rates()
     cosines = t.anchor_cosines().groupBy("trial_id").agg(F.avg("cosine").alias("c"))
     q = t.qualities().join(rates, "trial_id", "left").join(cosines, "trial_id", "left")
     score = neighbors.trial_score(F.col("c"), F.coalesce("anchor_hit_rate", F.lit(0.0)), F.col("unique_top1_count"), F.col("top1_entropy_bits"), F.col("top1_top2_margin_mean"))
