@@ -5,6 +5,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.plans.stages import broadcast_below, stage
+
 #: Bounds for taking part and for agreeing, by name.
 PRESETS = {
     "strict": {"min_score": 4.0, "min_unique": 100, "min_entropy": 4.0, "min_trials": 2, "min_fraction": 0.5, "min_margin": 0.05, "banned_share": 0.05},
@@ -23,27 +25,35 @@ def known_trials(neighbors: DataFrame, records: DataFrame) -> DataFrame:
     return neighbors if records.isEmpty() else neighbors.join(records.select("trial_id").distinct(), "trial_id", "left_semi")
 
 
-def banned_words(tops: DataFrame, share: float) -> DataFrame:
-    """trial_id and word (in lower case) of first neighbours that a trial gives to more than max(1, ceil(share * tokens)) of its tokens."""
-    count = tops.where("word IS NOT NULL").groupBy("trial_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("trial_id"))
-    return count.withColumn("most", F.greatest(F.lit(1), F.ceil(F.lit(share) * total))).where("n > most").select("trial_id", "word")
+def banned_words(tops: DataFrame, share: float, *keys: str) -> DataFrame:
+    """keys (trial_id if none are named) and word (in lower case) of first neighbours that a trial gives to more than max(1, ceil(share * tokens)) of its tokens."""
+    by = keys or ("trial_id",)
+    count = tops.where("word IS NOT NULL").groupBy(*by, F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*by))
+    return count.withColumn("most", F.greatest(F.lit(1), F.ceil(F.lit(share) * total))).where("n > most").select(*by, "word")
 
 
-def votes(tops: DataFrame, anchors: DataFrame, leaks: DataFrame, min_margin: float, banned_share: float) -> DataFrame:
-    """trial_id, token, word (in lower case), margin and cosine: the first neighbours that count as votes.
+def votes(tops: DataFrame, anchors: DataFrame, leaks: DataFrame, min_margin: float, banned_share: float, *keys: str) -> DataFrame:
+    """keys (trial_id if none are named), token, word (in lower case), margin and cosine: the first neighbours that count as votes.
 
-    tops: the first neighbours with their margins, as margins() gives them by trial_id and token. Tokens that are anchors, words that leak from anchors, words banned in their trial and margins below the least are
+    tops: the first neighbours with their margins, as margins() gives them by keys and token. Tokens that are anchors, words that leak from anchors, words banned in their trial and margins below the least are
     left out; a token with one neighbour only has the margin 0.
     """
+    by = keys or ("trial_id",)
     tops = tops.where("word IS NOT NULL").withColumn("word", F.lower("word")).join(anchors.select("token").distinct(), "token", "left_anti")
     near = tops.withColumn("margin", F.coalesce("margin", F.lit(0.0))).where(F.round("margin", 9) >= min_margin)
-    return near.join(leaks.select(F.lower("word").alias("word")).distinct(), "word", "left_anti").join(banned_words(tops, banned_share), ["trial_id", "word"], "left_anti").select("trial_id", "token", "word", "margin", "cosine")
+    banned = broadcast_below(stage(banned_words(tops, banned_share, *by), "banned", release=True), 100_000)
+    return near.join(leaks.select(F.lower("word").alias("word")).distinct(), "word", "left_anti").join(banned, [*by, "word"], "left_anti").select(*by, "token", "word", "margin", "cosine")
 
 
 def ranked_votes(cast: DataFrame) -> DataFrame:
-    """token, word, trials, mean_margin, mean_cosine and place: a token's words by votes, then by the first trial that gave one, then by word."""
-    each = cast.groupBy("token", "word").agg(F.count("*").alias("trials"), F.avg("margin").alias("mean_margin"), F.avg("cosine").alias("mean_cosine"), F.min("trial_id").alias("first_seen"))
+    """token, word, trials, mean_margin, mean_cosine and place: a token's words by votes, then by the first trial that gave one, then by word.
+
+    A vote with a column times stands for so many trials that voted alike, of which trial_id is the first. One shuffle, by token, serves both steps.
+    """
+    n = F.col("times") if "times" in cast.columns else F.lit(1)
+    mean = lambda c: (F.sum(n * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), n))).alias(f"mean_{c}")
+    each = cast.repartition("token").groupBy("token", "word").agg(F.sum(n).cast("long").alias("trials"), mean("margin"), mean("cosine"), F.min("trial_id").alias("first_seen"))
     w = Window.partitionBy("token").orderBy(F.col("trials").desc(), "first_seen", "word")
     return each.withColumn("place", F.row_number().over(w))
 

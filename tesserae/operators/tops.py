@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import SEPARATORS
@@ -171,8 +171,8 @@ class Space:
         each = F.array(*(F.struct(F.lit(w).alias("context_window"), F.col(f"n{i}").alias("n")) for i, w in enumerate(windows)))
         return first.select("center", "context", F.inline(each)).where("n > 0")
 
-    def firsts(self) -> list[DataFrame]:
-        """context_window, token, word, cosine and margin (to the second; null without one) of each token's first neighbour in each window, staged, a part for each round.
+    def firsts(self, **more: Column) -> list[DataFrame]:
+        """context_window, token, word, cosine and margin (to the second; null without one) of each token's first neighbour in each window, and more columns; staged, a part for each round.
 
         Cosines are n_ab / sqrt(n_a * n_b) to nine digits; of equal ones the lower word comes first.
         """
@@ -237,4 +237,4 @@ class Space:
             return pa.concat_tables(out)
 
         kept = "context_window int, token string, word string, cosine double, margin double"
-        return [stage(self.blocks.mapInArrow(pairs(turn), "group int, steps binary, n binary").groupBy("group").applyInArrow(count, kept), "tops", release=True) for turn in range(rounds)]
+        return [stage(self.blocks.mapInArrow(pairs(turn), "group int, steps binary, n binary").groupBy("group").applyInArrow(count, kept).withColumns(more), "tops", release=True) for turn in range(rounds)]

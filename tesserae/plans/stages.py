@@ -43,6 +43,12 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*tables: DataFrame) -> DataFrame:
+    """Staged tables of one schema as one, by a single scan."""
+    folders = sorted({f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()})
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*folders) if folders else tables[0]
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read any more."""
     jvm, held = spark.sparkContext._jvm, STAGED.get(spark.sparkContext.applicationId, [])

@@ -15,7 +15,7 @@ from tesserae.operators import lines as ln
 from tesserae.operators import learning, matching, neighbors, pixels, tops, trials
 from tesserae.operators.tokenize import STRATEGIES, exploded, sequences, tokenize
 from tesserae.plans.index import numbered
-from tesserae.plans.stages import broadcast_below, drop, stage
+from tesserae.plans.stages import broadcast_below, drop, stage, together
 from tesserae.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,30 +443,30 @@ class Trials:
         found = stage(lines(spark, sf).select("text"), "lines", release=True)
         firsts, anchored = [], []
         for strategy in sorted({r.strategy for r in settings}):
-            named = lambda df, strategy=strategy: df.withColumn("strategy", F.lit(strategy))
-            first, some = self.neighbors(tokenize(found, strategy), sorted({r.context_window for r in settings if r.strategy == strategy}))
-            firsts += map(named, first)
-            anchored.append(named(some))
+            first, some = self.neighbors(tokenize(found, strategy), strategy, sorted({r.context_window for r in settings if r.strategy == strategy}))
+            firsts += first
+            anchored.append(some)
         drop(spark, found)
         none = lambda schema: spark.createDataFrame([], schema)
         #: strategy, context_window, token, word, cosine and margin of each token's first neighbour: once for all trials with a setting.
-        self.ranked = reduce(DataFrame.unionByName, firsts, none("strategy string, context_window int, token string, word string, cosine double, margin double"))
+        self.ranked = together(*firsts) if firsts else none("context_window int, token string, word string, cosine double, margin double, strategy string")
         #: strategy, context_window, center, context and n of the pairs whose center is an anchor.
-        self.anchored = reduce(DataFrame.unionByName, anchored, none("strategy string, context_window int, center string, context string, n long"))
+        self.anchored = together(*anchored) if anchored else none("center string, context string, context_window int, n long, strategy string")
 
-    def neighbors(self, tokenized: DataFrame, windows: list[int]) -> tuple[list[DataFrame], DataFrame]:
+    def neighbors(self, tokenized: DataFrame, strategy: str, windows: list[int]) -> tuple[list[DataFrame], DataFrame]:
         """The first neighbours, and the counts of the anchors' pairs, in each window; a vocabulary that is too large to be sent to the tasks is joined instead."""
+        named = F.lit(strategy)
         space = tops.Space(tokenized, windows)
         if space.fits:
-            some = stage(space.counts_of(list(ANCHORS)), "anchor-pairs", release=True)
-            first = space.firsts()
+            some = stage(space.counts_of(list(ANCHORS)).withColumn("strategy", named), "anchor-pairs", release=True)
+            first = space.firsts(strategy=named)
             space.drop()
             return first, some
         half = stage(cooc.pair_counts_by_window(tokenized, windows).withColumnRenamed("window", "context_window"), "setting-pairs", release=True)
         near = neighbors.glyph_neighbors(half, 2, "context_window")
-        first = stage(neighbors.margins(near, "context_window", "token").drop("second"), "tops", release=True)
+        first = stage(neighbors.margins(near, "context_window", "token").drop("second").select("context_window", "token", "word", "cosine", "margin", named.alias("strategy")), "tops", release=True)
         some = half.where(F.col("a").isin(*ANCHORS) | F.col("b").isin(*ANCHORS))
-        some = stage(cooc.both_ways(some, "context_window").where(F.col("center").isin(*ANCHORS)), "anchor-pairs", release=True)
+        some = stage(cooc.both_ways(some, "context_window").where(F.col("center").isin(*ANCHORS)).select("center", "context", "context_window", "n", named.alias("strategy")), "anchor-pairs", release=True)
         drop(self.spark, half)
         return [first], some
 
@@ -557,12 +557,22 @@ votes AS (SELECT trial_id, token, word, coalesce(margin, 0) AS margin, cosine FR
 placed AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY trials DESC, first_seen, word) AS place FROM (SELECT token, word, count(*) AS trials, avg(margin) AS mean_margin, avg(cosine) AS mean_cosine, min(trial_id) AS first_seen FROM votes GROUP BY ALL))"""
 
 
+SETTING = ("strategy", "context_window")
+
+
 def cast_votes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The votes, the trials that take part, and the first neighbours in these."""
+    """The votes and the words banned by setting, and the trials that take part with their settings. Trials of one setting have the same neighbours, so they vote alike."""
     t = Trials(spark, sf)
-    used = stage(trials.passing(t.records, t.qualities(), 0.0, 50, 3.0), "used")
-    tops = t.tops().join(F.broadcast(used), "trial_id", "left_semi")
-    return votes.votes(tops, anchors(spark), stage(t.expected().select("word"), "leaks"), 0.01, 0.002), used, tops
+    used = stage(trials.passing(t.records, t.qualities(), 0.0, 50, 3.0).join(t.own, "trial_id"), "used", release=True)
+    ranked = t.ranked.join(F.broadcast(used.select(*SETTING).distinct()), [*SETTING], "left_semi")
+    cast = votes.votes(ranked, anchors(spark), stage(t.expected().select("word"), "leaks", release=True), 0.01, 0.002, *SETTING)
+    return cast, votes.banned_words(ranked.join(F.broadcast(anchors(spark)), "token", "left_anti"), 0.002, *SETTING), used
+
+
+def by_setting(cast: DataFrame, used: DataFrame) -> DataFrame:
+    """The votes with times, the number of trials that a setting's vote stands for, and trial_id, the first of them."""
+    of = used.groupBy(*SETTING).agg(F.count("*").alias("times"), F.min("trial_id").alias("trial_id"))
+    return cast.join(F.broadcast(of), [*SETTING])
 
 
 @query(NEIGHBORS + f", {PASSING} SELECT trial_id FROM used")
@@ -573,13 +583,14 @@ def quality_filter(spark, sf):
 
 @query(VOTES + " SELECT trial_id, word FROM banned")
 def banned_words(spark, sf):
-    tops = cast_votes(spark, sf)[2].join(F.broadcast(anchors(spark)), "token", "left_anti")
-    return votes.banned_words(tops, 0.002)
+    _, banned, used = cast_votes(spark, sf)
+    return banned.join(F.broadcast(used), [*SETTING]).select("trial_id", "word")
 
 
 @query(VOTES + " SELECT trial_id, token, word, round(margin, 6) AS margin, round(cosine, 6) AS cosine FROM votes")
 def consensus_votes(spark, sf):
-    return rounded(cast_votes(spark, sf)[0])
+    cast, _, used = cast_votes(spark, sf)
+    return rounded(cast.join(F.broadcast(used), [*SETTING]).select("trial_id", "token", "word", "margin", "cosine"))
 
 
 CONSENSUS = VOTES + """, need AS (SELECT greatest(2, ceil(0.35 * count(*))) AS required, count(*) AS n FROM used)
@@ -589,20 +600,21 @@ FROM placed p LEFT JOIN (SELECT token, string_agg(word, ' ' ORDER BY place) AS a
 
 @query(CONSENSUS)
 def consensus_rank(spark, sf):
-    cast, used, _ = cast_votes(spark, sf)
-    return votes.consensus(stage(cast, "votes"), used, 2, 0.35)
+    cast, _, used = cast_votes(spark, sf)
+    return votes.consensus(stage(by_setting(cast, used), "votes", release=True), used, 2, 0.35)
 
 
 @query(f"SELECT * FROM ({CONSENSUS}) ORDER BY trials DESC, mean_margin DESC, mean_cosine DESC, token LIMIT 80")
 def consensus_top(spark, sf):
     """The report: the 80 tokens that most trials agree on."""
-    cast, used, _ = cast_votes(spark, sf)
-    return votes.consensus(stage(cast, "votes"), used, 2, 0.35, top=80)
+    cast, _, used = cast_votes(spark, sf)
+    return votes.consensus(stage(by_setting(cast, used), "votes", release=True), used, 2, 0.35, top=80)
 
 
 @query(VOTES + " SELECT token, word, trials, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5")
 def consensus_alternates(spark, sf):
-    return votes.ranked_votes(cast_votes(spark, sf)[0]).where("place <= 5").select("token", "word", "trials", "place")
+    cast, _, used = cast_votes(spark, sf)
+    return votes.ranked_votes(by_setting(cast, used)).where("place <= 5").select("token", "word", "trials", "place")
 
 
 @query("SELECT trial_id, strategy, context_window FROM trial_configs WHERE trial_id NOT IN (SELECT trial_id FROM trial_records WHERE trial_id IS NOT NULL AND (error IS NULL OR trim(error) = ''))")

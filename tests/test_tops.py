@@ -82,7 +82,7 @@ def held(*folders):
     return sum(os.path.getsize(f"{d}/{f}") for x in folders for d, _, files in os.walk(x) for f in files)
 
 
-@pytest.mark.parametrize("name", ["quality_filter", "trial_score", "anchor_hit_rate"])
+@pytest.mark.parametrize("name", ["quality_filter", "trial_score", "anchor_hit_rate", "consensus_alternates"])
 def test_trial_queries_leave_little_on_disk(spark, tablets, tmp_path, name):
     folders = stages.shared_folder(spark).removeprefix("file:"), spark.conf.get("spark.local.dir")
     stages.drop_staged(spark)
